@@ -1,4 +1,9 @@
-"""Corpus pipeline: stages that each read all their predecessor kept."""
+"""Corpus pipeline: language ID, near-duplicate removal, mixing and packing.
+
+Each stage reads all that its predecessor kept, and its decisions take effect: documents without a
+known language go, one document of each group of near duplicates stays, documents are kept as
+often as the mix takes them, and the last stage returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlake.llm import mixing, packing
+from flowlake.llm import language_id, mixing, ngram_join, packing
 from flowlake.llm.common import written
 from flowlake.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_per_component(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
@@ -22,6 +35,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("ngram_join", dedup_stage),
     ("mixing", mix_stage),
     ("packing", packing_stage),
 ]

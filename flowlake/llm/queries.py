@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, packing, token_counts, token_files, warc
+from . import embedding_dedup, language_id, licenses, media, mixing, ngram_join, packing, token_counts, token_files, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,10 +21,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -51,7 +63,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_packing, op5_mixing, op6_licenses, op7_warc, op8_token_files, op9_media, op10_token_counts)
+    for f in (
+        op1_language_id, op2_ngram_join, op3_packing, op4_embedding_dedup, op5_mixing,
+        op6_licenses, op7_warc, op8_token_files, op9_media, op10_token_counts,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE}
