@@ -97,19 +97,23 @@ def archive_days(spark: SparkSession, hot: str, cold: str, days: DataFrame) -> N
 
     A run that was broken off is repeated as it is: what is cold already is only dropped from hot.
     """
-    todo = days
+    every = [r["day"] for r in days.select("day").distinct().collect()]  # one entry a day
+    done = set()
     if _exists(spark, cold):
-        todo = days.join(read_lake(spark, cold).select("day").distinct(), "day", "left_anti")
-    todo = [r["day"] for r in todo.select("day").distinct().collect()]  # one entry a day
+        done = {r["day"] for r in read_lake(spark, cold).where(F.col("day").isin(every)).select("day").distinct().collect()}
+    todo = [d for d in every if d not in done]
     if todo:
         stage = f"{cold}.stage-{uuid.uuid4().hex}"
         write_archive(read_lake(spark, hot).where(F.col("day").isin(todo)), stage)
         fs, root = _fs(spark, cold)
         fs.mkdirs(root)
         for day in todo:
-            fs.rename(_fs(spark, f"{stage}/day={day}")[1], root)
+            if not fs.rename(_fs(spark, f"{stage}/day={day}")[1], _fs(spark, f"{cold}/day={day}")[1]):
+                raise OSError(f"{cold}/day={day} could not be put in place")
         fs.delete(_fs(spark, stage)[1], True)
-    drop_days(spark, hot, days)
+    for day in every:
+        fs, p = _fs(spark, f"{hot}/day={day}")
+        fs.delete(p, True)
 
 
 def catalog(spark: SparkSession, path: str, kind: str) -> DataFrame:

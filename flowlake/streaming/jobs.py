@@ -27,7 +27,7 @@ def land(lines: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.raw", archive: str | None = None) -> DataFrame:
-    """``(file, value)`` of closed raw files as they appear; finished files move to ``archive`` if given.
+    """``(file, block, value)`` of closed raw files as they appear; finished files move to ``archive`` if given.
 
     The checkpoint of the query that uses it remembers the files that were read.
     """
@@ -37,7 +37,6 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.raw", archive:
     return reader.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"),
         "value",
     )
 
@@ -76,12 +75,14 @@ class Reassembler(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-        yield self._rows(key[0], out)
+        if out:
+            yield self._rows(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.pending.get()[0] if self.pending.exists() else ""
         self.pending.clear()
-        yield self._rows(key[0], [held] if held else [])
+        if held:
+            yield self._rows(key[0], [held])
 
     def close(self) -> None:
         pass
@@ -115,7 +116,8 @@ def ingest_batches(lines: DataFrame, path: str, quarantine: str, checkpoint: str
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        joined = parse.join_continuations(batch.select("file", F.struct("block", "line_no").alias("pos"), "value"))
+        place = F.struct("block", F.monotonically_increasing_id().alias("line"))
+        joined = parse.join_continuations(batch.select("file", place.alias("pos"), "value"))
         parsed = parse.parse(joined, now).persist()
         parse.accepted(parsed).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
         parse.rejected(parsed, "file", "line").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
