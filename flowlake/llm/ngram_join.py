@@ -109,36 +109,85 @@ def word_hashes(b: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shingle_set(b: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams; of the whole sequence if it is shorter; none without words."""
-    w = word_hashes(b)
-    n = len(w)
-    if not n:
-        return w
-    if n < WORDS:
-        total = np.full(1, n, np.uint64) * _PLACE[WORDS]
-        for i in range(n):
-            total = total + w[i : i + 1] * _PLACE[i]
-        return _mix(total)
-    total = w[: n - WORDS + 1] * _PLACE[0]
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram that begins at each word, where one does."""
+    n = max(len(w) - WORDS + 1, 0)
+    total = w[:n] * _PLACE[0]
     for i in range(1, WORDS):
-        total = total + w[i : n - WORDS + 1 + i] * _PLACE[i]
-    return np.unique(_mix(total))
+        total = total + w[i : n + i] * _PLACE[i]
+    return _mix(total)
+
+
+def _distinct(s: np.ndarray) -> np.ndarray:
+    s = np.sort(s)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """64 bits that stand for a set, as a signed long."""
-    x = np.array([len(s)], np.uint64) * _PLACE[1] + _mix(s + _PLACE[2]).sum(dtype=np.uint64)
-    return int(_mix(x).view(np.int64)[0])
+def _of_words(w: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A text's set from its words and its n-grams: the whole sequence where there are fewer words than that."""
+    n = len(w)
+    if n >= WORDS or not n:
+        return _distinct(grams)
+    total = np.full(1, n, np.uint64) * _PLACE[WORDS]
+    for i in range(n):
+        total = total + w[i : i + 1] * _PLACE[i]
+    return _mix(total)
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """Keys that sets of high similarity share, most likely."""
-    low = np.array([_mix(s ^ seed).min() for seed in _SEEDS]).reshape(BANDS, BAND_ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for r in range(BAND_ROWS):
-        key = _mix(key * _PLACE[0] + low[:, r])
-    return key.view(np.int64)
+def shingle_set(b: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of a text's word n-grams; of the whole sequence if it is shorter; none without words."""
+    w = word_hashes(b)
+    return _of_words(w, shingles(w))
+
+
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """64 bits that stand for each set, as signed longs."""
+    size = np.array([len(s) for s in sets], np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(np.concatenate(sets) + _PLACE[2]))))
+    end = np.cumsum(size).astype(np.int64)
+    return _mix(size * _PLACE[1] + total[end] - total[end - size.astype(np.int64)]).view(np.int64)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Keys that sets of high similarity share, most likely: a row of BANDS for each of the non-empty sets."""
+    items = np.concatenate(sets)
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1])).astype(np.int64)
+    low = [np.minimum.reduceat(_mix(items ^ seed), at) for seed in _SEEDS]
+    keys = []
+    for k in range(BANDS):
+        key = np.full(len(sets), k, np.uint64)
+        for r in range(BAND_ROWS):
+            key = _mix(key * _PLACE[0] + low[k * BAND_ROWS + r])
+        keys.append(key)
+    return np.stack(keys, 1).view(np.int64)
+
+
+def _set_groups(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Sets of consecutive texts, hashed together while they fit a segment."""
+    group: list[np.ndarray] = []
+    held = 0
+
+    def together() -> list[np.ndarray]:
+        if len(group) == 1:
+            return [shingle_set(group[0])]
+        gap = np.full(1, 32, np.uint8)
+        b = np.concatenate([x for t in group for x in (t, gap)])
+        ends = np.cumsum([len(t) + 1 for t in group])
+        before = np.concatenate(([True], _SPACE[b[:-1]]))
+        start = np.flatnonzero(before & ~_SPACE[b])
+        w = _words(b)
+        cuts = np.concatenate(([0], np.searchsorted(start, ends)))
+        grams = shingles(w)
+        return [_of_words(w[i:j], grams[i : max(i, j - WORDS + 1)]) for i, j in zip(cuts[:-1], cuts[1:])]
+
+    for t in texts:
+        if group and held + len(t) + 1 > SEGMENT:
+            yield together()
+            group, held = [], 0
+        group.append(t)
+        held += len(t) + 1
+    if group:
+        yield together()
 
 
 def prefix_length(n: int) -> int:
@@ -161,6 +210,13 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
             yield data[offsets[i] : offsets[i + 1]] if valid[i] else data[:0]
 
 
+def _named_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Fingerprint and set of each text that has words."""
+    for sets in _set_groups(_texts(column)):
+        if full := [s for s in sets if len(s)]:
+            yield from zip(fingerprints(full).tolist(), full)
+
+
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"))
 
@@ -196,12 +252,14 @@ def describe(docs: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in SETS.split(", ")]
         for b in batches:
             n, fp, bands = [], [], []
-            for t in _texts(b.column(1)):
-                s = shingle_set(t)
-                n.append(len(s))
-                fp.append(fingerprint(s) if len(s) else None)
-                bands.append(band_keys(s).tolist() if len(s) else None)
-                seen.add(s)
+            for sets in _set_groups(_texts(b.column(1))):
+                full = [s for s in sets if len(s)]
+                n += map(len, sets)
+                if full:
+                    names_, keys = iter(fingerprints(full).tolist()), iter(band_keys(full).tolist())
+                    seen.add(np.concatenate(full))
+                fp += [next(names_) if len(s) else None for s in sets]
+                bands += [next(keys) if len(s) else None for s in sets]
             none = [None] * len(n)
             yield pa.record_batch([pa.array(c, t) for c, t in zip((b.column(0), n, fp, bands, none, none), types)], names=names)
         seen.flush()
@@ -267,17 +325,14 @@ def sets_of(docs: DataFrame, fps: DataFrame) -> DataFrame:
         bits, done = sent.value, set()
         for b in batches:
             fp, items = [], []
-            for t in _texts(b.column(0)):
-                s = shingle_set(t)
-                if len(s):
-                    f = fingerprint(s)
-                    slot = f % FILTER_BITS
-                    if f not in done and bits[slot >> 3] >> (7 - (slot & 7)) & 1:
-                        done.add(f)
-                        fp.append(f)
-                        items.append(s.tobytes())
-                        if len(done) > 1_000_000:
-                            done.clear()
+            for f, s in _named_sets(b.column(0)):
+                slot = f % FILTER_BITS
+                if f not in done and bits[slot >> 3] >> (7 - (slot & 7)) & 1:
+                    done.add(f)
+                    fp.append(f)
+                    items.append(s.tobytes())
+                    if len(done) > 1_000_000:
+                        done.clear()
             yield pa.record_batch([pa.array(fp, pa.int64()), pa.array(items, pa.binary())], names=["fp", "items"])
 
     found = _text(docs).mapInArrow(run, "fp long, items binary").join(fps.select("fp").distinct(), "fp", "left_semi")
@@ -346,9 +401,8 @@ def postings(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
             return pa.record_batch([pa.array(c, t) for c, t in zip(rows, types)], names=[c.split()[0] for c in POSTINGS.split(", ")])
 
         for b in batches:
-            for t in _texts(b.column(0)):
-                s = shingle_set(t)
-                if not len(s) or (f := fingerprint(s)) in done:
+            for f, s in _named_sets(b.column(0)):
+                if f in done:
                     continue
                 done.add(f)
                 if len(done) > 1_000_000:
