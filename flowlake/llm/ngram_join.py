@@ -32,9 +32,11 @@ WORDS = 5
 NUM, DEN = 3, 4
 
 #: Frequency sketch: buckets, and chunks that are summed apart.
-BUCKETS, CHUNKS = 1 << 22, 64
+BUCKETS, CHUNKS = 1 << 24, 256
 #: Min-hash bands that find pivots, and rows of each.
 BANDS, BAND_ROWS = 6, 3
+#: Rounds in which the lists' smallest sets merge clusters before the exact candidates are listed.
+STAR_ROUNDS = 2
 #: Filter of wanted sets: bits.
 FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once, index entries that one message or group holds.
@@ -222,7 +224,7 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 class _Counter:
-    """Counts of hash buckets, 8 MB."""
+    """Counts of hash buckets, 32 MB."""
 
     def __init__(self):
         self.count, self.wait, self.held = np.zeros(BUCKETS, np.uint16), [], 0
@@ -230,13 +232,13 @@ class _Counter:
     def add(self, s: np.ndarray) -> None:
         self.wait.append((s & _u(BUCKETS - 1)).astype(np.uint32))
         self.held += len(s)
-        if self.held > BUCKETS:
+        if self.held > 1 << 21:
             self.flush()
 
     def flush(self) -> None:
         if self.held:
-            more = np.bincount(np.concatenate(self.wait), minlength=BUCKETS)
-            self.count = np.minimum(self.count + more, 65535).astype(np.uint16)
+            at, more = np.unique(np.concatenate(self.wait), return_counts=True)
+            self.count[at] = np.minimum(self.count[at].astype(np.int64) + more, 65535)
             self.wait, self.held = [], 0
 
 
@@ -273,12 +275,12 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def common_buckets(sets: DataFrame, total: int) -> np.ndarray:
-    """Bits of the buckets that hold many more shingles than the mean: 512 KB, whatever the input's size.
+    """Bits of the buckets that hold many more shingles than the mean: 2 MB, whatever the input's size.
 
     Counts of the tasks are summed by chunk in two steps, so that no group holds those of all tasks.
     """
     mean = total / BUCKETS
-    many = max(16.0, mean + 8 * math.sqrt(mean))
+    many = max(12.0, mean + 6 * math.sqrt(mean))
 
     def sums(g: pd.DataFrame, width: type) -> np.ndarray:
         out = np.zeros(BUCKETS // CHUNKS, np.uint64)
@@ -458,6 +460,41 @@ def lists(packed: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInPandas(run, ENTRIES)
 
 
+def star_candidates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(a, b)``: of each list with sets of several clusters, its smallest set with those of the other clusters.
+
+    One row per entry at most. Pairs whose lists with the same smallest set can't suffice are left
+    out, and of each cluster only the set that meets a pivot most often stays: this only merges
+    clusters early, ``candidates`` decides what is linked.
+    """
+    c = clusters.select(F.col("node").alias("fp"), "component")
+    e = entries.join(c, "fp", "left").withColumn("cluster", F.coalesce("component", "fp")).drop("component")
+    lead = e.groupBy("item").agg(F.min(F.struct("fp", "n", "cluster")).alias("p"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+    met = e.join(lead.where("lo < hi").select("item", "p"), "item").where("cluster <> p.cluster")
+    pairs = met.groupBy(F.col("p.fp").alias("a"), F.col("fp").alias("b"), "cluster", F.col("p.n").alias("na"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("common"))
+    large = F.greatest("na", "nb")
+    most = F.least(F.col("common") + F.ceil(large * NUM / DEN) - 1, "na", "nb")
+    pairs = pairs.where(similar(most, F.col("na"), F.col("nb")))
+    best = pairs.groupBy("a", "cluster").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+    return best.select("a", "b").distinct()
+
+
+def bridges(links: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links between sets as links between their clusters."""
+    c = clusters.select("node", "component")
+    return (
+        links.join(c.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
+        .join(c.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    )
+
+
+def merged(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """Clusters after the links between their sets are added; clusters are stars, so these stay shallow."""
+    stars = clusters.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return table(components(stars.union(bridges(links, clusters))), "clusters")[0]
+
+
 def candidates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
     """``(a, b, na, nb)``: pairs of sets of different clusters that the index can't rule out.
 
@@ -549,12 +586,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # pivots and their clusters
     stars, _ = table(pivots(nodes), "stars")
     size = nodes.select("fp", "n")
-    compared = (
-        overlaps(stars, docs)
-        .join(size.withColumnsRenamed({"fp": "a", "n": "na"}), "a")
-        .join(size.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
-        .where(similar(F.col("overlap"), F.col("na"), F.col("nb")))
-    )
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        return (
+            overlaps(pairs, docs)
+            .join(size.withColumnsRenamed({"fp": "a", "n": "na"}), "a")
+            .join(size.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
+            .where(similar(F.col("overlap"), F.col("na"), F.col("nb")))
+        )
+
+    compared = compare(stars)
     members, _ = table(
         compared.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (F.col("na") - F.col("overlap")).alias("added"), (F.col("nb") - F.col("overlap")).alias("removed")),
         "members",
@@ -565,21 +606,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # index over all sets
     parts = 1 << max(0, math.ceil(math.log2(max(1.0, total * (1 - NUM / DEN) / PART_ENTRIES))))
     entries, _ = table(lists(postings(docs, common_buckets(sets, total), parts)), "entries")
-    found = answers(candidates(entries, clusters), members, docs)
-
-    # links between clusters join them
-    name = clusters.select(F.col("node"), F.col("component"))
-    bridge = (
-        found.join(name.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
-        .join(name.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    joined = components(bridge).withColumnsRenamed({"node": "cluster", "component": "whole"})
-    named = (
-        nodes.select("fp", "doc_id").join(name.withColumnRenamed("node", "fp"), "fp", "left")
-        .withColumn("cluster", F.coalesce("component", "fp")).drop("component")
-        .join(joined, "cluster", "left").withColumn("whole", F.coalesce("whole", "cluster"))
-    )
+    for _ in range(STAR_ROUNDS):
+        pairs, _ = table(star_candidates(entries, clusters), "star-pairs")
+        if pairs.isEmpty():
+            break
+        clusters = merged(clusters, compare(pairs).select("a", "b"))
+    clusters = merged(clusters, answers(candidates(entries, clusters), members, docs))
+    named = nodes.select("fp", "doc_id").join(clusters.withColumnRenamed("node", "fp"), "fp", "left").withColumn("whole", F.coalesce("component", "fp"))
     smallest = named.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
     final = named.select("fp", "whole").join(smallest, "whole").select("fp", "component_id")
     return rows.join(final, "fp", "left").select(
