@@ -91,17 +91,26 @@ def test_pending_line_is_kept_across_batches(spark, tmp_path):
     def put(name, rows):
         text_file(tmp_path / f"in/{name}.json", [json.dumps(dict(zip(("source", "block", "line_no", "value"), r))) for r in rows])
 
-    q = jobs.reassemble(stream, wait_ms=20_000).writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    writer = jobs.reassemble(stream, wait_ms=15_000).writeStream.format("memory").queryName("whole").outputMode("append")
+    q = writer.trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "ck")).start()
+
+    def until(done):
+        for _ in range(60):  # timers keep the query busy, so it is never out of work
+            assert q.exception() is None
+            if done():
+                return
+            time.sleep(1)
+        raise AssertionError("no progress")
+
+    def read():
+        return sum(p["numInputRows"] for p in q.recentProgress)
+
     try:
         put("a", [("s", 0, 0, "one->1.2.3.4"), ("t", 0, 0, "other")])
-        q.processAllAvailable()
+        until(lambda: read() >= 2)
         put("b", [("s", 0, 0, "  :80, NAT"), ("s", 0, 1, "two")])
-        q.processAllAvailable()
-        for _ in range(60):
-            got = sorted((r["source"], r["line"]) for r in spark.table("whole").collect())
-            if len(got) >= 3:
-                break
-            time.sleep(1)
+        until(lambda: spark.table("whole").count() >= 3)
+        got = sorted((r["source"], r["line"]) for r in spark.table("whole").collect())
         assert got == [("s", "one->1.2.3.4:80, NAT"), ("s", "two"), ("t", "other")]
     finally:
         q.stop()
