@@ -6,10 +6,12 @@
 3. Index: each set's rarest shingles (the prefix that any partner must meet) become lists. Lists are
    cut into blocks by set size; a set at some position of a list skips the blocks that its
    position and size rule out, and lists whose sets are all of one cluster are skipped whole.
-4. Answers: candidates of different clusters are decided from their pivots' overlap and the sizes of
+4. Neighbourhoods: sets that share lists with a central set are compared with it; those that don't link
+   with it are compared with its other neighbours in blocks. Pairs inside are then known.
+5. Answers: candidates of different clusters are decided from their pivots' overlap and the sizes of
    the differences; only the undecided are compared themselves.
 
-Steps 3 and 4 lose no link between clusters, so the components are exact whatever step 2 finds.
+Steps 3 to 5 lose no link between clusters, so the components are exact whatever step 2 finds.
 The rarity order uses counts of hash buckets over all texts; an inexact count costs time, not links.
 """
 
@@ -35,8 +37,8 @@ NUM, DEN = 3, 4
 BUCKETS, CHUNKS = 1 << 24, 256
 #: Min-hash bands that find pivots, and rows of each.
 BANDS, BAND_ROWS = 6, 3
-#: Rounds in which the lists' smallest sets merge clusters before the exact candidates are listed.
-STAR_ROUNDS = 2
+#: Shingles of a block of a neighbourhood, and columns of an incidence matrix.
+BLOCK_ITEMS, WIDTH = 400_000, 2048
 #: Filter of wanted sets: bits.
 FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once, index entries that one message or group holds.
@@ -460,23 +462,83 @@ def lists(packed: DataFrame) -> DataFrame:
     return packed.groupBy("part").applyInPandas(run, ENTRIES)
 
 
-def star_candidates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``(a, b)``: of each list with sets of several clusters, its smallest set with those of the other clusters.
+def neighbourhoods(entries: DataFrame) -> DataFrame:
+    """``(fp, pivot)``: each set of the lists with the central set that it meets in most of them.
 
-    One row per entry at most. Pairs whose lists with the same smallest set can't suffice are left
-    out, and of each cluster only the set that meets a pivot most often stays: this only merges
-    clusters early, ``candidates`` decides what is linked.
+    A list's central set is the one in which the list's shingle stands first: it has the fewest rare
+    shingles of its own. One row per entry at most; sets that meet it in less than an eighth of their
+    prefix have no neighbourhood.
     """
-    c = clusters.select(F.col("node").alias("fp"), "component")
-    e = entries.join(c, "fp", "left").withColumn("cluster", F.coalesce("component", "fp")).drop("component")
-    lead = e.groupBy("item").agg(F.min(F.struct("fp", "n", "cluster")).alias("p"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-    met = e.join(lead.where("lo < hi").select("item", "p"), "item").where("cluster <> p.cluster")
-    pairs = met.groupBy(F.col("p.fp").alias("a"), F.col("fp").alias("b"), "cluster", F.col("p.n").alias("na"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("common"))
-    large = F.greatest("na", "nb")
-    most = F.least(F.col("common") + F.ceil(large * NUM / DEN) - 1, "na", "nb")
-    pairs = pairs.where(similar(most, F.col("na"), F.col("nb")))
-    best = pairs.groupBy("a", "cluster").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-    return best.select("a", "b").distinct()
+    lead = entries.groupBy("item").agg(F.min(F.struct("at", "n", "fp")).alias("p"))
+    met = entries.join(lead, "item").where("fp <> p.fp").groupBy("fp", "n", F.col("p.fp").alias("pivot")).agg(F.count(F.lit(1)).alias("common"))
+    met = met.where(F.col("common") * 8 * DEN >= F.col("n") * (DEN - NUM))
+    return met.groupBy("fp").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot"))
+
+
+def _inside(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block of open sets with a block of their neighbourhood, as edges of a spanning forest.
+
+    Sets that link with the pivot (closed) are connected already and count as one. The overlaps of
+    all pairs come from products of incidence matrices over the shingles that occur twice.
+    """
+    left, right = g[g["left"]].reset_index(drop=True), g[~g["left"]].reset_index(drop=True)
+    rows = pd.concat([left, right], ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+    nl, n = len(left), rows["n"].to_numpy()
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    if not nl or nl == len(rows):
+        return none
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    items, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.full(len(items), -1)
+    place[times > 1] = np.arange((times > 1).sum())
+    column = place[column]
+    who, column = who[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    overlap = np.zeros((nl, len(rows) - nl), np.float32)
+    for at in range(0, int((times > 1).sum()), WIDTH):
+        i, j = np.searchsorted(column, [at, at + WIDTH])
+        m = np.zeros((len(rows), WIDTH), np.float32)
+        m[who[i:j], column[i:j] - at] = 1
+        overlap += m[:nl] @ m[nl:].T
+    fp = rows["fp"].to_numpy()
+    hit = (overlap * DEN >= (n[:nl, None] + n[None, nl:] - overlap) * NUM) & (fp[:nl, None] != fp[None, nl:])
+    label = np.arange(len(rows))
+    closed = np.flatnonzero(rows["closed"].to_numpy())
+    label[closed] = closed[0] if len(closed) else 0
+    first = {f: k for k, f in reversed(list(enumerate(fp)))}
+    label = np.array([label[first[f]] for f in fp])  # a set on both sides is one
+    a, b = [], []
+    for i in np.flatnonzero(hit.any(1)):
+        for j in np.flatnonzero(hit[i]) + nl:
+            if label[j] != label[i]:
+                a.append(fp[i])
+                b.append(fp[j])
+                label[label == label[j]] = label[i]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def inside_links(hoods: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` inside neighbourhoods, of the sets that don't link with their pivot with any other member.
+
+    ``hoods``: (fp, pivot, n, closed). Neighbourhoods are cut into blocks of shingles, open blocks
+    meet all blocks, so no task holds a large neighbourhood.
+    """
+    sizes = hoods.groupBy("pivot").agg(
+        F.ceil(F.sum(F.when(~F.col("closed"), F.col("n"))) / BLOCK_ITEMS).cast("int").alias("nl"), F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("nr"), F.count(F.lit(1)).alias("k")
+    ).where("nl > 0 and k > 1")
+    h, path = table(hoods.join(sizes.drop("k"), "pivot"), "open-hoods")
+    sets, sets_path = table(sets_of(docs, h.select("fp")), "hood-sets")
+    lb, rb = F.pmod(F.xxhash64("fp"), "nl").cast("int"), F.pmod(F.xxhash64("fp"), "nr").cast("int")
+    right = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda i: F.struct(i.alias("l"), rb.alias("r"), F.lit(False).alias("left")))
+    left = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda i: F.struct(lb.alias("l"), i.alias("r"), F.lit(True).alias("left")))
+    every = F.when(F.col("closed"), right).otherwise(F.concat(left, right))
+    rows = h.join(sets, "fp").select("pivot", "fp", "n", "closed", "items", F.inline(every))
+    links, _ = table(rows.groupBy("pivot", "l", "r").applyInPandas(_inside, "a long, b long"), "inside")
+    delete_path(docs.sparkSession, path)
+    delete_path(docs.sparkSession, sets_path)
+    return links
 
 
 def bridges(links: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -495,8 +557,8 @@ def merged(clusters: DataFrame, links: DataFrame) -> DataFrame:
     return table(components(stars.union(bridges(links, clusters))), "clusters")[0]
 
 
-def candidates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``(a, b, na, nb)``: pairs of sets of different clusters that the index can't rule out.
+def candidates(entries: DataFrame, clusters: DataFrame, hoods: DataFrame) -> DataFrame:
+    """``(a, b, na, nb)``: pairs of sets of different clusters and neighbourhoods that the index can't rule out.
 
     Lists whose sets are all of one cluster are skipped. The others are cut into blocks of set
     sizes; an entry meets its own block and the next one, the next only if its position leaves room
@@ -505,6 +567,7 @@ def candidates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
     """
     c = clusters.select(F.col("node").alias("fp"), "component")
     e = entries.join(c, "fp", "left").withColumn("cluster", F.coalesce("component", "fp")).drop("component")
+    e = e.join(hoods.select("fp", "pivot"), "fp", "left").withColumn("hood", F.coalesce("pivot", "fp")).drop("pivot")
     mixed = e.groupBy("item").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("item")
     e = e.join(mixed, "item")
     # monotone in the size, so every size from n to room lies in a block from block(n) to block(room)
@@ -514,12 +577,12 @@ def candidates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
     room = F.floor((F.col("n") - F.col("at")) * DEN / NUM)
     e = e.withColumn("block", block(F.col("n")))
     probe = e.where(room >= F.col("n")).select(
-        "item", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("cluster").alias("ca"),
+        "item", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("cluster").alias("ca"), F.col("hood").alias("ha"),
         F.explode(F.sequence(F.col("block"), block(room))).alias("block"),
     )
-    index = e.select("item", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("cluster").alias("cb"), "block")
+    index = e.select("item", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("cluster").alias("cb"), F.col("hood").alias("hb"), "block")
     met = probe.join(index, ["item", "block"]).where(
-        (F.col("ca") != F.col("cb"))
+        (F.col("ca") != F.col("cb")) & (F.col("ha") != F.col("hb")) & (F.col("ha") != F.col("b")) & (F.col("hb") != F.col("a"))
         & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
         & (F.col("nb") * NUM <= (F.col("na") - F.col("ia")) * DEN)
     )
@@ -606,12 +669,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # index over all sets
     parts = 1 << max(0, math.ceil(math.log2(max(1.0, total * (1 - NUM / DEN) / PART_ENTRIES))))
     entries, _ = table(lists(postings(docs, common_buckets(sets, total), parts)), "entries")
-    for _ in range(STAR_ROUNDS):
-        pairs, _ = table(star_candidates(entries, clusters), "star-pairs")
-        if pairs.isEmpty():
-            break
-        clusters = merged(clusters, compare(pairs).select("a", "b"))
-    clusters = merged(clusters, answers(candidates(entries, clusters), members, docs))
+    near, _ = table(neighbourhoods(entries), "near")
+    known, _ = table(
+        overlaps(near.select(F.col("fp").alias("a"), F.col("pivot").alias("b")), docs)
+        .join(size.withColumnsRenamed({"fp": "a", "n": "na"}), "a")
+        .join(size.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
+        .withColumn("closed", similar(F.col("overlap"), F.col("na"), F.col("nb"))),
+        "known",
+    )
+    hoods = known.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), F.col("na").alias("n"), "closed")
+    links = known.where("closed").select("a", "b").union(inside_links(hoods, docs))
+    clusters = merged(clusters, links)
+    clusters = merged(clusters, answers(candidates(entries, clusters, hoods), members, docs))
     named = nodes.select("fp", "doc_id").join(clusters.withColumnRenamed("node", "fp"), "fp", "left").withColumn("whole", F.coalesce("component", "fp"))
     smallest = named.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
     final = named.select("fp", "whole").join(smallest, "whole").select("fp", "component_id")
