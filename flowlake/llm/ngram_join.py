@@ -570,6 +570,9 @@ def candidates(entries: DataFrame, clusters: DataFrame, hoods: DataFrame) -> Dat
     e = e.join(hoods.select("fp", "pivot"), "fp", "left").withColumn("hood", F.coalesce("pivot", "fp")).drop("pivot")
     mixed = e.groupBy("item").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("item")
     e = e.join(mixed, "item")
+    # a pair has no more shingles in common lists than either set has entries there
+    e = e.join(e.groupBy("fp").agg(F.count(F.lit(1)).alias("entries")), "fp")
+
     # monotone in the size, so every size from n to room lies in a block from block(n) to block(room)
     def block(n: Column) -> Column:
         return F.floor(F.log(n.cast("double")) / math.log(BLOCK_GROWTH)).cast("int")
@@ -577,19 +580,22 @@ def candidates(entries: DataFrame, clusters: DataFrame, hoods: DataFrame) -> Dat
     room = F.floor((F.col("n") - F.col("at")) * DEN / NUM)
     e = e.withColumn("block", block(F.col("n")))
     probe = e.where(room >= F.col("n")).select(
-        "item", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("cluster").alias("ca"), F.col("hood").alias("ha"),
+        "item", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("cluster").alias("ca"), F.col("hood").alias("ha"), F.col("entries").alias("ea"),
         F.explode(F.sequence(F.col("block"), block(room))).alias("block"),
     )
-    index = e.select("item", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("cluster").alias("cb"), F.col("hood").alias("hb"), "block")
+    index = e.select("item", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("cluster").alias("cb"), F.col("hood").alias("hb"), F.col("entries").alias("eb"), "block")
+    # shingles that don't meet lie behind one of the two prefixes: fewer than NUM / DEN of the larger set
+    def enough(common: Column) -> Column:
+        most = common + F.ceil(F.col("nb") * NUM / DEN) - 1
+        return similar(F.least(most, F.col("na")), F.col("na"), F.col("nb"))
+
     met = probe.join(index, ["item", "block"]).where(
         (F.col("ca") != F.col("cb")) & (F.col("ha") != F.col("hb")) & (F.col("ha") != F.col("b")) & (F.col("hb") != F.col("a"))
         & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        & (F.col("nb") * NUM <= (F.col("na") - F.col("ia")) * DEN)
+        & (F.col("nb") * NUM <= (F.col("na") - F.col("ia")) * DEN) & enough(F.least("ea", "eb"))
     )
     pairs = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    # shingles that did not meet lie behind one of the two prefixes: fewer than NUM / DEN of the larger set
-    most = F.col("common") + F.ceil(F.col("nb") * NUM / DEN) - 1
-    return pairs.where(similar(F.least(most, F.col("na")), F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
+    return pairs.where(enough(F.col("common"))).select("a", "b", "na", "nb")
 
 
 def answers(cands: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
