@@ -17,6 +17,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Arrow batches that carry whole texts or sets: Spark's defaults (10,000 rows, 64 MB), and what replaces them.
+BATCH_LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches where they stand at Spark's defaults.
+
+    A batch is held several times at once, in the executor and in its Python worker.
+    """
+    for key, (default, low) in BATCH_LIMITS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, low)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowlake/{name}-{uuid.uuid4().hex}"
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The bounded training sample: labelled rows per language (expected), characters of each, symbols kept.
 SAMPLE_ROWS, PIECE_CHARS, TRAIN_SYMBOLS = 192, 512, 49_152
 #: Symbols of a block. Phrases don't span blocks, alike for every language.
@@ -195,6 +197,7 @@ def training_texts(docs: DataFrame) -> dict[str, list[str]]:
 
 def predict(docs: DataFrame, train: dict[str, list[str]], *keep: str) -> DataFrame:
     """Adds _lang, _score and _bits to the ``keep`` columns of every row of ``docs``; reads text alone."""
+    small_batches(docs.sparkSession)
     classes = byte_classes([t for texts in train.values() for t in texts])
     sent = docs.sparkSession.sparkContext.broadcast((train, classes))
 
@@ -222,6 +225,7 @@ def predict(docs: DataFrame, train: dict[str, list[str]], *keep: str) -> DataFra
                 bits.append(float(r[best]))
             found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
             yield pa.record_batch([*(b.column(c) for c in keep), *found], names=[*keep, "_lang", "_score", "_bits"])
+        pa.default_memory_pool().release_unused()
 
     d = docs.select(*keep, *([F.col("text").cast("string").alias("text")] if "text" not in keep else []))
     schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes if c in keep)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, delete_path, table
+from .common import components, delete_path, small_batches, table
 
 WORDS = 5
 #: Jaccard similarity as a fraction: 100 * intersection >= 75 * union.
@@ -37,8 +37,8 @@ NUM, DEN = 3, 4
 BUCKETS, CHUNKS = 1 << 24, 256
 #: Min-hash bands that find pivots, and rows of each.
 BANDS, BAND_ROWS = 6, 3
-#: Shingles of a block of a neighbourhood, and columns of an incidence matrix.
-BLOCK_ITEMS, WIDTH = 400_000, 2048
+#: Shingles of a block of a neighbourhood, what a small set counts as at least, and columns of an incidence matrix.
+BLOCK_ITEMS, LEAST_ITEMS, WIDTH = 400_000, 256, 2048
 #: Filter of wanted sets: bits.
 FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once, index entries that one message or group holds.
@@ -234,7 +234,7 @@ class _Counter:
     def add(self, s: np.ndarray) -> None:
         self.wait.append((s & _u(BUCKETS - 1)).astype(np.uint32))
         self.held += len(s)
-        if self.held > 1 << 21:
+        if self.held > 1 << 20:
             self.flush()
 
     def flush(self) -> None:
@@ -338,6 +338,7 @@ def sets_of(docs: DataFrame, fps: DataFrame) -> DataFrame:
                     if len(done) > 1_000_000:
                         done.clear()
             yield pa.record_batch([pa.array(fp, pa.int64()), pa.array(items, pa.binary())], names=["fp", "items"])
+        pa.default_memory_pool().release_unused()
 
     found = _text(docs).mapInArrow(run, "fp long, items binary").join(fps.select("fp").distinct(), "fp", "left_semi")
     return found.groupBy("fp").agg(F.first("items").alias("items"))
@@ -357,6 +358,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 for x, y in zip(g.column("xa"), g.column("xb"))
             ]
             yield pa.record_batch([g.column("a"), g.column("b"), pa.array(n, pa.int64())], names=["a", "b", "overlap"])
+        pa.default_memory_pool().release_unused()
 
     found, _ = table(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, overlap long"), "overlaps")
     delete_path(docs.sparkSession, path)
@@ -523,10 +525,12 @@ def inside_links(hoods: DataFrame, docs: DataFrame) -> DataFrame:
     """Links ``(a, b)`` inside neighbourhoods, of the sets that don't link with their pivot with any other member.
 
     ``hoods``: (fp, pivot, n, closed). Neighbourhoods are cut into blocks of shingles, open blocks
-    meet all blocks, so no task holds a large neighbourhood.
+    meet all blocks, so no task holds a large neighbourhood. A small set counts as LEAST_ITEMS
+    shingles, which bounds the sets of a block too.
     """
+    items = F.greatest(F.col("n"), F.lit(LEAST_ITEMS))
     sizes = hoods.groupBy("pivot").agg(
-        F.ceil(F.sum(F.when(~F.col("closed"), F.col("n"))) / BLOCK_ITEMS).cast("int").alias("nl"), F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("nr"), F.count(F.lit(1)).alias("k")
+        F.ceil(F.sum(F.when(~F.col("closed"), items)) / BLOCK_ITEMS).cast("int").alias("nl"), F.ceil(F.sum(items) / BLOCK_ITEMS).cast("int").alias("nr"), F.count(F.lit(1)).alias("k")
     ).where("nl > 0 and k > 1")
     h, path = table(hoods.join(sizes.drop("k"), "pivot"), "open-hoods")
     sets, sets_path = table(sets_of(docs, h.select("fp")), "hood-sets")
@@ -642,6 +646,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     link; a row without doc_id passes links on but never names a component (null if alone). An
     empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sets, _ = table(describe(docs), "described")
     rows = sets.where("chunk is null")
     nodes = rows.where("fp is not null").groupBy("fp").agg(

@@ -89,6 +89,16 @@ def test_near_copies_in_a_large_group(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_neighbourhoods_of_small_sets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_ITEMS", 8 * nj.LEAST_ITEMS)
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = "a b c d e".split() + [f"x{rng.randrange(3)}" for _ in range(rng.randint(0, 5))]
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nj.jaccard_components(df).collect() == []
