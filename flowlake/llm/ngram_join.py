@@ -11,6 +11,9 @@
 5. Answers: candidates of different clusters are decided from their pivots' overlap and the sizes of
    the differences; only the undecided are compared themselves.
 
+6. Link counts: links lie inside components, whose sets are compared in blocks. Pairs of blocks around
+   one pivot whose differences from it leave no doubt are counted whole.
+
 Steps 3 to 5 lose no link between clusters, so the components are exact whatever step 2 finds.
 The rarity order uses counts of hash buckets over all texts; an inexact count costs time, not links.
 """
@@ -477,11 +480,31 @@ def neighbourhoods(entries: DataFrame) -> DataFrame:
     return met.groupBy("fp").agg(F.max_by("pivot", F.struct("common", "pivot")).alias("pivot"))
 
 
+def _overlap_matrix(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
+    """Overlaps of all pairs, from products of incidence matrices over the shingles that occur twice."""
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    items, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = int((times > 1).sum())
+    place = np.full(len(items), -1)
+    place[times > 1] = np.arange(shared)
+    column = place[column]
+    who, column = who[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    rows = np.arange(len(sets))
+    overlap = np.zeros((len(rows[left]), len(rows[right])), np.float32)
+    for at in range(0, shared, WIDTH):
+        i, j = np.searchsorted(column, [at, at + WIDTH])
+        m = np.zeros((len(sets), min(WIDTH, shared - at)), np.float32)
+        m[who[i:j], column[i:j] - at] = 1
+        overlap += m[left] @ m[right].T
+    return overlap
+
+
 def _inside(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     """Links of a block of open sets with a block of their neighbourhood, as edges of a spanning forest.
 
-    Sets that link with the pivot (closed) are connected already and count as one. The overlaps of
-    all pairs come from products of incidence matrices over the shingles that occur twice.
+    Sets that link with the pivot (closed) are connected already and count as one.
     """
     left, right = g[g["left"]].reset_index(drop=True), g[~g["left"]].reset_index(drop=True)
     rows = pd.concat([left, right], ignore_index=True)
@@ -490,20 +513,7 @@ def _inside(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     if not nl or nl == len(rows):
         return none
-    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    items, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.full(len(items), -1)
-    place[times > 1] = np.arange((times > 1).sum())
-    column = place[column]
-    who, column = who[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    who, column = who[order], column[order]
-    overlap = np.zeros((nl, len(rows) - nl), np.float32)
-    for at in range(0, int((times > 1).sum()), WIDTH):
-        i, j = np.searchsorted(column, [at, at + WIDTH])
-        m = np.zeros((len(rows), WIDTH), np.float32)
-        m[who[i:j], column[i:j] - at] = 1
-        overlap += m[:nl] @ m[nl:].T
+    overlap = _overlap_matrix(sets, slice(nl), slice(nl, None))
     fp = rows["fp"].to_numpy()
     hit = (overlap * DEN >= (n[:nl, None] + n[None, nl:] - overlap) * NUM) & (fp[:nl, None] != fp[None, nl:])
     label = np.arange(len(rows))
@@ -636,6 +646,84 @@ def answers(cands: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
+def _counted(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """Linked rows of each set, by pair of blocks (ka, kb) of a component."""
+    fps, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for (_, ka, kb), rows in g.groupby(["whole", "ka", "kb"], sort=False):
+        if ka != kb:
+            rows = pd.concat([rows[rows["k"] == ka], rows[rows["k"] == kb]])
+        nl = int((rows["k"] == ka).sum())
+        left, right = slice(nl), slice(nl, None) if ka != kb else slice(None)
+        fp, n, copies = (rows[c].to_numpy() for c in ("fp", "n", "copies"))
+        overlap = _overlap_matrix([np.frombuffer(x, np.uint64) for x in rows["items"]], left, right)
+        hit = overlap * DEN >= (n[left, None] + n[None, right] - overlap) * NUM
+        if ka == kb:
+            np.fill_diagonal(hit, False)
+        else:
+            fps.append(fp[right])
+            links.append(hit.T @ copies[left])
+        fps.append(fp[left])
+        links.append(hit @ copies[right])
+    return pd.DataFrame({"fp": np.concatenate(fps), "links": np.concatenate(links)})
+
+
+def link_counts(sets: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(fp, links)``: the rows of other sets that each set links with; sets without such links don't appear.
+
+    ``sets``: (fp, n, copies, whole), whole being the component, outside which nothing links. A
+    component of more than BLOCK_ITEMS shingles is cut into blocks by size and, around a pivot with
+    so many shingles in its members, by the difference from the pivot. Pairs of blocks are left out
+    if their sizes exclude links, counted whole if o - removed - removed suffices for all their
+    pairs (see ``answers``), and compared otherwise. Small components share tasks.
+    """
+    load = F.greatest(F.col("n"), F.lit(LEAST_ITEMS))
+    many = sets.groupBy("whole").agg(F.sum(load).alias("held"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    zero = F.lit(0).cast("long")
+    s = sets.join(many, "whole").join(members.select("fp", "pivot", "added", "removed"), "fp", "left").select(
+        "fp", "n", "copies", "whole", "held", F.coalesce("pivot", "fp").alias("star"), F.coalesce("added", zero).alias("added"), F.coalesce("removed", zero).alias("removed")
+    )
+    s, path = table(s, "linked")
+    small = s.where(F.col("held") <= BLOCK_ITEMS)
+    bins = 1 + (small.agg(F.sum(load)).first()[0] or 0) // BLOCK_ITEMS
+    small = small.select("whole", zero.alias("ka"), zero.alias("kb"), zero.alias("k"), "fp", "n", "copies", F.pmod(F.xxhash64("whole"), F.lit(bins)).alias("bin"))
+
+    large = s.where(F.col("held") > BLOCK_ITEMS)
+    stars = large.groupBy("whole", "star").agg(F.sum(load).alias("around")).where(F.col("around") > BLOCK_ITEMS).select("whole", "star", F.lit(True).alias("large"))
+    difference = F.when(F.col("large"), F.floor(F.log2(F.col("added") + F.col("removed") + 1)))
+    kind = F.xxhash64(F.when(F.col("large"), F.col("star")), difference, F.floor(F.log(F.col("n").cast("double")) / math.log(BLOCK_GROWTH)))
+    large = large.join(stars, ["whole", "star"], "left").withColumn("kind", kind)
+    parts = large.groupBy("whole", "kind").agg(F.ceil(F.sum(load) / BLOCK_ITEMS).alias("parts"))
+    large = large.join(parts, ["whole", "kind"]).withColumn("k", F.xxhash64("kind", F.pmod(F.xxhash64("fp"), "parts")))
+    large, large_path = table(large.select("whole", "k", "fp", "n", "copies", "star", "added", "removed"), "large-components")
+    blocks = large.groupBy("whole", "k").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("removed").alias("removed"), F.sum("copies").alias("copies"),
+        F.min("star").alias("star"), F.max("star").alias("last"), F.min(F.col("n") - F.col("added") + F.col("removed")).alias("o"),
+    )
+
+    def side(x: str) -> DataFrame:
+        return blocks.select("whole", *(F.col(c).alias(f"{c}{x}") for c in blocks.columns if c != "whole"))
+
+    low = F.col("oa") - F.col("removeda") - F.col("removedb")
+    one_star = (F.col("stara") == F.col("lasta")) & (F.col("starb") == F.col("lastb")) & (F.col("stara") == F.col("starb"))
+    pairs = side("a").join(side("b"), "whole").where(
+        (F.col("ka") <= F.col("kb")) & (F.col("mosta") * DEN >= F.col("leastb") * NUM) & (F.col("mostb") * DEN >= F.col("leasta") * NUM)
+    )
+    pairs = pairs.withColumn("sure", one_star & (low > 0) & similar(low, F.col("mosta"), F.col("mostb")))
+    pairs, pairs_path = table(pairs.select("whole", "ka", "kb", "copiesa", "copiesb", "sure"), "block-pairs")
+    ends = F.array(F.struct(F.col("ka").alias("k"), F.col("copiesb").alias("other")), F.struct(F.col("kb").alias("k"), F.col("copiesa").alias("other")))
+    ends = pairs.select("whole", "ka", "kb", "sure", F.inline(F.slice(ends, F.lit(1), F.when(F.col("ka") == F.col("kb"), 1).otherwise(2))))
+    open_ = large.join(ends.where("not sure"), ["whole", "k"]).select("whole", "ka", "kb", "k", "fp", "n", "copies", F.xxhash64("whole", "ka", "kb").alias("bin"))
+    sure = ends.where("sure").groupBy("whole", "k").agg(F.sum("other").alias("other"), F.max(F.col("ka") == F.col("kb")).alias("own"))
+    sure = large.join(sure, ["whole", "k"]).select("fp", (F.col("other") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("links"))
+
+    items, items_path = table(sets_of(docs, s.select("fp")), "linked-sets")
+    found = small.union(open_).join(items, "fp").groupBy("bin").applyInPandas(_counted, "fp long, links long")
+    out, _ = table(found.union(sure).groupBy("fp").agg(F.sum("links").alias("links")).where("links > 0"), "link-counts")
+    for p in (path, large_path, pairs_path, items_path):
+        delete_path(docs.sparkSession, p)
+    return out
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs(doc_id, text)``.
 
@@ -646,15 +734,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     link; a row without doc_id passes links on but never names a component (null if alone). An
     empty table gives no rows; other columns are ignored.
     """
+    return _join(docs, False)
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """``jaccard_components`` with n_links, the number of other rows that the row links with; copies count one by one."""
+    return _join(docs, True)
+
+
+def _join(docs: DataFrame, count: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     sets, _ = table(describe(docs), "described")
     rows = sets.where("chunk is null")
     nodes = rows.where("fp is not null").groupBy("fp").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
+        F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")
     )
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        none = [F.lit(0).cast("long").alias("n_links")] if count else []
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *none)
     nodes, _ = table(nodes, "nodes")
 
     # pivots and their clusters
@@ -692,12 +790,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = known.where("closed").select("a", "b").union(inside_links(hoods, docs))
     clusters = merged(clusters, links)
     clusters = merged(clusters, answers(candidates(entries, clusters, hoods), members, docs))
-    named = nodes.select("fp", "doc_id").join(clusters.withColumnRenamed("node", "fp"), "fp", "left").withColumn("whole", F.coalesce("component", "fp"))
+    named = nodes.select("fp", "n", "doc_id", "copies").join(clusters.withColumnRenamed("node", "fp"), "fp", "left").withColumn("whole", F.coalesce("component", "fp"))
     smallest = named.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
-    final = named.select("fp", "whole").join(smallest, "whole").select("fp", "component_id")
-    return rows.join(final, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    final = named.select("fp", "whole", "copies").join(smallest, "whole").select("fp", "component_id", "copies")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if count:
+        final = final.join(link_counts(named.select("fp", "n", "copies", "whole"), members, docs), "fp", "left")
+        columns.append(F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(final, "fp", "left").select(*columns)
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
