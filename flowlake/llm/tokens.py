@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 
@@ -53,8 +54,8 @@ class Encoder:
 
     A byte-level BPE never joins bytes across the boundaries of its pattern, so a text that has no
     two spaces in a row is encoded space by space, and what the library returned for a word is
-    kept. Every other text, and every other kind of tokenizer, goes to the library as a whole.
-    Strings of special tokens are ordinary text.
+    kept. Every other text, every text that holds the string of an added token, and every other
+    kind of tokenizer goes to the library as a whole.
     """
 
     def __init__(self, text: str):
@@ -62,7 +63,8 @@ class Encoder:
 
         spec = json.loads(text)
         self.tok = Tokenizer.from_str(text)
-        self.tok.encode_special_tokens = True
+        added = sorted({t.content for t in self.tok.get_added_tokens_decoder().values() if t.content})
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -99,7 +101,7 @@ class Encoder:
         """Null and empty texts have no ids."""
         if not text:
             return np.empty(0, self.dtype)
-        if not self.by_word or "  " in text:
+        if not self.by_word or "  " in text or self.added(text):
             raw = self._raw(text)
         else:
             words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
