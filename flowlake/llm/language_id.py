@@ -22,7 +22,7 @@ from .common import small_batches
 SAMPLE_ROWS, PIECE_CHARS, TRAIN_SYMBOLS = 192, 512, 49_152
 #: Symbols of a block. Phrases don't span blocks, alike for every language.
 BLOCK, STEP_BLOCKS = 512, 8192
-#: Bits per symbol above which no learned language explains a text.
+#: Bits per symbol above which no learned language explains a text. The first phrase, which every text needs, is free.
 MAX_BITS = 7.0
 
 SPACE, UNKNOWN, PAD = 0, 1, 2
@@ -133,8 +133,16 @@ class Model:
 
     def bits_per_symbol(self, texts: list[str | None]) -> np.ndarray:
         """Normalised phrases of each text for each language: phrases * log2(training symbols) / symbols."""
+        return self.rates(texts)[0]
+
+    def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per symbol of all phrases, and of those that a perfect match of the text wouldn't need.
+
+        The latter leave the first phrase out, unless the text is one symbol that the language doesn't have.
+        """
         total = np.zeros((len(texts), len(self.langs)))
         size = np.zeros(len(texts))
+        strange = np.zeros((len(texts), len(self.langs)), bool)
         blocks: list[np.ndarray] = []
         owner: list[np.ndarray] = []
         held = 0
@@ -153,6 +161,8 @@ class Model:
                 continue
             s = symbols(t, self.classes)
             size[i] = len(s)
+            if len(s) == 1:
+                strange[i] = [table[s[0]] == 1 for table in self.tables]
             n = -(-len(s) // BLOCK)
             own = np.full(n * BLOCK, PAD, np.uint8)
             own[: len(s)] = s
@@ -165,7 +175,8 @@ class Model:
                 if held >= STEP_BLOCKS:
                     flush()
         flush()
-        return total * np.array(self.bits) / np.maximum(size, 1)[:, None]
+        a_phrase = np.array(self.bits) / np.maximum(size, 1)[:, None]
+        return total * a_phrase, np.maximum(total - ~strange, 0) * a_phrase
 
 
 def held_out(doc_id) -> F.Column:
@@ -196,7 +207,7 @@ def training_texts(docs: DataFrame) -> dict[str, list[str]]:
 
 
 def predict(docs: DataFrame, train: dict[str, list[str]], *keep: str) -> DataFrame:
-    """Adds _lang, _score and _bits to the ``keep`` columns of every row of ``docs``; reads text alone."""
+    """Adds _lang, _score, _bits and _more (what _bits holds beyond one phrase, in the language with least) to the ``keep`` columns of every row of ``docs``; reads text alone."""
     small_batches(docs.sparkSession)
     classes = byte_classes([t for texts in train.values() for t in texts])
     sent = docs.sparkSession.sparkContext.broadcast((train, classes))
@@ -210,26 +221,28 @@ def predict(docs: DataFrame, train: dict[str, list[str]], *keep: str) -> DataFra
         model = _models[key]
         for b in batches:
             texts = b.column("text").to_pylist()
-            lang, score, bits = [], [], []
-            rates = model.bits_per_symbol(texts) if model.langs else np.zeros((len(texts), 0))
-            for t, r in zip(texts, rates):
+            lang, score, bits, more = [], [], [], []
+            rates = model.rates(texts) if model.langs else (np.zeros((len(texts), 0)),) * 2
+            for t, r, m in zip(texts, *rates):
                 if not letters(t) or not len(r):
                     lang.append("und")
                     score.append(0.0)
                     bits.append(None)
+                    more.append(None)
                     continue
                 best = int(np.argmin(r))  # equal rates: the first language in order
                 rest = np.delete(r, best)
                 lang.append(model.langs[best])
                 score.append(float(1 - r[best] / rest.min()) if len(rest) and rest.min() > 0 else 1.0)
                 bits.append(float(r[best]))
-            found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.record_batch([*(b.column(c) for c in keep), *found], names=[*keep, "_lang", "_score", "_bits"])
+                more.append(float(m.min()))
+            found = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in (score, bits, more))]
+            yield pa.record_batch([*(b.column(c) for c in keep), *found], names=[*keep, "_lang", "_score", "_bits", "_more"])
         pa.default_memory_pool().release_unused()
 
     d = docs.select(*keep, *([F.col("text").cast("string").alias("text")] if "text" not in keep else []))
     schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes if c in keep)
-    return d.mapInArrow(run, f"{schema}, _lang string, _score double, _bits double")
+    return d.mapInArrow(run, f"{schema}, _lang string, _score double, _bits double, _more double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -242,14 +255,15 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     found = predict(rows, training_texts(docs), "doc_id", "held_out")
-    return found.withColumnsRenamed({"_lang": "lang_pred", "_score": "score", "_bits": "bits"})
+    return found.drop("_more").withColumnsRenamed({"_lang": "lang_pred", "_score": "score", "_bits": "bits"})
 
 
 def keep_known(docs: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that a learned language explains, with all their columns; a null lang is filled in.
 
-    Rows without a letter go, and those that need more than ``max_bits`` per symbol in every language.
+    Rows without a letter go, and those that need more than ``max_bits`` per symbol in every language
+    for the phrases beyond the first: a text of a few symbols that one phrase explains stays.
     """
     columns = docs.columns
-    found = predict(docs, training_texts(docs), *columns).where((F.col("_lang") != "und") & (F.col("_bits") <= max_bits))
+    found = predict(docs, training_texts(docs), *columns).where((F.col("_lang") != "und") & (F.col("_more") <= max_bits))
     return found.withColumn("lang", F.coalesce("lang", "_lang")).select(*columns)
