@@ -73,30 +73,33 @@ def pair_hits(docs: DataFrame, template: DataFrame, hashes: list[int]) -> DataFr
 
 
 def diagonals(hits: DataFrame, template: DataFrame) -> DataFrame:
-    """Votes by row, template and diagonal: ``(row, label, is_base, pairs, diagonal, votes, first_at, last_at)``."""
+    """Votes by row, template and diagonal: ``(row, label, is_base, pairs, diagonal, places, votes, first_at, last_at)``."""
     votes = hits.select("row", F.explode("hits").alias("x")).select("row", "x.*")
     joined = votes.join(F.broadcast(template), ["h", "first", "second"])  # equal words: the hash alone decides nothing
     return joined.groupBy("row", "label", "is_base", "pairs", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count_distinct("place").alias("votes"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
-    )
+        F.collect_set("place").alias("places"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
+    ).withColumn("votes", F.size("places").cast("long"))
 
 
 def spans(votes: DataFrame, coverage: float = COVERAGE, drift: int = DRIFT) -> DataFrame:
     """Verified spans of the longer templates: ``(row, label, start, end, score)``, words from start to end exclusive.
 
-    Diagonals of one template merge when they lie at most ``drift`` apart and their spans are at
-    most a template's length apart (words put in or left out between them). A span counts if
-    its votes cover enough of the template and it isn't much longer than the template.
+    Diagonals of one template merge when they lie at most ``drift`` apart (words put in or left out
+    between them). A diagonal is the template's place in the text, so those lie within a template's
+    length of each other, and hits elsewhere don't come between them. Diagonals that together are
+    much longer than the template stand alone. A span counts if its votes, each place of the
+    template once, cover enough of the template and it isn't much longer than the template.
     """
-    order = Window.partitionBy("row", "label").orderBy("first_at", "diagonal")
-    far = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > drift) | (
-        F.col("first_at") - F.max("last_at").over(order.rowsBetween(Window.unboundedPreceding, -1)) > drift + 1
-    )
+    order = Window.partitionBy("row", "label").orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(order) > drift
     island = F.sum(F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).over(order)
+    whole = Window.partitionBy("row", "label", "island")
+    long_ = F.max("last_at").over(whole) + 2 - F.min("first_at").over(whole) > 2 * F.col("pairs") + 2
     merged = (
-        votes.where("not is_base").withColumn("island", island)
-        .groupBy("row", "label", "pairs", "island")
-        .agg(F.sum("votes").alias("votes"), F.min("first_at").alias("start"), (F.max("last_at") + 2).alias("end"))
+        votes.where("not is_base").withColumn("island", island).withColumn("alone", F.when(long_, F.col("diagonal")))
+        .select("row", "label", "pairs", "island", "alone", "first_at", "last_at", F.explode("places").alias("place"))
+        .groupBy("row", "label", "pairs", "island", "alone")
+        .agg(F.count_distinct("place").alias("votes"), F.min("first_at").alias("start"), (F.max("last_at") + 2).alias("end"))
     )
     score = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
     return merged.withColumn("score", score).where((F.col("score") >= coverage) & (F.col("end") - F.col("start") <= 2 * F.col("pairs") + 2)).select(
