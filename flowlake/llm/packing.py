@@ -8,6 +8,8 @@ is used. What the rounding leaves is laid end to end, longest first, and cut at
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import delete_path, table
-from .tokens import encoder, ids_crc32, tokenizer_text
+from .tokens import encoder, ids_crc32, slabs, tokenizer_text
 
 WINDOW = 1024
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary, part int, place long"
@@ -121,23 +123,35 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW)
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
 
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
     def run(batches):
         enc, part = encoder(spec.value), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for b in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(enc.encode(text.as_py()), np.array(end_id, enc.dtype))
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    n = len(piece)
-                    row = (doc_id, start, n, ids_crc32(piece), len(ids), piece.tobytes() if n < window else None, part, int(seen[n]))
-                    seen[n] += 1
-                    for column, value in zip(rows, row):
-                        column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "place"]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+            for texts in slabs(b):
+                ids, tokens = enc.encode_all(texts.column(1), end_id)
+                first = np.cumsum(tokens) - tokens
+                count = -(-tokens // window)
+                doc = np.repeat(np.arange(len(tokens)), count)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * window
+                length = np.minimum(tokens[doc] - start, window)
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                at, stop = ((x * enc.dtype.itemsize).tolist() for x in (first[doc] + start, first[doc] + start + length))
+                wide = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                crc = [zlib.crc32(wide[i:j]) for i, j in zip((4 * (first[doc] + start)).tolist(), (4 * (first[doc] + start + length)).tolist())]
+                kept = [bytes(raw[i:j]) if n < window else None for i, j, n in zip(at, stop, length.tolist())]
+                # numbered by length, in order
+                order = np.argsort(length, kind="stable")
+                sizes, begin, times = np.unique(length[order], return_index=True, return_counts=True)
+                nth = np.empty(len(length), np.int64)
+                nth[order] = np.arange(len(length)) - np.repeat(begin, times) + np.repeat(seen[sizes], times)
+                seen[sizes] += times
+                columns = (
+                    texts.column(0).take(pa.array(doc)), pa.array(start), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(tokens[doc]),
+                    pa.array(kept, pa.binary()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth),
+                )
+                yield pa.record_batch([*columns], names=names)
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return columns.mapInArrow(run, PIECES)

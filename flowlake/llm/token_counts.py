@@ -1,7 +1,7 @@
 """Exact length histogram: totals, quantiles and truncated totals for every context limit.
 
-Documents are aggregated by their encoded length; every answer is a suffix sum over the distinct
-lengths, so no document is read twice.
+Documents are aggregated by their encoded length into a written table of one row per length;
+every answer is a suffix sum over it, so no document is read twice.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import encoder, tokenizer_text
+from .common import table
+from .tokens import encoder, slabs, tokenizer_text
 
 #: Distinct lengths whose suffix sums one window group adds up.
 BLOCK = 256
@@ -23,8 +24,8 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str, text: str = "text") ->
     def run(batches):
         enc = encoder(spec.value)
         for b in batches:
-            lengths = [len(enc.encode(x.as_py())) for x in b.column(0)]
-            yield pa.record_batch([pa.array(lengths, pa.int64())], names=["n_tokens"])
+            for part in slabs(b, 0):
+                yield pa.record_batch([pa.array(enc.encode_all(part.column(0))[1], pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
 
@@ -79,7 +80,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Da
     tokens_cut (totals when every document is cut after L tokens). Nulls and empty texts count as
     length 0, repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
-    return suffix_sums(histogram(encoded_lengths(docs, tokenizer_path, text)))
+    return suffix_sums(table(histogram(encoded_lengths(docs, tokenizer_path, text)), "lengths")[0])
 
 
 def answer(counts: DataFrame, limits: list[int]) -> DataFrame:

@@ -2,18 +2,18 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from flowlake.llm import packing
+from flowlake.llm import packing, tokens
 from flowlake.llm.tokens import Encoder, tokenizer_text
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
-ROWS = [(1, "one two three", "x"), (2, None, "x"), (3, "", "x"), (4, "wort " * 5000, "y"), (4, "wort " * 5000, "y"), (None, "no id  here", "z")]
+ROWS = [(1, "one two three", "x"), (2, None, "x"), (3, "", "x"), (4, "wort " * 5000, "y"), (4, "wort " * 5000, "y"), (None, "no id  here", "z"), (6, "stop <|endoftext|> go \n \n on", "z")]
 
 
 def naive(text, end):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -93,9 +93,32 @@ def test_least_squares_against_dense():
 
 
 def test_encoder_is_the_library():
-    enc = Encoder(tokenizer_text(PATH))
+    enc, tok = Encoder(tokenizer_text(PATH)), Tokenizer.from_file(PATH)
     rng = np.random.default_rng(1)
-    bits = ["a", "B", " ", "  ", "\n", "'s", "'re", "1", "²", "é", "ß", " !", "中", "<|endoftext|>", "\r\n", "　", "_", "\x85", "\x00"]
-    for _ in range(2000):
-        t = "".join(rng.choice(bits, int(rng.integers(0, 14))))
-        assert np.frombuffer(enc._raw(t), enc.dtype).tolist() == enc.encode(t).tolist()
+    bits = [
+        "a", "B", " ", " ", "  ", "\n", "\t", "'s", "'re", "1", "²", "é", "ß", " !", "中", "<|endoftext|>", "\r\n", "\u3000", "_", "\x85", "\x00",
+        "\x1c", "\u2028", "\u180e", "\u200b", "\ufeff", "\u0301", "\x0b", " \n", " x", "Ⅷ", "🙂",
+    ]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 14)))) for _ in range(20_000)] + [None]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, lengths = enc.encode_all(pa.array(texts))
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    ids, lengths = enc.encode_all(pa.array(texts).slice(7, 900), end_id=2)  # again, from known words
+    assert lengths.tolist() == [len(x) + 1 for x in want[7:907]] and ids.tolist() == [i for x in want[7:907] for i in [*x, 2]]
+    assert all(enc.encode(t).tolist() == w for t, w in zip(texts[:200], want))
+
+
+def test_words_and_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    monkeypatch.setattr(tokens, "WORDS", 5)
+    enc, tok = Encoder(tokenizer_text(PATH)), Tokenizer.from_file(PATH)
+    for k in range(30):
+        t = " ".join(f"w{i}, x" for i in range(k, k + 4))
+        assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_slabs_cut_no_text(monkeypatch):
+    monkeypatch.setattr(tokens, "SLAB", 10)
+    b = pa.record_batch([pa.array(range(5)), pa.array(["x" * 25, None, "abc", "defg", "hijkl"])], names=["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for p in tokens.slabs(b)]
+    assert parts == [["x" * 25], [None, "abc", "defg"], ["hijkl"]]
