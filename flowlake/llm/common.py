@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a temporary folder; a cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/checkpoints/flowlake-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -49,13 +57,36 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return table(df, name, codec)[0]
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting ``key`` while a block runs; then what it was before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+#: Shuffle files of a query go when it has ended, not when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """``written``, and the table's path, for ``delete_path``."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with setting(spark, CLEAN_UP, "true"):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ..., and the new name of each: no column of a table clashes with those of a plan."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
 def row_hash(*cols: str):
     """A 64-bit hash as a decimal, so that sums over many rows don't overflow."""
     return F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))

@@ -23,14 +23,15 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, delete_path, small_batches, table
+from .common import components, delete_path, plain_names, small_batches, table
 
 WORDS = 5
 #: Jaccard similarity as a fraction: 100 * intersection >= 75 * union.
@@ -42,6 +43,10 @@ BUCKETS, CHUNKS = 1 << 24, 256
 BANDS, BAND_ROWS = 6, 3
 #: Shingles of a block of a neighbourhood, what a small set counts as at least, and columns of an incidence matrix.
 BLOCK_ITEMS, LEAST_ITEMS, WIDTH = 400_000, 256, 2048
+#: Pairs that meet one copy of a set.
+MEET = 256
+#: Fingerprints that different sets may share.
+SHARED = 10_000
 #: Filter of wanted sets: bits.
 FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once, index entries that one message or group holds.
@@ -147,12 +152,15 @@ def shingle_set(b: np.ndarray) -> np.ndarray:
     return _of_words(w, shingles(w))
 
 
-def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    """64 bits that stand for each set, as signed longs."""
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits that stand for each set, and 64 more that take their place where strangers share the first; signed longs."""
     size = np.array([len(s) for s in sets], np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(np.concatenate(sets) + _PLACE[2]))))
     end = np.cumsum(size).astype(np.int64)
-    return _mix(size * _PLACE[1] + total[end] - total[end - size.astype(np.int64)]).view(np.int64)
+    items, out = np.concatenate(sets), []
+    for a, b in ((_PLACE[2], _PLACE[1]), (_PLACE[4], _PLACE[3])):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(items + a))))
+        out.append(_mix(size * b + total[end] - total[end - size.astype(np.int64)]).view(np.int64))
+    return out[0], _mix(out[0].view(np.uint64) * _PLACE[5] + out[1].view(np.uint64)).view(np.int64)
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -217,15 +225,31 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
             yield data[offsets[i] : offsets[i + 1]] if valid[i] else data[:0]
 
 
-def _named_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """Fingerprint and set of each text that has words."""
+def _named_sets(column: pa.Array, shared: frozenset[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Name and set of each text that has words; ``shared``: see ``Texts``."""
     for sets in _set_groups(_texts(column)):
         if full := [s for s in sets if len(s)]:
-            yield from zip(fingerprints(full).tolist(), full)
+            first, other = (x.tolist() for x in fingerprints(full))
+            yield from zip([o if f in shared else f for f, o in zip(first, other)], full) if shared else zip(first, full)
 
 
-def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text"))
+@dataclass(frozen=True)
+class Texts:
+    """The table of texts, and the fingerprints that different sets share: those sets go by their other 64 bits.
+
+    Of n sets, n^2 / 2^65 share one: none up to a billion, a few of ten billion.
+    """
+
+    table: DataFrame
+    shared: frozenset[int] = frozenset()
+
+    @property
+    def text(self) -> DataFrame:
+        return self.table.select(F.col("text").cast("string").alias("text"))
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.table.sparkSession
 
 
 class _Counter:
@@ -247,36 +271,42 @@ class _Counter:
             self.wait, self.held = [], 0
 
 
-SETS = "doc_id long, n long, fp long, bands array<long>, chunk int, counts binary"
+SETS = "doc_id long, key long, n long, fp long, other long, bands array<long>, chunk int, counts binary"
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, n, fp, bands) and, of each task, the bucket counts by chunk."""
+    """One row per document (doc_id, key, n, fp, other, bands) and, of each task, the bucket counts by chunk.
+
+    key: a hash of the text; fp and other: see ``fingerprints``.
+    """
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+    names = [x.split()[0] for x in SETS.split(", ")]
 
     def run(batches):
         seen = _Counter()
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-        names = [x.split()[0] for x in SETS.split(", ")]
         for b in batches:
-            n, fp, bands = [], [], []
-            for sets in _set_groups(_texts(b.column(1))):
+            n, fp, other, bands = [], [], [], []
+            for sets in _set_groups(_texts(b.column(2))):
                 full = [s for s in sets if len(s)]
                 n += map(len, sets)
                 if full:
-                    names_, keys = iter(fingerprints(full).tolist()), iter(band_keys(full).tolist())
+                    first, second = (iter(x.tolist()) for x in fingerprints(full))
+                    keys = iter(band_keys(full).tolist())
                     seen.add(np.concatenate(full))
-                fp += [next(names_) if len(s) else None for s in sets]
+                fp += [next(first) if len(s) else None for s in sets]
+                other += [next(second) if len(s) else None for s in sets]
                 bands += [next(keys) if len(s) else None for s in sets]
             none = [None] * len(n)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip((b.column(0), n, fp, bands, none, none), types)], names=names)
+            columns = (b.column(0), b.column(1), n, fp, other, bands, none, none)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
         seen.flush()
         if seen.count.any():
             parts = [zlib.compress(c.tobytes(), 1) for c in seen.count.reshape(CHUNKS, -1)]
             none = [None] * CHUNKS
-            yield pa.record_batch([pa.array(c, t) for c, t in zip((none, none, none, none, range(CHUNKS), parts), types)], names=names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip((*[none] * 6, range(CHUNKS), parts), types)], names=names)
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, SETS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, SETS)
 
 
 def common_buckets(sets: DataFrame, total: int) -> np.ndarray:
@@ -324,15 +354,15 @@ def wanted(fps: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def sets_of(docs: DataFrame, fps: DataFrame) -> DataFrame:
+def sets_of(docs: Texts, fps: DataFrame) -> DataFrame:
     """``(fp, items binary)``: the sorted shingle hashes of the wanted sets, made again from the texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted(fps))
+    sent, shared = docs.spark.sparkContext.broadcast(wanted(fps)), docs.shared
 
     def run(batches):
         bits, done = sent.value, set()
         for b in batches:
             fp, items = [], []
-            for f, s in _named_sets(b.column(0)):
+            for f, s in _named_sets(b.column(0), shared):
                 slot = f % FILTER_BITS
                 if f not in done and bits[slot >> 3] >> (7 - (slot & 7)) & 1:
                     done.add(f)
@@ -343,29 +373,46 @@ def sets_of(docs: DataFrame, fps: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(fp, pa.int64()), pa.array(items, pa.binary())], names=["fp", "items"])
         pa.default_memory_pool().release_unused()
 
-    found = _text(docs).mapInArrow(run, "fp long, items binary").join(fps.select("fp").distinct(), "fp", "left_semi")
+    found = docs.text.mapInArrow(run, "fp long, items binary").join(fps.select("fp").distinct(), "fp", "left_semi")
     return found.groupBy("fp").agg(F.first("items").alias("items"))
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds ``overlap`` to ``pairs(a, b)``: the size of the two sets' intersection, from the sets themselves."""
+def _beside(pairs: DataFrame, sets: DataFrame, x: str) -> tuple[DataFrame, list[str]]:
+    """``pairs`` with the items of the sets in column ``x``, as ``x`` + items, and the tables that can go later.
+
+    A set that many pairs name (a pivot of a large group) is copied once for every MEET of them, and
+    its pairs are dealt out over the copies.
+    """
+    hot, path = table(pairs.groupBy(x).agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("copies")).where("copies > 1"), "hot-sets")
+    one = F.coalesce("copies", F.lit(1))
+    other = "b" if x == "a" else "a"
+    p = pairs.join(hot, x, "left").withColumn("copy", F.pmod(F.xxhash64(other), one).cast("int")).drop("copies")
+    s = sets.withColumnsRenamed({"fp": x, "items": f"{x}items"}).join(hot, x, "left")
+    s = s.withColumn("copy", F.explode(F.sequence(F.lit(0), one - 1))).drop("copies")
+    return p.join(s, [x, "copy"]).drop("copy"), [path]
+
+
+def overlaps(pairs: DataFrame, docs: Texts) -> tuple[DataFrame, str]:
+    """``pairs(a, b)`` with ``overlap``, the size of the two sets' intersection, from the sets themselves; and the table's path."""
+    pairs = pairs.select("a", "b")
     fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets, path = table(sets_of(docs, fps), "sets")
-    left = sets.select(F.col("fp").alias("a"), F.col("items").alias("xa"))
-    right = sets.select(F.col("fp").alias("b"), F.col("items").alias("xb"))
 
     def run(batches):
         for g in batches:
             n = [
                 len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True))
-                for x, y in zip(g.column("xa"), g.column("xb"))
+                for x, y in zip(g.column("aitems"), g.column("bitems"))
             ]
             yield pa.record_batch([g.column("a"), g.column("b"), pa.array(n, pa.int64())], names=["a", "b", "overlap"])
         pa.default_memory_pool().release_unused()
 
-    found, _ = table(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, overlap long"), "overlaps")
-    delete_path(docs.sparkSession, path)
-    return found
+    left, more = _beside(pairs, sets, "a")
+    both, last = _beside(left, sets, "b")
+    found, out = table(both.mapInArrow(run, "a long, b long, overlap long"), "overlaps")
+    for p in (path, *more, *last):
+        delete_path(docs.spark, p)
+    return found, out
 
 
 def pivots(nodes: DataFrame) -> DataFrame:
@@ -376,15 +423,15 @@ def pivots(nodes: DataFrame) -> DataFrame:
     return shared.groupBy("fp").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("fp").alias("a"), "b")
 
 
-POSTINGS = "part int, items binary, owner binary, place binary, fps binary, sizes binary"
+POSTINGS = "part int, entries long, items binary, owner binary, place binary, fps binary, sizes binary"
 
 
-def postings(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
+def postings(docs: Texts, common: np.ndarray, parts: int) -> DataFrame:
     """Index entries (shingle, set, position) of every set's prefix, packed by range of the shingle's hash.
 
     The order is: shingles of uncommon buckets before those of common ones, then by hash.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+    sent, shared = docs.spark.sparkContext.broadcast(np.packbits(common)), docs.shared
     shift = _u(64 - int(math.log2(parts)))
 
     def run(batches):
@@ -398,19 +445,19 @@ def postings(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             f, s = np.array(fps, np.int64), np.array(sizes, np.int32)
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for k in range(parts):
                 own = order[ends[k] : ends[k + 1]]
                 if len(own):
                     who, at = np.unique(o[own], return_inverse=True)
-                    row = (k, x[own], at.astype(np.uint32), p[own], f[who], s[who])
+                    row = (k, len(own), x[own], at.astype(np.uint32), p[own], f[who], s[who])
                     for column, value in zip(rows, row):
                         column.append(value if isinstance(value, int) else zlib.compress(value.tobytes(), 1))
-            types = (pa.int32(), *[pa.binary()] * 5)
+            types = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
             return pa.record_batch([pa.array(c, t) for c, t in zip(rows, types)], names=[c.split()[0] for c in POSTINGS.split(", ")])
 
         for b in batches:
-            for f, s in _named_sets(b.column(0)):
+            for f, s in _named_sets(b.column(0), shared):
                 if f in done:
                     continue
                 done.add(f)
@@ -432,14 +479,23 @@ def postings(docs: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return _text(docs).mapInArrow(run, POSTINGS)
+    return docs.text.mapInArrow(run, POSTINGS)
 
 
 ENTRIES = "item long, fp long, n long, at long"
 
 
 def lists(packed: DataFrame) -> DataFrame:
-    """Entries of the lists that hold at least two sets: ``(item, fp, n, at)``."""
+    """Entries of the lists that hold at least two sets: ``(item, fp, n, at)``, as a written table.
+
+    Parts of the index are unpacked in groups. A part with many more entries than the mean (that of a
+    very common shingle) is dealt out over several groups, and what these leave is put together by
+    aggregations, so no task holds a long list.
+    """
+    spark = packed.sparkSession
+    held = packed.groupBy("part").agg(F.ceil(F.sum("entries") / (4 * PART_ENTRIES)).cast("int").alias("groups")).where("groups > 1")
+    hot, hot_path = table(held, "hot-parts")
+    split = packed.join(hot, "part", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("fps"), "groups"), F.lit(-1)).cast("int"))
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         x, f, n, at = [], [], [], []
@@ -455,16 +511,27 @@ def lists(packed: DataFrame) -> DataFrame:
         x, f, n, at = map(np.concatenate, (x, f, n, at))
         order = np.lexsort((f, x))
         x, f, n, at = x[order], f[order], n[order], at[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (f[1:] != f[:-1])  # copies met by different tasks
-        x, f, n, at = x[new], f[new], n[new], at[new]
-        same = x[1:] == x[:-1]
-        many = np.zeros(len(x), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        return pd.DataFrame({"item": x[many].view(np.int64), "fp": f[many], "n": n[many].astype(np.int64), "at": at[many].astype(np.int64)})
-
-    return packed.groupBy("part").applyInPandas(run, ENTRIES)
+        keep = np.ones(len(x), bool)
+        keep[1:] = (x[1:] != x[:-1]) | (f[1:] != f[:-1])  # copies met by different tasks
+        x, f, n, at = x[keep], f[keep], n[keep], at[keep]
+        whole = key[1] < 0
+        if whole:
+            same = x[1:] == x[:-1]
+            keep = np.zeros(len(x), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            x, f, n, at = x[keep], f[keep], n[keep], at[keep]
+        return pd.DataFrame({"item": x.view(np.int64), "fp": f, "n": n.astype(np.int64), "at": at.astype(np.int64), "whole": whole})
+
+    entries, path = table(split.drop("groups").groupBy("part", "piece").applyInPandas(run, f"{ENTRIES}, whole boolean"), "entries")
+    done = entries.where("whole").drop("whole")
+    if not hot.isEmpty():
+        open_ = entries.where("not whole").groupBy("item", "fp").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+        many = open_.groupBy("item").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("item")
+        done, _ = table(done.unionByName(open_.join(many, "item")), "all-entries")
+        delete_path(spark, path)
+    delete_path(spark, hot_path)
+    return done
 
 
 def neighbourhoods(entries: DataFrame) -> DataFrame:
@@ -531,7 +598,7 @@ def _inside(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def inside_links(hoods: DataFrame, docs: DataFrame) -> DataFrame:
+def inside_links(hoods: DataFrame, docs: Texts) -> DataFrame:
     """Links ``(a, b)`` inside neighbourhoods, of the sets that don't link with their pivot with any other member.
 
     ``hoods``: (fp, pivot, n, closed). Neighbourhoods are cut into blocks of shingles, open blocks
@@ -539,10 +606,10 @@ def inside_links(hoods: DataFrame, docs: DataFrame) -> DataFrame:
     shingles, which bounds the sets of a block too.
     """
     items = F.greatest(F.col("n"), F.lit(LEAST_ITEMS))
-    sizes = hoods.groupBy("pivot").agg(
+    sizes, sizes_path = table(hoods.groupBy("pivot").agg(
         F.ceil(F.sum(F.when(~F.col("closed"), items)) / BLOCK_ITEMS).cast("int").alias("nl"), F.ceil(F.sum(items) / BLOCK_ITEMS).cast("int").alias("nr"), F.count(F.lit(1)).alias("k")
-    ).where("nl > 0 and k > 1")
-    h, path = table(hoods.join(sizes.drop("k"), "pivot"), "open-hoods")
+    ).where("nl > 0 and k > 1").drop("k"), "hood-sizes")
+    h, path = table(hoods.join(sizes, "pivot"), "open-hoods")
     sets, sets_path = table(sets_of(docs, h.select("fp")), "hood-sets")
     lb, rb = F.pmod(F.xxhash64("fp"), "nl").cast("int"), F.pmod(F.xxhash64("fp"), "nr").cast("int")
     right = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda i: F.struct(i.alias("l"), rb.alias("r"), F.lit(False).alias("left")))
@@ -550,8 +617,8 @@ def inside_links(hoods: DataFrame, docs: DataFrame) -> DataFrame:
     every = F.when(F.col("closed"), right).otherwise(F.concat(left, right))
     rows = h.join(sets, "fp").select("pivot", "fp", "n", "closed", "items", F.inline(every))
     links, _ = table(rows.groupBy("pivot", "l", "r").applyInPandas(_inside, "a long, b long"), "inside")
-    delete_path(docs.sparkSession, path)
-    delete_path(docs.sparkSession, sets_path)
+    for p in (sizes_path, path, sets_path):
+        delete_path(docs.spark, p)
     return links
 
 
@@ -565,10 +632,10 @@ def bridges(links: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def merged(clusters: DataFrame, links: DataFrame) -> DataFrame:
+def merged(clusters: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
     """Clusters after the links between their sets are added; clusters are stars, so these stay shallow."""
     stars = clusters.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return table(components(stars.union(bridges(links, clusters))), "clusters")[0]
+    return table(components(stars.union(bridges(links, clusters))), "clusters")
 
 
 def candidates(entries: DataFrame, clusters: DataFrame, hoods: DataFrame) -> DataFrame:
@@ -612,7 +679,7 @@ def candidates(entries: DataFrame, clusters: DataFrame, hoods: DataFrame) -> Dat
     return pairs.where(enough(F.col("common"))).select("a", "b", "na", "nb")
 
 
-def answers(cands: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+def answers(cands: DataFrame, members: DataFrame, docs: Texts) -> DataFrame:
     """Links ``(a, b)`` among the candidates, derived from their pivots' answers where these decide.
 
     ``members``: (fp, pivot, added, removed), the sizes of a linked set's differences from its
@@ -630,19 +697,22 @@ def answers(cands: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     c = c.withColumn("lo", F.least("pa", "pb")).withColumn("hi", F.greatest("pa", "pb"))
     c, path = table(c, "candidates")
     pivot_pairs = c.select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
-    known = overlaps(pivot_pairs, docs).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "overlap")
-    c = c.join(known, ["lo", "hi"])
+    known, known_path = overlaps(pivot_pairs, docs)
+    c = c.join(known.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "overlap"), ["lo", "hi"])
     low = F.greatest(zero, F.col("overlap") - F.col("rema") - F.col("remb"))
     high = F.least(F.col("overlap") + F.col("adda") + F.col("addb"), "na", "nb")
     c = c.withColumn("sure", similar(low, F.col("na"), F.col("nb"))).withColumn("open", similar(high, F.col("na"), F.col("nb")))
     links = c.where("sure").select("a", "b")
     rest, rest_path = table(c.where("open and not sure").select("a", "b", "na", "nb"), "undecided")
+    paths = [path, known_path, rest_path]
     if not rest.isEmpty():
-        found = overlaps(rest, docs).join(rest, ["a", "b"]).where(similar(F.col("overlap"), F.col("na"), F.col("nb")))
+        found, found_path = overlaps(rest, docs)
+        found = found.join(rest, ["a", "b"]).where(similar(F.col("overlap"), F.col("na"), F.col("nb")))
         links = links.union(found.select("a", "b"))
+        paths.append(found_path)
     links, _ = table(links, "answers")
-    delete_path(docs.sparkSession, path)
-    delete_path(docs.sparkSession, rest_path)
+    for p in paths:
+        delete_path(docs.spark, p)
     return links
 
 
@@ -667,7 +737,7 @@ def _counted(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"fp": np.concatenate(fps), "links": np.concatenate(links)})
 
 
-def link_counts(sets: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+def link_counts(sets: DataFrame, members: DataFrame, docs: Texts) -> DataFrame:
     """``(fp, links)``: the rows of other sets that each set links with; sets without such links don't appear.
 
     ``sets``: (fp, n, copies, whole), whole being the component, outside which nothing links. A
@@ -720,7 +790,7 @@ def link_counts(sets: DataFrame, members: DataFrame, docs: DataFrame) -> DataFra
     found = small.union(open_).join(items, "fp").groupBy("bin").applyInPandas(_counted, "fp long, links long")
     out, _ = table(found.union(sure).groupBy("fp").agg(F.sum("links").alias("links")).where("links > 0"), "link-counts")
     for p in (path, large_path, pairs_path, items_path):
-        delete_path(docs.sparkSession, p)
+        delete_path(docs.spark, p)
     return out
 
 
@@ -734,77 +804,117 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     link; a row without doc_id passes links on but never names a component (null if alone). An
     empty table gives no rows; other columns are ignored.
     """
-    return _join(docs, False)
+    rows, named, _, _ = _joined(docs)
+    return _per_row(rows, named.select("fp", "component_id"))
 
 
 def jaccard_links(docs: DataFrame) -> DataFrame:
     """``jaccard_components`` with n_links, the number of other rows that the row links with; copies count one by one."""
-    return _join(docs, True)
+    rows, named, members, texts = _joined(docs)
+    if members is None:
+        return _per_row(rows, named.select("fp", "component_id")).withColumn("n_links", F.lit(0).cast("long"))
+    links = link_counts(named.select("fp", "n", "copies", "whole"), members, texts)
+    found = named.select("fp", "component_id", "copies").join(links, "fp", "left")
+    own = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
+    return _per_row(rows, found.select("fp", "component_id", own.alias("n_links"))).fillna(0, ["n_links"])
+
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest doc_id.
 
-def _join(docs: DataFrame, count: bool) -> DataFrame:
-    small_batches(docs.sparkSession)
-    sets, _ = table(describe(docs), "described")
-    rows = sets.where("chunk is null")
-    nodes = rows.where("fp is not null").groupBy("fp").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")
+    Rows without a doc_id come last; of rows with one doc_id, the smallest hash of the text decides, and
+    of rows that repeat both, any. Rows without words link with nothing and stay.
+    """
+    rows, named, _, _ = _joined(docs)
+    ids = ("nameless", "doc_id", "key")
+    first = named.groupBy("whole").agg(F.min("rank").alias("rank")).select("rank.*", F.lit(False).alias("apart"))
+    rest = rows.where("fp is null").select(*_rank(), F.lit(True).alias("apart")).distinct()
+    keep = first.unionByName(rest).toDF(*(f"{c}_kept" for c in (*ids, "apart")))
+    d, name = plain_names(docs)
+    text = F.col(name["text"]).cast("string")
+    own = d.withColumns(dict(zip(ids, _rank(F.col(name["doc_id"]).cast("long"), F.xxhash64(text)))))
+    kept = own.join(keep, [F.col(c) == F.col(f"{c}_kept") for c in ids]).withColumn("nth", F.when(F.col("apart_kept"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates([*ids, "nth"]).select(*d.columns).toDF(*docs.columns)
+
+
+def _rank(doc_id: Column | None = None, key: Column | None = None) -> tuple[Column, ...]:
+    """What a row is ranked by within its component; never null."""
+    doc_id, key = F.col("doc_id") if doc_id is None else doc_id, F.col("key") if key is None else key
+    return doc_id.isNull().alias("nameless"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"), key.alias("key")
+
+
+def _per_row(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets(fp, component_id, ...)`` for every row; a row without words is alone."""
+    more = [c for c in sets.columns if c not in ("fp", "component_id")]
+    alone = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.join(sets, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), alone, *more)
+
+
+def _names(sets: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """``sets`` with a name for each set in ``fp``, and the fingerprints that different sets share (see ``Texts``)."""
+    twice = sets.where("fp is not null").groupBy("fp").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("fp")
+    shared = [r["fp"] for r in twice.limit(SHARED + 1).collect()]
+    if len(shared) > SHARED:
+        raise RuntimeError("too many sets share 64 bits")
+    if not shared:
+        return sets, frozenset()
+    return sets.withColumn("fp", F.when(F.col("fp").isin(shared), F.col("other")).otherwise(F.col("fp"))), frozenset(shared)
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, Texts]:
+    """Rows (doc_id, key, n, fp), sets (fp, n, copies, whole, rank, component_id), members (see ``answers``) and texts.
+
+    whole names a set's component. Without any words, there are no sets and no members.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    described, _ = table(describe(docs), "described")
+    described, shared = _names(described)
+    texts = Texts(docs, shared)
+    rows = described.where("chunk is null").select("doc_id", "key", "n", "fp")
+    nodes = described.where("fp is not null").groupBy("fp").agg(
+        F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min(F.struct(*_rank())).alias("rank"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")
     )
+    nodes, nodes_path = table(nodes, "nodes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
-        none = [F.lit(0).cast("long").alias("n_links")] if count else []
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *none)
-    nodes, _ = table(nodes, "nodes")
+        return rows, nodes.select("fp", "n", "copies", F.col("fp").alias("whole"), "rank", F.col("doc_id").alias("component_id")), None, texts
 
     # pivots and their clusters
-    stars, _ = table(pivots(nodes), "stars")
+    stars, stars_path = table(pivots(nodes), "stars")
     size = nodes.select("fp", "n")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        return (
-            overlaps(pairs, docs)
-            .join(size.withColumnsRenamed({"fp": "a", "n": "na"}), "a")
-            .join(size.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
-            .where(similar(F.col("overlap"), F.col("na"), F.col("nb")))
-        )
+    def compared(pairs: DataFrame) -> tuple[DataFrame, str]:
+        found, path = overlaps(pairs, texts)
+        sized = found.join(size.withColumnsRenamed({"fp": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
+        return sized.withColumn("linked", similar(F.col("overlap"), F.col("na"), F.col("nb"))), path
 
-    compared = compare(stars)
+    found, path = compared(stars)
     members, _ = table(
-        compared.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (F.col("na") - F.col("overlap")).alias("added"), (F.col("nb") - F.col("overlap")).alias("removed")),
+        found.where("linked").select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (F.col("na") - F.col("overlap")).alias("added"), (F.col("nb") - F.col("overlap")).alias("removed")),
         "members",
     )
-    star_links = members.select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    clusters, _ = table(components(star_links), "clusters")
+    delete_path(spark, path)
+    delete_path(spark, stars_path)
+    clusters, clusters_path = table(components(members.select(F.col("fp").alias("a"), F.col("pivot").alias("b"))), "clusters")
 
     # index over all sets
     parts = 1 << max(0, math.ceil(math.log2(max(1.0, total * (1 - NUM / DEN) / PART_ENTRIES))))
-    entries, _ = table(lists(postings(docs, common_buckets(sets, total), parts)), "entries")
-    near, _ = table(neighbourhoods(entries), "near")
-    known, _ = table(
-        overlaps(near.select(F.col("fp").alias("a"), F.col("pivot").alias("b")), docs)
-        .join(size.withColumnsRenamed({"fp": "a", "n": "na"}), "a")
-        .join(size.withColumnsRenamed({"fp": "b", "n": "nb"}), "b")
-        .withColumn("closed", similar(F.col("overlap"), F.col("na"), F.col("nb"))),
-        "known",
-    )
-    hoods = known.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), F.col("na").alias("n"), "closed")
-    links = known.where("closed").select("a", "b").union(inside_links(hoods, docs))
-    clusters = merged(clusters, links)
-    clusters = merged(clusters, answers(candidates(entries, clusters, hoods), members, docs))
-    named = nodes.select("fp", "n", "doc_id", "copies").join(clusters.withColumnRenamed("node", "fp"), "fp", "left").withColumn("whole", F.coalesce("component", "fp"))
+    packed, path = table(postings(texts, common_buckets(described, total), parts), "packed", "none")
+    entries = lists(packed)
+    delete_path(spark, path)
+    near, near_path = table(neighbourhoods(entries), "near")
+    found, path = compared(near.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
+    hoods, hoods_path = table(found.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), F.col("na").alias("n"), F.col("linked").alias("closed")), "known")
+    delete_path(spark, path)
+    delete_path(spark, near_path)
+    links = hoods.where("closed").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).union(inside_links(hoods, texts))
+    more, more_path = merged(clusters, links)
+    all_, _ = merged(more, answers(candidates(entries, more, hoods), members, texts))
+    for p in (clusters_path, more_path, hoods_path):
+        delete_path(spark, p)
+    named = nodes.drop("bands").join(all_.withColumnRenamed("node", "fp"), "fp", "left").withColumn("whole", F.coalesce("component", "fp"))
     smallest = named.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
-    final = named.select("fp", "whole", "copies").join(smallest, "whole").select("fp", "component_id", "copies")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
-    if count:
-        final = final.join(link_counts(named.select("fp", "n", "copies", "whole"), members, docs), "fp", "left")
-        columns.append(F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(final, "fp", "left").select(*columns)
-
-
-def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group, with all columns.
-
-    Rows that repeat doc_id and text are one document: one of them stays. Rows without a doc_id stay.
-    """
-    keep = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    named, _ = table(named.join(smallest, "whole").select("fp", "n", "copies", "whole", "rank", "component_id"), "components")
+    delete_path(spark, nodes_path)
+    return rows, named, members, texts

@@ -111,6 +111,52 @@ def test_one_per_component(spark):
     assert got == sorted(map(str, [(2, "A b c d e f", "y"), (5, None, "z"), (None, "k", "n")]))
 
 
+def test_which_row_of_a_component_stays(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    rows = [
+        (7, near, "p"), (7, "other words stand here all alone", "q"), (8, near + " u", "r"), (None, near, "s"), (None, near, "s"), (None, "lone one two three four five", "t"),
+        (9, "x y z x y z", "v"), (9, "x y z x y z", "v"), (10, "", "w"), (10, "", "w"), (None, None, "n"),
+    ]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, key int, `nth.x` string")
+    kept = nj.one_per_component(df)
+    assert kept.columns == df.columns
+    got = sorted(str(tuple(r)[:3]) for r in kept.collect())
+    assert got == sorted(map(str, [rows[0], rows[1], rows[5], rows[6], rows[8], rows[9], rows[10]]))
+
+
+def test_hot_sets_and_parts_are_split(spark, monkeypatch):
+    monkeypatch.setattr(nj, "MEET", 2)
+    monkeypatch.setattr(nj, "PART_ENTRIES", 40)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(999)}" for _ in range(60)]
+    rows = corpus(7, 15, 4)
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = f"x{rng.randrange(99)}"
+        rows.append((5000 + i, " ".join(w)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_sets_that_share_a_fingerprint_go_by_their_other_bits(spark, monkeypatch):
+    names = nj._names
+
+    def all_shared(sets):
+        fps = frozenset(r["fp"] for r in sets.where("fp is not null").select("fp").distinct().collect())
+        assert names(sets)[1] == frozenset()
+        return sets.withColumn("fp", nj.F.when(nj.F.col("fp").isNotNull(), nj.F.col("other"))), fps
+
+    monkeypatch.setattr(nj, "_names", all_shared)
+    rows = corpus(9, 12, 4) + EDGE
+    assert run(spark, rows) == brute(rows)
+
+
+def test_strangers_of_one_fingerprint_are_found(spark):
+    sets = spark.createDataFrame([(1, 10, 5), (1, 11, 6), (2, 12, 7), (2, 12, 7), (None, None, 0)], "fp long, other long, n long")
+    named, shared = nj._names(sets)
+    assert shared == {1} and sorted(str(r["fp"]) for r in named.collect()) == sorted(map(str, [10, 11, 2, 2, None]))
+
+
 def test_long_texts_are_hashed_whole(monkeypatch):
     text = ("wörd " * 50 + "x" * 300 + " tail\n" + "abc def ghi ").encode() * 3
     b = np.frombuffer(text, np.uint8)
