@@ -1,7 +1,8 @@
 """Day profiles: every operator takes logs of any number of days and groups by ``day``.
 
-The volume queries start from ``flows``: rows counted by (day, src, dst, port, proto). That one
-partially aggregated shuffle shrinks the input for all of them, and no distinct aggregate expands rows.
+Each takes log rows, or ``flows`` (rows counted by day, src, dst, port, proto), and reads its input
+once. Distinct counts are two partially aggregated steps over (group, kind, value) rows, so neither a
+day nor a source is ever one group.
 """
 
 from __future__ import annotations
@@ -17,27 +18,37 @@ def flows(logs: DataFrame) -> DataFrame:
     return logs.groupBy("day", "src_ip", "dst_ip", "dst_port", "proto").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _weight(rows: DataFrame) -> Column:
+    """Connections that a row stands for: a log row is one, a flow has ``n``."""
+    return F.col("n") if "n" in rows.columns else F.lit(1).cast("long")
+
+
+def _values(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """``(keys..., kind, value, n)``: connections by each value of the columns; kind is the column's place."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("long").alias("value")) for k, c in enumerate(columns)])
+    long_ = rows.select(*keys, _weight(rows).alias("n"), F.inline(each))
+    return long_.groupBy(*keys, "kind", "value").agg(F.sum("n").alias("n"))
+
+
+def _different(kind: int, name: str) -> Column:
+    return F.count_if((F.col("kind") == kind) & F.col("value").isNotNull()).alias(name)
+
+
 def _sum_if(condition: Column, name: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
 
 
-def globals_of(fl: DataFrame) -> DataFrame:
-    """Totals, distinct counts, port ranges and protocol counts of each day.
-
-    A day's distinct values are counted in steps, (day, value) first, so a day is never one group.
-    """
-    p = F.col("dst_port")
-    sums = fl.groupBy("day").agg(
-        F.sum("n").alias("total"),
+def globals_of(rows: DataFrame) -> DataFrame:
+    """Totals, distinct counts, port ranges and protocol counts of each day."""
+    port = F.col("kind") == 2
+    p = F.when(port, F.col("value"))
+    return _values(rows, ["day"], "src_ip", "dst_ip", "dst_port").groupBy("day").agg(
+        _sum_if(port, "total"),
         _sum_if(p.between(0, 1023), "well_known"), _sum_if(p.between(1024, 49151), "registered"), _sum_if(p >= 49152, "ephemeral"),
         _sum_if(p == 53, "dns"), _sum_if(p.isin(80, 443), "http"), _sum_if(p == 123, "ntp"), _sum_if(p == 22, "ssh"), _sum_if(p == 3389, "rdp"),
         _sum_if(p.isin(*net.MAIL_PORTS), "email"),
+        _different(0, "unique_src"), _different(1, "unique_dst"), _different(2, "unique_dst_ports"),
     )
-    out = sums
-    for column, name in (("src_ip", "unique_src"), ("dst_ip", "unique_dst"), ("dst_port", "unique_dst_ports")):
-        distinct = fl.where(F.col(column).isNotNull()).groupBy("day", column).agg(F.lit(1).alias("one"))
-        out = out.join(distinct.groupBy("day").agg(F.count(F.lit(1)).alias(name)), "day", "left")
-    return out.na.fill(0, ["unique_src", "unique_dst", "unique_dst_ports"])
 
 
 def top_k(counts: DataFrame, k: int, order: list, keys: list[str] = ["day"]) -> DataFrame:  # noqa: B006
@@ -46,67 +57,86 @@ def top_k(counts: DataFrame, k: int, order: list, keys: list[str] = ["day"]) ->
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def source_profiles(fl: DataFrame) -> DataFrame:
+def source_profiles(rows: DataFrame) -> DataFrame:
     """Per day and source: connections, distinct destinations and ports, shares of low and high ports."""
-    p = F.col("dst_port")
-    f = fl.where("src_ip is not null")
-    base = f.groupBy("day", "src_ip").agg(
-        F.sum("n").alias("connections"), _sum_if(p.between(0, 1023), "wk"), _sum_if(p >= 49152, "eph")
+    port = F.col("kind") == 1
+    p = F.when(port, F.col("value"))
+    counts = _values(rows.where("src_ip is not null"), ["day", "src_ip"], "dst_ip", "dst_port").groupBy("day", "src_ip").agg(
+        _sum_if(port, "connections"), _different(0, "dst_ips"), _different(1, "dst_ports"), _sum_if(p.between(0, 1023), "wk"), _sum_if(p >= 49152, "eph"),
     )
-    ips = f.where("dst_ip is not null").groupBy("day", "src_ip", "dst_ip").agg(F.lit(1).alias("one")).groupBy("day", "src_ip").agg(F.count(F.lit(1)).alias("dst_ips"))
-    ports = ports_per_source(fl).withColumnRenamed("ports", "dst_ports")
-    out = base.join(ips, ["day", "src_ip"], "left").join(ports, ["day", "src_ip"], "left").na.fill(0, ["dst_ips", "dst_ports"])
     share = lambda c: F.col(c) * 100.0 / F.col("connections")
-    return out.select("day", "src_ip", "connections", "dst_ips", "dst_ports", share("wk").alias("well_known_pct"), share("eph").alias("ephemeral_pct"))
+    return counts.select("day", "src_ip", "connections", "dst_ips", "dst_ports", share("wk").alias("well_known_pct"), share("eph").alias("ephemeral_pct"))
+
+
+def with_share(ranked: DataFrame, count: str, rows: DataFrame, digits: int, name: str = "pct") -> DataFrame:
+    """Adds the share of the day's connections that ``count`` is, in percent, rounded half up to ``digits``."""
+    totals = rows.groupBy("day").agg(F.sum(_weight(rows)).alias("_all"))
+    scaled = F.col(count) / F.col("_all") * 100 * 10**digits
+    return ranked.join(totals, "day").withColumn(name, F.floor(scaled + F.lit(0.5)) / F.lit(float(10**digits))).drop("_all")
 
 
-def top_sources(fl: DataFrame, k: int = 10) -> DataFrame:
+def top_sources(rows: DataFrame, k: int = 10) -> DataFrame:
     """The day's top sources. Only the winners are profiled: the ranking needs their counts alone."""
-    counts = fl.where("src_ip is not null").groupBy("day", "src_ip").agg(F.sum("n").alias("c"))
+    counts = rows.where("src_ip is not null").groupBy("day", "src_ip").agg(F.sum(_weight(rows)).alias("c"))
     best = top_k(counts, k, [F.desc("c"), "src_ip"]).select("day", "src_ip", "rank")
-    return source_profiles(fl.join(best.drop("rank"), ["day", "src_ip"], "left_semi")).join(best, ["day", "src_ip"])
+    return source_profiles(rows.join(best.drop("rank"), ["day", "src_ip"], "left_semi")).join(best, ["day", "src_ip"])
 
 
-def talker_profile(fl: DataFrame, wide: int = 500, narrow: int = 20) -> DataFrame:
-    """The day's first source and its profile."""
+def first_source(sources: DataFrame, wide: int = 500, narrow: int = 20) -> DataFrame:
+    """Each day's first row of ``source_profiles``, with its profile."""
     profile = (
         F.when((F.col("dst_ports") >= wide) & (F.col("dst_ips") >= wide), "distributed")
         .when((F.col("dst_ports") <= narrow) & (F.col("dst_ips") <= narrow), "concentrated")
         .otherwise("mixed")
     )
-    return top_sources(fl, 1).drop("rank").withColumn("profile", profile)
+    return sources.withColumn("profile", profile)
+
 
+def talker_profile(rows: DataFrame, wide: int = 500, narrow: int = 20) -> DataFrame:
+    """The day's first source and its profile."""
+    return first_source(top_sources(rows, 1).drop("rank"), wide, narrow)
 
-def top_ports(fl: DataFrame, k: int = 10) -> DataFrame:
-    counts = fl.where("dst_port is not null").groupBy("day", "dst_port").agg(F.sum("n").alias("n"))
+
+def top_ports(rows: DataFrame, k: int = 10) -> DataFrame:
+    counts = rows.where("dst_port is not null").groupBy("day", "dst_port").agg(F.sum(_weight(rows)).alias("n"))
     return top_k(counts, k, [F.desc("n"), "dst_port"]).select(
         "day", "rank", "dst_port", "n", net.port_category(F.col("dst_port")).alias("category"), net.service_name(F.col("dst_port")).alias("service")
     )
 
 
-def top_destinations(fl: DataFrame, k: int = 10) -> DataFrame:
-    counts = fl.where("dst_ip is not null").groupBy("day", "dst_ip").agg(F.sum("n").alias("n"))
+def top_destinations(rows: DataFrame, k: int = 10) -> DataFrame:
+    counts = rows.where("dst_ip is not null").groupBy("day", "dst_ip").agg(F.sum(_weight(rows)).alias("n"))
     return top_k(counts, k, [F.desc("n"), "dst_ip"]).select("day", "rank", "dst_ip", "n")
 
 
-def ports_per_source(fl: DataFrame) -> DataFrame:
-    """``(day, src_ip, ports)``: distinct destination ports; shared by the suspects and the mean."""
-    f = fl.where("src_ip is not null")
-    return f.groupBy("day", "src_ip", "dst_port").agg(F.lit(1).alias("one")).groupBy("day", "src_ip").agg(F.count("dst_port").alias("ports"))
+def ports_per_source(rows: DataFrame) -> DataFrame:
+    """``(day, src_ip, dst_ports)``: distinct destination ports of every source."""
+    f = rows.where("src_ip is not null")
+    return f.groupBy("day", "src_ip", "dst_port").agg(F.lit(1).alias("one")).groupBy("day", "src_ip").agg(F.count("dst_port").alias("dst_ports"))
+
 
+def spread_of(sources: DataFrame, over: int = 50) -> DataFrame:
+    """``(day, suspects, avg_ports)``: sources with more than ``over`` ports, and the mean over all, from (day, src_ip, dst_ports)."""
+    return sources.groupBy("day").agg(F.count_if(F.col("dst_ports") > over).alias("suspects"), F.avg("dst_ports").alias("avg_ports"))
 
-def port_spread(fl: DataFrame, over: int = 50) -> DataFrame:
-    """``(day, suspects, avg_ports)``: sources with more than ``over`` ports, and the mean over all sources."""
-    return ports_per_source(fl).groupBy("day").agg(F.count_if(F.col("ports") > over).alias("suspects"), F.avg("ports").alias("avg_ports"))
 
+def port_spread(rows: DataFrame, over: int = 50) -> DataFrame:
+    return spread_of(ports_per_source(rows), over)
 
-def port_detail(fl: DataFrame, port: int, gate: int) -> DataFrame:
+
+def port_detail(rows: DataFrame, port: int, gate: int) -> DataFrame:
     """``(day, clients, servers)`` of a port, on days with at least ``gate`` connections to it."""
-    f = fl.where(F.col("dst_port") == port)
-    days = f.groupBy("day").agg(F.sum("n").alias("n")).where(F.col("n") >= gate)
-    clients = f.groupBy("day", "src_ip").agg(F.lit(1).alias("one")).groupBy("day").agg(F.count("src_ip").alias("clients"))
-    servers = f.groupBy("day", "dst_ip").agg(F.lit(1).alias("one")).groupBy("day").agg(F.count("dst_ip").alias("servers"))
-    return days.join(clients, "day").join(servers, "day").select("day", "clients", "servers")
+    return port_details(rows, {port: gate}).select("day", "clients", "servers")
+
+
+def port_details(rows: DataFrame, gates: dict[int, int]) -> DataFrame:
+    """``(day, dst_port, clients, servers)`` of several ports, on days with at least the port's gate of connections to it."""
+    f = rows.where(F.col("dst_port").isin(*gates))
+    gate = F.element_at(F.create_map(*[F.lit(x) for kv in gates.items() for x in kv]), F.col("dst_port"))
+    found = _values(f, ["day", "dst_port"], "src_ip", "dst_ip").groupBy("day", "dst_port").agg(
+        _sum_if(F.col("kind") == 0, "c"), _different(0, "clients"), _different(1, "servers")
+    )
+    return found.where(F.col("c") >= gate).drop("c")
 
 
 def top_flows(fl: DataFrame, k: int = 5) -> DataFrame:
@@ -119,10 +149,10 @@ def max_flow(fl: DataFrame) -> DataFrame:
     return fl.where("src_ip is not null and dst_ip is not null").groupBy("day").agg(F.max("n").alias("max_flow"))
 
 
-def udp_on_tcp(fl: DataFrame) -> DataFrame:
+def udp_on_tcp(rows: DataFrame) -> DataFrame:
     """UDP connections by day to ports that are TCP only."""
-    f = fl.where((F.col("proto") == "UDP") & F.col("dst_port").isin(*net.TCP_ONLY_PORTS))
-    return f.groupBy("day", "dst_port").agg(F.sum("n").alias("n"))
+    f = rows.where((F.col("proto") == "UDP") & F.col("dst_port").isin(*net.TCP_ONLY_PORTS))
+    return f.groupBy("day", "dst_port").agg(F.sum(_weight(f)).alias("n"))
 
 
 def daily_counts(logs: DataFrame) -> DataFrame:

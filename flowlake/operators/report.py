@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +17,36 @@ def rounded(c: Column, n: int) -> Column:
     return F.floor(c * 10**n + F.lit(0.5)) / F.lit(float(10**n))
 
 
-def day_stats(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50, fl: DataFrame | None = None) -> DataFrame:
-    """One flat row per day with the columns in ``classify.STATS``; shares are rounded as in the report."""
-    fl = profile.flows(logs) if fl is None else fl
-    g = profile.globals_of(fl)
-    spread = profile.port_spread(fl, suspect_ports)
-    talker = profile.talker_profile(fl).select(
+def by_day(parts: list[DataFrame]) -> DataFrame:
+    """Parts with one row per day each, side by side: one aggregation in place of a join for each."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy("day").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c != "day"])
+
+
+def stored_flows(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The flow table of the logs and the profile of every source, both written: the logs are read once."""
+    fl = lake.written(profile.flows(logs), "flows")
+    return fl, lake.written(profile.source_profiles(fl), "sources")
+
+
+def _stat_parts(fl: DataFrame, sources: DataFrame, ntp_gate: int, dns_gate: int, suspect_ports: int) -> list[DataFrame]:
+    best = profile.top_k(sources, 1, [F.desc("connections"), "src_ip"])
+    talker = profile.first_source(best).select(
         "day", F.col("src_ip").alias("tt_ip"), F.col("connections").alias("tt_connections"), F.col("dst_ports").alias("tt_ports"), F.col("dst_ips").alias("tt_ips"),
         rounded(F.col("well_known_pct"), 1).alias("tt_wk_pct"), rounded(F.col("ephemeral_pct"), 1).alias("tt_eph_pct"), F.col("profile").alias("tt_profile"),
     )
-    ntp = profile.port_detail(fl, 123, ntp_gate).withColumnsRenamed({"clients": "ntp_clients", "servers": "ntp_servers"})
-    dns = profile.port_detail(fl, 53, dns_gate).withColumnsRenamed({"clients": "dns_clients", "servers": "dns_servers"})
+    pair = lambda port, name: [F.max(F.when(F.col("dst_port") == port, F.col(c))).alias(f"{name}_{c}") for c in ("clients", "servers")]
+    details = profile.port_details(fl, {123: ntp_gate, 53: dns_gate}).groupBy("day").agg(*pair(123, "ntp"), *pair(53, "dns"))
     udp = profile.udp_on_tcp(fl).groupBy("day").agg(F.sum("n").alias("udp_on_tcp"))
-    out = g
-    for part in (spread, talker, ntp, dns, udp, profile.max_flow(fl)):
-        out = out.join(part, "day", "left")
+    return [profile.globals_of(fl), profile.spread_of(sources, suspect_ports), talker, details, udp, profile.max_flow(fl)]
+
+
+def _shares(days: DataFrame) -> DataFrame:
+    """Fills what a day lacks and adds the shares, rounded as in the report."""
     counts = ["suspects", "tt_ports", "tt_ips", "ntp_clients", "ntp_servers", "dns_clients", "dns_servers", "udp_on_tcp", "max_flow"]
     ports = F.greatest(F.col("well_known") + F.col("registered") + F.col("ephemeral"), F.lit(1))
     of = lambda c, n=4: rounded(F.col(c) / F.col("total"), n)
-    return out.na.fill(0, counts).withColumns(
+    return days.na.fill(0, counts).withColumns(
         {
             "avg_ports": rounded(F.coalesce("avg_ports", F.lit(0.0)), 1),
             "tt_wk_pct": F.coalesce("tt_wk_pct", F.lit(0.0)),
@@ -44,6 +57,11 @@ def day_stats(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000,
     ).withColumn("top_pct", rounded(F.col("tt_pct") / 100, 3))
 
 
+def day_stats(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50) -> DataFrame:
+    """One flat row per day with the columns in ``classify.STATS``; shares are rounded as in the report."""
+    return _shares(by_day(_stat_parts(*stored_flows(logs), ntp_gate, dns_gate, suspect_ports)))
+
+
 def _listed(df: DataFrame, name: str, *fields: str) -> DataFrame:
     """The ranked rows of each day as an array; at most k per day."""
     items = F.array_sort(F.collect_list(F.struct("rank", *fields)))
@@ -57,28 +75,27 @@ def day_report(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000,
     """
     if days is not None:
         logs = logs.join(days.select("day").distinct(), "day", "left_semi")
-    fl = lake.written(profile.flows(logs), "flows")
-    out = day_stats(logs, ntp_gate, dns_gate, suspect_ports, fl)
+    fl, profiles = stored_flows(logs)
+    stats = _stat_parts(fl, profiles, ntp_gate, dns_gate, suspect_ports)
     text = lambda c: net.ip_text(F.col(c))
-    sources = profile.top_sources(fl, k).withColumn("ip", text("src_ip"))
+    sources = profile.with_share(profile.top_k(profiles, k, [F.desc("connections"), "src_ip"]), "connections", fl, 1).withColumn("ip", text("src_ip"))
+    ports = profile.with_share(profile.top_ports(fl, k), "n", fl, 2)
+    targets = profile.with_share(profile.top_destinations(fl, k), "n", fl, 2).withColumn("ip", text("dst_ip"))
     udp = profile.udp_on_tcp(fl).withColumn("service", net.service_name(F.col("dst_port")))
     udp = profile.top_k(udp, len(net.TCP_ONLY_PORTS), [F.desc("n"), "dst_port"])
-    parts = (
-        _listed(sources, "top_sources", "ip", "connections", "dst_ips", "dst_ports", "well_known_pct", "ephemeral_pct"),
-        _listed(profile.top_ports(fl, k), "top_ports", "dst_port", "n", "category", "service"),
-        _listed(profile.top_destinations(fl, k).withColumn("ip", text("dst_ip")), "top_destinations", "ip", "n"),
+    lists = [
+        _listed(sources, "top_sources", "ip", "connections", "dst_ips", "dst_ports", "pct", "well_known_pct", "ephemeral_pct"),
+        _listed(ports, "top_ports", "dst_port", "n", "pct", "category", "service"),
+        _listed(targets, "top_destinations", "ip", "n", "pct"),
         _listed(profile.top_flows(fl, 5).withColumns({"src": text("src_ip"), "dst": text("dst_ip")}), "top_flows", "src", "dst", "dst_port", "proto", "n", "service"),
         _listed(udp, "affected_ports", "dst_port", "n", "service"),
-    )
-    for part in parts:
-        out = out.join(part, "day", "left")
-    return out
+    ]
+    return _shares(by_day([*stats, *lists]))
 
 
 def classified(report: DataFrame, scale: classify.Scale = classify.Scale()) -> DataFrame:
-    """The report with code, category, score and causes."""
-    found = classify.best(classify.scores(report, scale))
-    return report.join(found, "day").withColumn("causes", classify.causes(F.col("code")))
+    """The report with code, category, score, the reasons that its numbers give for the class, and causes."""
+    return classify.best(classify.scores(report, scale)).select(*report.columns, "code", "category", "score", "reasons", "causes")
 
 
 def details_json(report: DataFrame) -> DataFrame:
@@ -110,36 +127,38 @@ def narrative(report: DataFrame, flow_least: int = 1000, udp_least: int = 100) -
     """
     c = F.col
     have = {"log_count", "expected_count", "ratio"} <= set(report.columns)
-    plain = F.format_string("Total volume: %s connections.", _count(c("total")))
+    plain = F.format_string("%s connections were logged.", _count(c("total")))
     volume = F.when(
         (c("ratio") > 0) & (c("expected_count") > 0),
-        F.format_string("Volume %.1fx above the mean (%s logs, %s expected).", c("ratio"), _count(c("log_count")), _count(c("expected_count"))),
+        F.format_string("%s lines were logged where %s are usual: a factor of %.1f.", _count(c("log_count")), _count(c("expected_count")), c("ratio")),
     ).otherwise(plain) if have else plain
     pct = lambda x, n=0: F.format_string(f"%.{n}f%%", c(x) * 100)
-    ports = F.concat(F.lit("\nPorts: "), pct("wk_pct"), F.lit(" well known / "), pct("reg_pct"), F.lit(" registered / "), pct("eph_pct"), F.lit(" ephemeral"))
-    named = [("NTP", "ntp", 0.005), ("DNS", "dns", 0.01), ("HTTP/S", "http", 0.01), ("SSH", "ssh", 0.005)]
-    shown = F.concat_ws(" | ", *[F.when(c(f"{p}_pct") >= least, F.concat(F.lit(f"{n} "), _count(c(p)), F.lit(" ("), pct(f"{p}_pct", 1), F.lit(")"))) for n, p, least in named])
+    ports = F.concat(F.lit("Destination ports below 1024 take "), pct("wk_pct"), F.lit(", those up to 49151 "), pct("reg_pct"), F.lit(", higher ones "), pct("eph_pct"), F.lit("."))
+    named = [("NTP", "ntp", 0.005), ("DNS", "dns", 0.01), ("web", "http", 0.01), ("SSH", "ssh", 0.005)]
+    shown = F.concat_ws(", ", *[F.when(c(f"{p}_pct") >= least, F.concat(F.lit(f"{n} "), pct(f"{p}_pct", 1), F.lit(" of all ("), _count(c(p)), F.lit(")"))) for n, p, least in named])
     first = F.get("top_flows", F.lit(0))
-    service = F.when(first["service"] != "", F.concat(F.lit(" ("), first["service"], F.lit(")"))).otherwise("")
+    service = F.when(first["service"] != "", F.concat(F.lit(" = "), first["service"])).otherwise("")
     flow = F.when(
         c("max_flow") >= flow_least,
-        F.concat(F.lit("\nREPEATED FLOW: "), first["src"], F.lit(" -> "), first["dst"], F.lit(":"), first["dst_port"].cast("string"), service, F.lit(" ["), first["proto"], F.lit("], "), _count(c("max_flow")), F.lit(" times")),
+        F.concat(F.lit("One flow came "), _count(c("max_flow")), F.lit(" times: "), first["proto"], F.lit(" from "), first["src"], F.lit(" to "), first["dst"], F.lit(", port "), first["dst_port"].cast("string"), service, F.lit(".")),
     )
-    some = F.array_join(F.transform(F.slice("affected_ports", 1, 5), lambda p: F.concat(p["dst_port"].cast("string"), F.lit("("), F.coalesce(F.nullif(p["service"], F.lit("")), F.lit("?")), F.lit(")"))), ", ")
-    udp = F.when(c("udp_on_tcp") >= udp_least, F.concat(F.lit("\nODD PROTOCOL: "), _count(c("udp_on_tcp")), F.lit(" UDP on TCP ports ("), pct("udp_pct", 2), F.lit("), ports: "), some))
+    some = F.array_join(F.transform(F.slice("affected_ports", 1, 5), lambda p: F.concat(p["dst_port"].cast("string"), F.lit(" "), F.coalesce(F.nullif(p["service"], F.lit("")), F.lit("?")))), ", ")
+    udp = F.when(c("udp_on_tcp") >= udp_least, F.concat(F.lit("Ports that only TCP serves got "), _count(c("udp_on_tcp")), F.lit(" UDP connections, "), pct("udp_pct", 2), F.lit(" of all: "), some, F.lit(".")))
     talker = F.concat(
-        F.lit("\nTop client "), net.ip_text(c("tt_ip")), F.lit(": "), _count(c("tt_connections")), F.lit(" connections ("), F.format_string("%.1f%%", c("tt_pct")),
-        F.lit("), "), _count(c("tt_ports")), F.lit(" ports x "), _count(c("tt_ips")), F.lit(" addresses, profile "), c("tt_profile"),
+        F.lit("The busiest source, "), net.ip_text(c("tt_ip")), F.lit(", made "), _count(c("tt_connections")), F.lit(" connections, "), F.format_string("%.1f%%", c("tt_pct")),
+        F.lit(" of all, to "), _count(c("tt_ips")), F.lit(" addresses and "), _count(c("tt_ports")), F.lit(" ports ("), c("tt_profile"), F.lit(")."),
     )
-    verdict = F.concat(F.lit("\nClass: "), c("category"), F.lit(" (confidence "), F.format_string("%.0f%%", c("score") * 100), F.lit(")"))
-    why = F.concat(F.lit("Possible causes:\n"), F.array_join(F.transform(F.slice("causes", 1, 3), lambda x: F.concat(F.lit("  - "), x)), "\n"))
-    protocols = F.when(shown != "", F.concat(F.lit("Protocols: "), shown))
-    return report.select("day", F.concat_ws("\n", volume, ports, protocols, flow, udp, talker, verdict, why).alias("analysis"))
+    verdict = F.concat(F.lit("Judged as "), c("category"), F.lit(", certainty "), F.format_string("%.0f%%", c("score") * 100), F.lit("."))
+    items = lambda column, mark: F.nullif(F.array_join(F.transform(column, lambda x: F.concat(F.lit(mark), x)), "\n"), F.lit(""))
+    why = items(c("reasons"), "  + ")
+    causes = F.concat(F.lit("What may stand behind it:\n"), items(F.slice("causes", 1, 3), "  - "))
+    protocols = F.when(shown != "", F.concat(F.lit("Services: "), shown, F.lit(".")))
+    return report.select("day", F.concat_ws("\n", volume, ports, protocols, flow, udp, talker, verdict, why, causes).alias("analysis"))
 
 
 def generate_alerts(
     logs: DataFrame, daily: DataFrame, alerts: DataFrame, catalog: DataFrame, ratio: float = 3.0, min_count: int = 100_000, force: bool = False,
-    only_day: str | None = None, scale: classify.Scale = classify.Scale(), ntp_gate: int = 50_000, dns_gate: int = 200_000,
+    only_day: str | None = None, scale: classify.Scale = classify.Scale(), ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50,
 ) -> DataFrame:
     """Candidates, reports, classes and alerts of all candidate days in one plan.
 
@@ -148,7 +167,7 @@ def generate_alerts(
     found = anomaly.forced_day(daily, only_day) if only_day else anomaly.anomaly_days(daily, ratio=ratio, min_count=min_count)
     found = anomaly.new_only(found, alerts, catalog, force or only_day is not None)
     found = lake.written(found, "candidates")  # one row per candidate day
-    report = lake.written(classified(day_report(logs, ntp_gate, dns_gate, days=found), scale).join(found, "day"), "report")
+    report = lake.written(classified(day_report(logs, ntp_gate, dns_gate, suspect_ports, days=found), scale).join(found, "day"), "report")
     return (
         report.select("day", "log_count", "expected_count", "ratio", F.col("category").alias("classification"), "score")
         .join(narrative(report), "day")

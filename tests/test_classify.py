@@ -24,6 +24,8 @@ def test_cases(spark, code, given, least, exact):
     scored = classify.scores(df)
     r = classify.best(scored).first()
     assert r["code"] == code and (r["score"] == least if exact else r["score"] >= least)
+    assert r["causes"] == classify.CAUSES[code] and r["reasons"] and None not in r["reasons"]
+    assert (r["reasons"] == ["The numbers fit no class"]) == (code == "unknown")
     assert classify.long_scores(scored).count() == len(classify.NAMES)
 
 
