@@ -1,34 +1,31 @@
 """Router syslog lines to log rows: reassembly of broken lines, five time formats, one NAT pattern.
 
-Everything is one projection of built-in expressions; only the reassembly shuffles, by file.
+Everything is one projection of built-in expressions; only the reassembly shuffles, by ranges of a file.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import net
 from ..schemas import LOG_COLUMNS
 
-# The line formats that must be recognised.
-_CLOCK, _DATE = r"\d{2}:\d{2}:\d{2}", r"\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
+# The line formats that must be recognised, continuations, prefixes and the NAT line.
 FORMATS = {
-    "E": r"^(\d{4}-\d{2}-\d{2}T" + _CLOCK + r"(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+\S+\s+(.+)$",
-    "A": r"^(\d{4}-\d{2}-\d{2}\s+" + _CLOCK + r")\s+(.+)$",
-    "B": r"^(" + _DATE + r")\s+\S+(?:\s+<\d+>(?:" + _DATE + r")\s+\S+)?\s+(.+)$",
-    "C": r"^\s*(" + _CLOCK + r")\s+(.+)$",
-    "D": r"^<\d+>(" + _DATE + r")\s+\S+\s+(.+)$",
+    "E": r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+\S+\s+(.+)$",
+    "A": r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\s+(.+)$",
+    "B": r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+\S+(?:\s+<\d+>(?:\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+\S+)?\s+(.+)$",
+    "C": r"^\s*(\d{2}:\d{2}:\d{2})\s+(.+)$",
+    "D": r"^<\d+>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+\S+\s+(.+)$",
 }
 CONTINUATION = r"^\s*(\d{1,3})?:\d+[,\s\)]"
 _PREFIX = r"^(?:[A-Z][A-Z0-9_\-]+[:\s]+)+"
 _FORWARD = r"(?i)^(?:(?:[\w\-]+:)\s*)?(?:firewall,\w+(?:,\w+)?\s+)?(forward:\s+.+)$"
 _SYSTEM = r"(?i)^system,(\w+(?:,\w+)*)\s+(.+)$"
-_IP = r"(\d+\.\d+\.\d+\.\d+):(\d+)"
 NAT = (
-    r"(?i)forward:\s+in:(.+?)\s+out:([^,]+),(?:\s*connection-mark:(\S+))?\s*connection-state:([^,\s]+)(,snat)?"
-    r"(?:\s+src-mac\s+([0-9a-fA-F:]{11,17}))?,?\s*proto\s+(\w+)(?:\s+\(([^)]+)\))?,\s*" + _IP + "->" + _IP
-    + r",\s*NAT\s+\(" + _IP + "->" + _IP + r"\)->" + _IP + r",\s*len\s+(\d+)"
+    r"(?i)forward:\s+in:(.+?)\s+out:([^,]+),(?:\s*connection-mark:(\S+))?\s*connection-state:([^,\s]+)(,snat)?(?:\s+src-mac\s+([0-9a-fA-F:]{11,17}))?,?\s*proto\s+(\w+)(?:\s+\(([^)]+)\))?,\s*(\d+\.\d+\.\d+\.\d+):(\d+)->(\d+\.\d+\.\d+\.\d+):(\d+),\s*NAT\s+\((\d+\.\d+\.\d+\.\d+):(\d+)->(\d+\.\d+\.\d+\.\d+):(\d+)\)->(\d+\.\d+\.\d+\.\d+):(\d+),\s*len\s+(\d+)"
 )
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 HOUR = 3600
@@ -43,38 +40,67 @@ def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
+#: Values of a plain ``pos`` that one range of a file spans.
+RANGE = 1 << 16
+MARK = "\x01"
+
+
+def range_of(lines: DataFrame) -> Column:
+    """The part of a file in which a line lies: its split of the file, or a range of plain positions."""
+    kind = lines.schema["pos"].dataType
+    return F.col("pos.block").cast("long") if isinstance(kind, StructType) and "block" in kind.names else F.floor(F.col("pos") / RANGE).cast("long")
+
+
 def join_continuations(lines: DataFrame) -> DataFrame:
     """``(file, pos, line)`` from ``lines(file, pos, value)``: broken lines joined to the line that they continue.
 
     A line that continues nothing (the first of a file, or after a blank line) stands alone. Blank
-    lines are dropped. The window and the group are one file's lines: hourly files bound them.
+    lines are dropped. Windows hold one range of a file; what a range begins with and the range before
+    it began is put together over one row per range, so a large file is many tasks.
     """
     value = F.regexp_replace("value", r"[\r\n]+$", "")
-    order = Window.partitionBy("file").orderBy("pos")
-    l = lines.select("file", "pos", value.alias("value"))
-    # a blank line is a pending line without text: what follows it begins anew
-    head = ~F.col("value").rlike(CONTINUATION) | F.coalesce(F.lag(F.col("value") == "").over(order), F.lit(True))
-    l = l.withColumn("head", head)
-    l = l.withColumn("group", F.sum(F.col("head").cast("int")).over(order))
-    text = F.when(F.col("head"), F.col("value")).otherwise(F.regexp_replace("value", r"^\s+", ""))
-    parts = F.array_sort(F.collect_list(F.struct("pos", text.alias("text"))))
-    joined = l.groupBy("file", "group").agg(F.min("pos").alias("pos"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("line"))
-    return joined.where("line <> ''").select("file", "pos", "line")
+    l = lines.select("file", range_of(lines).alias("range"), "pos", value.alias("value")).withColumn("head", ~F.col("value").rlike(CONTINUATION))
+    heads = l.groupBy("file", "range").agg(F.count_if("head").alias("heads"))
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    last = F.last(F.when(F.col("heads") > 0, F.struct("range", F.col("heads").alias("nth"))), ignorenulls=True).over(before)
+    held = heads.select("file", "range", last.alias("held"))
+    # a line belongs to the last line before it that continues none; those that begin a file, to each other
+    nth = F.count_if("head").over(Window.partitionBy("file", "range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    none = F.struct(F.lit(-1).cast("long").alias("range"), F.lit(0).cast("long").alias("nth"))
+    group = F.when(F.col("nth") > 0, F.struct("range", "nth")).otherwise(F.coalesce("held", none))
+    l = l.withColumn("nth", nth).join(held, ["file", "range"]).select("file", group.alias("group"), "pos", "value")
+    # a blank line holds nothing: what follows it begins anew, with its leading blanks
+    parts = F.filter(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"] != "")
+    whole = l.groupBy("file", "group").agg(parts.alias("parts")).where(F.size("parts") > 0)
+    rest = F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.regexp_replace(p["value"], r"^\s+", ""))
+    return whole.select("file", F.col("parts")[0]["pos"].alias("pos"), F.concat(F.col("parts")[0]["value"], F.array_join(rest, "")).alias("line"))
+
+
+def _taken(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern as an array, null without a match: one match per text, its groups cut at a character that no line has."""
+    found = F.regexp_replace(text, pattern, MARK + MARK.join(f"${k}" for k in range(1, groups + 1)))
+    return F.when(found.startswith(MARK) & ~text.startswith(MARK), F.split(F.substring(found, 2, 1 << 20), MARK))
 
 
 def split_time(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds format (letter, or null), ts_text and body; a line without a time has none of them."""
+    """Adds format (letter, or null), ts_text and body; a line without a time has none of them.
+
+    A line's first characters leave one format that it can have, so one pattern is tried on it.
+    """
     text = F.regexp_replace(F.regexp_replace(F.col(line), r"^\s+", ""), r"\s+$", "")
     d = evaluated(lines, {"_t": text})
-    fmt, ts, body = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for letter in reversed(FORMATS):  # the first format in order wins
-        hit = F.col("_t").rlike(FORMATS[letter])
-        fmt = F.when(hit, letter).otherwise(fmt)
-    d = evaluated(d, {"format": fmt})
-    for letter in FORMATS:
-        ts = F.when(F.col("format") == letter, F.regexp_extract("_t", FORMATS[letter], 1)).otherwise(ts)
-        body = F.when(F.col("format") == letter, F.trim(F.regexp_extract("_t", FORMATS[letter], 2))).otherwise(body)
-    return evaluated(d, {"ts_text": ts, "body": body}).drop("_t")
+    t = F.col("_t")
+    can = (
+        F.when(t.startswith("<"), "D").when(F.substring(t, 3, 1) == ":", "C")
+        .when(F.substring(t, 5, 1) == "-", F.when(F.substring(t, 11, 1) == "T", "E").otherwise("A")).otherwise("B")
+    )
+    d = evaluated(d, {"_can": can})
+    found = F.lit(None).cast("array<string>")
+    for letter, pattern in FORMATS.items():
+        found = F.when(F.col("_can") == letter, _taken(t, pattern, 2)).otherwise(found)
+    d = evaluated(d, {"_g": found})
+    g = F.col("_g")
+    return evaluated(d, {"format": F.when(g.isNotNull(), F.col("_can")), "ts_text": g[0], "body": F.trim(g[1])}).drop("_t", "_can", "_g")
 
 
 def parse_time(ts_text: Column, fmt: Column, now: Column) -> Column:
@@ -121,10 +147,7 @@ def parse(lines: DataFrame, now: Column, line: str = "line") -> DataFrame:
     and ts_inferred (the time couldn't be read, so it is ``now``, in epoch seconds).
     """
     d = normalise(split_time(lines, line))
-    # one match per line: the groups come back in one text, cut at a character that no line has
-    mark = "\x01"
-    groups = F.regexp_replace("nat_body", "(?s)^.*?" + NAT.replace("(?i)", "(?i:", 1) + ").*$", mark + mark.join(f"${k}" for k in range(1, 20)))
-    d = evaluated(d, {"g": F.when(groups.startswith(mark), F.split(F.substring(groups, 2, 1 << 20), mark))})
+    d = evaluated(d, {"g": _taken(F.col("nat_body"), "(?s)^.*?" + NAT.replace("(?i)", "(?i:", 1) + ").*$", 19)})
     hit = F.col("g").isNotNull()
     g = lambda k: F.col("g")[k - 1]
     number = lambda k: F.expr(f"try_cast(g[{k - 1}] AS INT)")

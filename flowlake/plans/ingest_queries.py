@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..operators import parse, registry
-from ..sources import legacy
+from ..sources import lake, legacy
 from . import fixtures as fx
 from .fixtures import DST_BASE, EVENT_SQL, LOGS, SRC_BASE, ip_sql
 from .registered import query
@@ -41,8 +41,12 @@ def raw_lines(spark: SparkSession, sf: str, formats: str = "ABDE", broken: bool
     return rows.select("file", (F.col("event_id") * 8 + F.col("k")).alias("pos"), "value")
 
 
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    return parse.parse(parse.join_continuations(lines), F.lit(NOW))
+
+
 def _parsed(spark: SparkSession, sf: str, formats: str = "ABDE") -> DataFrame:
-    return parse.parse(parse.join_continuations(raw_lines(spark, sf, formats)), F.lit(NOW))
+    return parsed_lines(lake.written(raw_lines(spark, sf, formats), "lines"))  # the text is made once; reassembly reads it twice
 
 
 @query(f"WITH {EVENT_SQL} SELECT {LOGS} FROM ev")
@@ -59,7 +63,7 @@ _JUNK_SQL = " UNION ALL ".join(f"SELECT {k} AS k, day, event_id FROM ev WHERE ev
     SELECT format, count(*) AS n FROM x GROUP BY format"""
 )
 def parse_format_counts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = parse.join_continuations(raw_lines(spark, sf, FORMATS))
+    lines = parse.join_continuations(lake.written(raw_lines(spark, sf, FORMATS), "lines"))
     return parse.split_time(lines).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -71,7 +75,7 @@ def parse_ts_formats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {EVENT_SQL}, j AS ({_JUNK_SQL}), x AS (SELECT 'nat' AS log_type FROM ev UNION ALL SELECT CASE k WHEN 0 THEN 'system' ELSE 'other' END FROM j) SELECT log_type, count(*) AS n FROM x GROUP BY 1")
 def parse_log_type_counts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = parse.normalise(parse.split_time(parse.join_continuations(raw_lines(spark, sf))))
+    lines = parse.normalise(parse.split_time(parse.join_continuations(lake.written(raw_lines(spark, sf), "lines"))))
     return lines.groupBy("log_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,7 +101,7 @@ _LINE = (
 
 @query(f"WITH {EVENT_SQL} SELECT concat('f', CAST(day AS VARCHAR)) AS file, event_id * 8 AS pos, {_LINE} AS line FROM ev")
 def join_continuations(spark: SparkSession, sf: str) -> DataFrame:
-    return parse.join_continuations(raw_lines(spark, sf, "A", junk=False))
+    return parse.join_continuations(lake.written(raw_lines(spark, sf, "A", junk=False), "lines"))
 
 
 # registry

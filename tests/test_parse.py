@@ -81,6 +81,21 @@ def test_continuations(spark):
     assert got == [("f", 0, "  :1, first of the file"), ("f", 1, "a->8.8.8.8:443, NAT"), ("f", 3, "b"), ("f", 5, ":5, after blank12:7 x"), ("f", 7, "c->1.2.34:80)"), ("g", 0, ":9, own file")]
 
 
+def test_continuations_across_ranges_of_a_file(spark, monkeypatch):
+    lines = [":1 x", " :2 y", ":3,", "a", " :4,", "", ":5,", ":6,", "b ", ":7,", ":8,", ":9,", ":10,", ":11,", "c", "", "", ":12,", "d", "e", ":13)", ":14)"]
+    df = spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)] + [("g", k, "h" if k == 40 else ":1,") for k in range(38, 50)], "file string, pos int, value string")
+    whole = sorted(map(tuple, parse.join_continuations(df).collect()))
+    assert whole[0] == ("f", 0, ":1 x:2 y:3,") and ("f", 6, ":5,:6,") in whole and ("f", 8, "b :7,:8,:9,:10,:11,") in whole and ("f", 19, "e:13):14)") in whole
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(parse, "RANGE", size)
+        assert sorted(map(tuple, parse.join_continuations(df).collect())) == whole
+
+
+def test_a_line_that_holds_the_mark(spark):
+    got = parsed(spark, ["\x01 x", LINES["A"][0] + "\x01", "\x012026-03-17 16:44:49 " + body()])
+    assert [got[k]["reason"] for k in range(3)] == ["no time", None, "no time"]
+
+
 def test_prefixes(spark):
     bodies = ["LOG_NAT: forward: in:x", "LOG_NAT: LOG_NAT forward: in:x", "cgnat: firewall,info,ct forward: in:x", "Forward: in:x", "system,error,critical login failure", "dhcp x"]
     df = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, body string")
