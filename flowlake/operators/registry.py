@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
+from ..sources import lake
 
 
 def occurrences(logs: DataFrame) -> DataFrame:
@@ -26,22 +27,24 @@ def totals(dim: DataFrame) -> DataFrame:
     return dim.agg(F.count(F.lit(1)).alias("ips"), F.coalesce(F.sum("total_hits"), F.lit(0)).alias("hits"))
 
 
-def assign_ids(dim: DataFrame, existing: DataFrame, buckets: int = 4096) -> DataFrame:
+def assign_ids(dim: DataFrame, existing: DataFrame, ranges: int | None = None) -> DataFrame:
     """``(ip, ip_id)``: existing ids stay, new addresses get the next ones in order of first_seen, ip.
 
-    The rank is built from ranges: new addresses are cut at quantiles of first_seen, the ranges are
-    counted, and a row's number is its range's base plus its place there. No window holds them all.
+    New addresses are cut into ranges of about equal numbers by (first_seen, ip), the ranges are
+    counted, and a row's number is its range's base plus its place there. However many appear at one
+    time, no window holds them all. ``ranges`` defaults to the shuffle partitions.
     """
+    spark = dim.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     new = dim.join(existing.select("ip"), "ip", "left_anti").select("ip", "first_seen")
-    bounds = new.agg(F.min("first_seen").alias("lo"), F.max("first_seen").alias("hi"))
+    parts = new.repartitionByRange(n, "first_seen", "ip").withColumn("range", F.spark_partition_id())
+    parts = lake.written(parts, "new-addresses")  # the ranges come from a sample: they must not be drawn twice
+    counts = parts.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    base = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     start = existing.agg(F.coalesce(F.max("ip_id"), F.lit(0)).alias("start"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / buckets)).cast("long")
-    placed = new.join(F.broadcast(bounds)).withColumn("bucket", F.floor((F.col("first_seen") - F.col("lo")) / width))
-    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    base = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("first_seen", "ip"))
-    numbered = placed.join(base, "bucket").join(F.broadcast(start)).select("ip", (F.col("start") + F.col("base") + nth).cast("long").alias("ip_id"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("first_seen", "ip"))
+    numbered = parts.join(base, "range").join(F.broadcast(start)).select("ip", (F.col("start") + F.col("base") + nth).cast("long").alias("ip_id"))
     return existing.select("ip", "ip_id").unionByName(numbered)
 
 
@@ -82,13 +85,13 @@ def encode(logs: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def decode(rows: DataFrame, dims: DataFrame) -> DataFrame:
-    """Ids back to names; an unknown id has no name, but protocols 1 and 2 fall back to TCP and UDP.
+    """Ids back to names; an id without a name is shown as ``id=N``, but protocols 1 and 2 fall back to TCP and UDP.
 
     Joins on (day, id): the dictionaries hold a few names a day, Spark broadcasts them while they are small.
     """
     out = rows
     for column, kind, name in (("in_iface", "interfaces", "in_iface_id"), ("out_iface", "interfaces", "out_iface_id"), ("proto", "protocols", "proto_id"), ("conn_state", "conn_states", "conn_state_id")):
         d = dims.where(F.col("kind") == kind).select("day", F.col("id").alias(name), F.col("name").alias(column))
-        out = out.join(d, ["day", name], "left")
-    fallback = F.when(F.col("proto_id") == 1, "TCP").when(F.col("proto_id") == 2, "UDP")
-    return out.withColumn("proto", F.coalesce("proto", fallback))
+        known = F.when(F.col(name) == 1, "TCP").when(F.col(name) == 2, "UDP") if column == "proto" else F.lit(None).cast("string")
+        out = out.join(d, ["day", name], "left").withColumn(column, net.display_name(F.coalesce(column, known), F.col(name)))
+    return out

@@ -5,14 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import net
 from ..schemas import LOG_COLUMNS
+from ..sources import lake
 
 #: A total order of log rows: the first key is the time, the rest break ties.
 ORDER = ["ts", "src_ip", "src_port", "dst_ip", "dst_port", "nat_ip", "nat_port", "proto", "pkt_len"]
+# The export's columns.
 EXPORT_COLUMNS = ["ts", "src_ip", "src_port", "dst_ip", "dst_port", "nat_ip", "nat_port", "proto", "in_iface", "out_iface", "conn_state", "has_snat", "pkt_len", "tcp_flags", "log_type"]
 
 
@@ -51,6 +53,18 @@ def search(logs: DataFrame, q: Search) -> DataFrame:
     return logs.where(q.predicate())
 
 
+class UnknownDay(LookupError):
+    """No partition has the day that is asked for."""
+
+
+def search_lake(spark: SparkSession, hot: str, cold: str, q: Search) -> DataFrame:
+    """``search`` in the tier that holds the day; an unknown day is an error, not an empty result."""
+    path = lake.find_day(spark, hot, cold, q.day)
+    if path is None:
+        raise UnknownDay(f"no partition for {q.day}")
+    return search(lake.read_lake(spark, path), q)
+
+
 def page(logs: DataFrame, q: Search) -> DataFrame:
     """One page in time order: a top-k plan, no full sort."""
     return search(logs, q).orderBy(*ORDER).offset((q.page - 1) * q.per_page).limit(q.per_page)
@@ -95,18 +109,34 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     return r.withColumn("reason", reason)
 
 
+#: Seconds of a bin, the longest window that is looked up by bins, and the longest of all (ten years).
+BIN, SHORT, LONGEST = 300, 6 * 3600, 3660 * 86_400
+
+
+def bad_windows(requests: DataFrame) -> DataFrame:
+    """``(request_id, reason)`` of the requests that ``search_batch`` doesn't answer."""
+    span = F.col("t1") - F.col("t0")
+    reason = F.when(span.isNull(), "no window").when(span < 0, "window ends before it begins").when(span > LONGEST, "window longer than ten years")
+    return requests.select("request_id", reason.alias("reason")).where("reason is not null")
+
+
 def search_batch(logs: DataFrame, requests: DataFrame, limit: int = 100) -> DataFrame:
     """Many lookups ``requests(request_id, nat_ip, nat_port, t0, t1)`` at once, the first ``limit`` rows of each.
 
-    A request is expanded to the days it touches and to 300-second bins, so the join is an equality
-    on (day, bin, nat_ip) that shuffles or broadcasts as sizes demand; day pruning reaches the scan.
-    A null port matches every port. A group of the ranking holds one request's matches.
+    A short window is expanded to the 300-second bins that it touches, a long one to its days, so the
+    joins are equalities on (day, bin, nat_ip) or (day, nat_ip) that shuffle or broadcast as sizes
+    demand; day pruning reaches the scan. Windows that make no sense are in ``bad_windows``. A null
+    port matches every port. A group of the ranking holds one request's matches.
     """
-    bins = F.explode(F.sequence(F.floor(F.col("t0") / 300), F.floor(F.col("t1") / 300)))
-    r = requests.where("t0 <= t1").withColumn("bin", bins).withColumn("day", net.epoch_day(F.col("bin") * 300))
-    r = r.withColumnsRenamed({"nat_ip": "want_ip", "nat_port": "want_port"})
-    l = logs.withColumn("bin", F.floor(F.col("ts") / 300))
-    hit = l.join(r, (l["day"] == r["day"]) & (l["bin"] == r["bin"]) & (l["nat_ip"] == r["want_ip"])).drop(r["day"]).drop(r["bin"])
+    r = requests.where((F.col("t1") - F.col("t0")).between(0, LONGEST)).withColumnsRenamed({"nat_ip": "want_ip", "nat_port": "want_port"})
+    short = F.col("t1") - F.col("t0") <= SHORT
+    steps = lambda size: F.explode(F.sequence(F.floor(F.col("t0") / size), F.floor(F.col("t1") / size)))
+    by_bin = r.where(short).withColumn("want_bin", steps(BIN)).withColumn("want_day", net.epoch_day(F.col("want_bin") * BIN))
+    by_day = r.where(~short).withColumn("want_bin", steps(86_400)).withColumn("want_day", net.epoch_day(F.col("want_bin") * 86_400))
+    l = logs.withColumn("bin", F.floor(F.col("ts") / BIN))
+    same = (l["day"] == F.col("want_day")) & (l["nat_ip"] == F.col("want_ip"))
+    keep = ["request_id", "want_port", "t0", "t1", *LOG_COLUMNS]
+    hit = l.join(by_bin, same & (l["bin"] == F.col("want_bin"))).select(*keep).unionByName(l.join(by_day, same).select(*keep))
     hit = hit.where(F.col("ts").between(F.col("t0"), F.col("t1")) & (F.col("want_port").isNull() | (F.col("want_port") == F.col("nat_port"))))
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy(*ORDER))
     return hit.withColumn("nth", nth).where(F.col("nth") <= limit).select("request_id", "nth", *LOG_COLUMNS)
@@ -114,7 +144,7 @@ def search_batch(logs: DataFrame, requests: DataFrame, limit: int = 100) -> Data
 
 def probe_sample(logs: DataFrame, n: int, seed: int = 42, spread: int = 150) -> DataFrame:
     """``n`` lookups around rows picked by a seeded hash: (request_id, nat_ip, nat_port, t0, t1). A sampling operator."""
-    key = F.xxhash64(F.lit(seed), *ORDER)
+    key = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in ORDER]).cast("binary"))
     picked = logs.where("nat_ip is not null").orderBy(key, *ORDER).limit(n)
     return picked.select(
         key.alias("request_id"), "nat_ip", F.col("nat_port"), (F.col("ts") - spread).alias("t0"), (F.col("ts") + spread).alias("t1")

@@ -80,9 +80,16 @@ def search_proto(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, proto="UDP")
 
 
-@query(_sql(f"nat_ip = {NAT_BASE + 2} AND dst_port = 53 AND proto = 'TCP' AND ts >= {DAY_START} AND ts <= {DAY_START + 80000} AND src_ip = {SRC_BASE + 6}"))
+BUSY_DAY, BUSY_START = "2024-01-04", 1704326400
+
+
+@query(
+    f"WITH {EVENT_SQL} SELECT {LOGS} FROM ev WHERE day = DATE '{BUSY_DAY}' AND nat_ip = {NAT_BASE + 2} AND dst_port = 53 AND proto = 'TCP' "
+    f"AND ts >= {BUSY_START} AND ts < {BUSY_START + 86400} AND src_ip = {SRC_BASE + 10}"
+)
 def search_all_filters(spark: SparkSession, sf: str) -> DataFrame:
-    return _search(spark, sf, nat_ip=NAT_BASE + 2, dst_port=53, proto="TCP", ts_from=DAY_START, ts_to=DAY_START + 80000, src_ip=SRC_BASE + 6)
+    q = s.Search(BUSY_DAY, nat_ip=NAT_BASE + 2, dst_port=53, proto="TCP", ts_from=BUSY_START, ts_to=BUSY_START + 86399, src_ip=SRC_BASE + 10)
+    return s.search(fx.event_logs(spark, sf), q).drop("event_id")
 
 
 @query(_sql("nat_ip = 1"))
@@ -153,7 +160,15 @@ def requests_validated(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+_KEY = f"md5(concat_ws('|', 42, {ORDER}))"
+
+
+@query(
+    f"WITH {EVENT_SQL}, rq AS (SELECT {_KEY} AS request_id, nat_ip AS want_ip, nat_port AS want_port, ts - 150 AS t0, ts + 150 AS t1 FROM ev WHERE nat_ip IS NOT NULL ORDER BY 1, {ORDER} LIMIT 30), "
+    f"hit AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY {ORDER}) AS nth, {LOGS} "
+    "FROM ev JOIN rq ON nat_ip = want_ip AND ts BETWEEN t0 AND t1 AND (want_port IS NULL OR want_port = nat_port)) "
+    f"SELECT request_id, CAST(nth AS INTEGER) AS nth, {LOGS} FROM hit WHERE nth <= 100"
+)
 def probe_sample(spark: SparkSession, sf: str) -> DataFrame:
     """30 probes picked by a seeded hash (the sampling operator), each with its matches."""
     logs = fx.event_logs(spark, sf).drop("event_id")

@@ -27,6 +27,9 @@ CONN_LOGS = T.StructType(
 )
 LOG_COLUMNS = CONN_LOGS.fieldNames()
 
+#: The address registry's counters.
+REGISTRY = T.StructType([T.StructField(c, T.LongType()) for c in ("ip", "total_hits", "first_seen", "last_seen")])
+
 AUDIT = T.StructType(
     [
         T.StructField("id", T.LongType()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,14 @@ from ..schemas import CONN_LOGS, LOG_COLUMNS, SIDECAR
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """A new path in the folder that all executors share, which ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a session on one machine gets a temporary folder; a cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/checkpoints/flowlake-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/flowlake/{name}-{uuid.uuid4().hex}"
@@ -37,7 +43,7 @@ def write_archive(logs: DataFrame, path: str, files: int | None = None, mode: st
         logs.select(*LOG_COLUMNS).repartitionByRange(n, "day", "ts").sortWithinPartitions("day", "ts", "src_ip")
         .write.mode(mode).partitionBy("day")
         .option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").option("parquet.block.size", str(32 << 20))
-        .option("parquet.bloom.filter.enabled#nat_ip", "true")
+        .option("parquet.bloom.filter.enabled#nat_ip", "true").option("partitionOverwriteMode", "dynamic")  # overwriting replaces whole days, no others
         .parquet(path)
     )
 
@@ -65,12 +71,7 @@ def import_days(incoming: DataFrame, path: str, overwrite: bool = False) -> None
     rows = incoming
     if _exists(spark, path):
         rows = new_days(incoming, read_lake(spark, path), overwrite)
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        write_archive(rows, path, mode="overwrite" if overwrite else "append")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    write_archive(rows, path, mode="overwrite" if overwrite else "append")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -83,44 +84,63 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if there is no such folder."""
+    if not _exists(spark, path):
+        return []
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.delete(p, True))
+
+
 def drop_days(spark: SparkSession, path: str, days: DataFrame) -> int:
     """Deletes the partitions of ``days(day)``; one entry a day reaches the driver."""
     n = 0
     for r in days.select(F.col("day").cast("string").alias("d")).distinct().collect():
-        fs, p = _fs(spark, f"{path}/day={r['d']}")
-        n += bool(fs.delete(p, True))
+        n += drop(spark, f"{path}/day={r['d']}")
     return n
 
 
+def days_in(spark: SparkSession, path: str) -> list[str]:
+    """The day partitions of a tier, from its folder; a tier that doesn't exist has none."""
+    return [name[4:] for name in folders(spark, path) if name.startswith("day=")]
+
+
+def find_day(spark: SparkSession, hot: str, cold: str, day: str) -> str | None:
+    """The tier's path that holds a day, the hot one first; None for a day that neither has."""
+    return next((p for p in (hot, cold) if _exists(spark, f"{p}/day={day}")), None)
+
+
 def archive_days(spark: SparkSession, hot: str, cold: str, days: DataFrame) -> None:
     """Moves hot days to the cold tier in one job: rewritten beside it, then renamed; cold days that exist are kept.
 
-    A run that was broken off is repeated as it is: what is cold already is only dropped from hot.
+    Days that hot doesn't have are passed over. A run that was broken off is repeated as it is: what is
+    cold already is only dropped from hot.
     """
-    every = [r["day"] for r in days.select("day").distinct().collect()]  # one entry a day
-    done = set()
-    if _exists(spark, cold):
-        done = {r["day"] for r in read_lake(spark, cold).where(F.col("day").isin(every)).select("day").distinct().collect()}
-    todo = [d for d in every if d not in done]
-    if todo:
+    have, done = set(days_in(spark, hot)), set(days_in(spark, cold))
+    every = [r["d"] for r in days.select(F.col("day").cast("string").alias("d")).distinct().collect() if r["d"] in have]  # one entry a day
+    if todo := [d for d in every if d not in done]:
         stage = f"{cold}.stage-{uuid.uuid4().hex}"
-        write_archive(read_lake(spark, hot).where(F.col("day").isin(todo)), stage)
+        write_archive(read_lake(spark, hot).where(F.col("day").cast("string").isin(todo)), stage)
         fs, root = _fs(spark, cold)
         fs.mkdirs(root)
-        for day in todo:
+        for day in days_in(spark, stage):
             if not fs.rename(_fs(spark, f"{stage}/day={day}")[1], _fs(spark, f"{cold}/day={day}")[1]):
                 raise OSError(f"{cold}/day={day} could not be put in place")
         fs.delete(_fs(spark, stage)[1], True)
     for day in every:
-        fs, p = _fs(spark, f"{hot}/day={day}")
-        fs.delete(p, True)
+        drop(spark, f"{hot}/day={day}")
 
 
 def catalog(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``(day, kind, size_bytes, files)`` of a tier, from file metadata."""
-    files = spark.read.schema(CONN_LOGS).parquet(path).select("day", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size"))
-    one = files.groupBy("day", "f").agg(F.first("size").alias("size"))
-    return one.groupBy("day").agg(F.lit(kind).alias("kind"), F.sum("size").alias("size_bytes"), F.count(F.lit(1)).alias("files"))
+    """``(day, kind, size_bytes, files)`` of a tier, from its file listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    day = F.to_date(F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1))
+    return files.groupBy(day.alias("day")).agg(F.lit(kind).alias("kind"), F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("files"))
 
 
 def precedence(hot: DataFrame, cold: DataFrame) -> DataFrame:

@@ -6,24 +6,74 @@ signed 32-bit addresses are masked wherever they are met.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net
 from ..schemas import LOG_COLUMNS
+from . import lake
+
+
+# The tables that tell the layouts apart.
+V2_TABLE, B_TABLES, C_TABLES = "ip_addresses", {"d_interfaces", "d_protocols"}, {"db_meta", "interfaces", "protocols", "conn_states"}
 
 
 def layout(tables: set[str]) -> str:
-    """v2, b, c or a, from the table names."""
-    if "ip_addresses" in tables:
+    """v2, b, c or a, from the table names; any other set of tables is read as a."""
+    if V2_TABLE in tables:
         return "v2"
-    if "d_interfaces" in tables:
+    if B_TABLES & tables:
         return "b"
-    if "db_meta" in tables or {"interfaces", "protocols", "conn_states"} <= tables:
-        return "c"
-    if "logs" in tables:
-        return "a"
-    raise ValueError("no legacy layout has these tables")
+    return "c" if C_TABLES <= tables else "a"
+
+
+#: Tables that each layout's normaliser takes, in order.
+NEEDS = {
+    "v2": ("logs", "ip_addresses", "interfaces", "protocols", "conn_states"), "b": ("logs", "d_interfaces", "d_protocols", "d_states"),
+    "c": ("logs", "interfaces", "protocols", "conn_states"), "a": ("logs",),
+}
+
+
+def normalise(tables: dict[str, DataFrame]) -> DataFrame:
+    """Canonical rows of a legacy source's tables, whatever its layout."""
+    kind = layout(set(tables))
+    if lost := [t for t in NEEDS[kind] if t not in tables]:
+        raise ValueError(f"a source in layout {kind} lacks {', '.join(lost)}")
+    return {"v2": normalise_v2, "b": normalise_b, "c": normalise_c, "a": normalise_a}[kind](*(tables[t] for t in NEEDS[kind]))
+
+
+def import_sources(spark: SparkSession, sources: dict[str, dict[str, DataFrame]], path: str, overwrite: bool = False) -> DataFrame:
+    """Imports legacy sources, name -> tables, into the lake; returns a summary ``(source, layout, day, rows, state)``.
+
+    The name holds the day, as those of the files do, and all of a source's rows belong to it. A day
+    that the lake has is skipped (state ``skipped``, no rows) unless ``overwrite``; a source without a
+    day in its name or without its layout's tables has the state ``failed`` and changes nothing. All
+    that is imported is one job; several sources of one day are added together.
+    """
+    have = set() if overwrite else set(lake.days_in(spark, path))
+    ready, summary = [], []
+    for name, tables in sources.items():
+        found, kind = re.search(r"\d{4}-\d{2}-\d{2}", name), layout(set(tables))
+        day = found[0] if found else None
+        if day is None or any(t not in tables for t in NEEDS[kind]):
+            summary.append((name, kind, day, None, "failed"))
+        elif day in have:
+            summary.append((name, kind, day, None, "skipped"))
+        else:
+            rows = normalise(tables).withColumn("day", F.to_date(F.lit(day)))
+            ready.append(rows.withColumn("source", F.lit(name)))
+            summary.append((name, kind, day, None, "imported"))
+    out = spark.createDataFrame(summary, "source string, layout string, day string, rows long, state string").withColumn("day", F.to_date("day"))
+    if not ready:
+        return out
+    rows = lake.written(reduce(DataFrame.unionByName, ready), "legacy")
+    lake.import_days(rows.drop("source"), path, overwrite)
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("state") == "imported", F.coalesce("n", F.lit(0).cast("long")))
+    return out.join(counts, "source", "left").withColumn("rows", n).drop("n")
 
 
 def masked(c: Column) -> Column:
@@ -104,10 +154,3 @@ def normalise_a(logs: DataFrame) -> DataFrame:
         nat_ip=F.nullif(net.ip_value(F.col("nat_ip_pub")), zero), nat_port=F.col("nat_port_pub").cast("int"), pkt_len=F.lit(None).cast("int"),
         tcp_flags=F.lit(None).cast("string"), log_type=F.lit("nat"),
     )
-
-
-def addresses(logs: DataFrame, columns: list[str], zero_is_none: bool) -> DataFrame:
-    """Distinct addresses of a legacy table's columns, without nulls (and zeros)."""
-    ip = F.explode(F.array(*[masked(F.col(c)) for c in columns])).alias("ip")
-    found = logs.select(ip).where("ip is not null")
-    return (found.where("ip <> 0") if zero_is_none else found).distinct()

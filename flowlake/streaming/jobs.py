@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..operators import parse, registry
-from ..schemas import AUDIT, LOG_COLUMNS
+from ..schemas import AUDIT, LOG_COLUMNS, REGISTRY
 from ..sources import lake
 
 TRIGGER, FILES_PER_BATCH = "2 seconds", 64
@@ -61,22 +61,41 @@ class Reassembler(StatefulProcessor):
         import re
 
         held = self.pending.get()[0] if self.pending.exists() else ""
-        given = pd.concat(list(rows)).sort_values(["block", "line_no"])
-        out = []
-        for value in given["value"]:
-            value = value.rstrip("\r\n")
-            if held and re.match(parse.CONTINUATION, value):
-                held += value.lstrip()
-            else:
-                if held:
-                    out.append(held)
-                held = value
+        for given in self._in_order(rows):
+            out = []
+            for value in given["value"]:
+                value = value.rstrip("\r\n")
+                if held and re.match(parse.CONTINUATION, value):
+                    held += value.lstrip()
+                else:
+                    if held:
+                        out.append(held)
+                    held = value
+            if out:
+                yield self._rows(key[0], out)
         self.pending.update((held,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-        if out:
-            yield self._rows(key[0], out)
+
+    @staticmethod
+    def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A source's lines by (block, line_no), as chunks; a chunk is passed on as soon as the next one begins behind it.
+
+        Only chunks that overlap are held together, and ``reassemble`` sorts them beforehand.
+        """
+        held = None
+        for chunk in rows:
+            chunk = chunk.sort_values(["block", "line_no"])
+            if held is None:
+                held = chunk
+            elif tuple(held[["block", "line_no"]].iloc[-1]) <= tuple(chunk[["block", "line_no"]].iloc[0]):
+                yield held
+                held = chunk
+            else:
+                held = pd.concat([held, chunk]).sort_values(["block", "line_no"])
+        if held is not None:
+            yield held
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self.pending.get()[0] if self.pending.exists() else ""
@@ -126,23 +145,40 @@ def ingest_batches(lines: DataFrame, path: str, quarantine: str, checkpoint: str
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def running_registry(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Registry counters kept up to date: each batch writes a new version, merged from the last one.
+def running_registry(rows: DataFrame, path: str, checkpoint: str, every: int = 64) -> DataStreamWriter:
+    """Registry counters kept up to date: each batch writes what it adds, and every ``every`` batches all is merged.
 
-    A version is named by its batch, so that a repeated batch merges from the same predecessor.
+    ``delta=N`` is batch N's own counts, ``total=N`` those of all batches up to N; ``read_registry`` adds
+    them up. A batch that is run again overwrites its own files only and merges from the same ones as
+    before, so nothing counts twice: what a total holds is dropped when the next total is written.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = registry.dim_ip(batch)
-        if number:
-            new = new.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
-        merged = new.groupBy("ip").agg(F.sum("total_hits").alias("total_hits"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+        registry.dim_ip(batch).write.mode("overwrite").parquet(f"{path}/delta={number}")
+        if number and number % every == 0:
+            last = number - every
+            read_registry(spark, path, last, number).write.mode("overwrite").parquet(f"{path}/total={number}")
+            names = lake.folders(spark, path)
+            if f"total={last}" in names:
+                for kind, _, n in (name.partition("=") for name in names):
+                    if (kind == "delta" and int(n) <= last) or (kind == "total" and int(n) < last):
+                        lake.drop(spark, f"{path}/{kind}={n}")
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+def read_registry(spark: SparkSession, path: str, total: int | None = None, last: int | None = None) -> DataFrame:
+    """``(ip, total_hits, first_seen, last_seen)`` of a running registry: a merged table and the batches after it."""
+    found = [(k, int(n)) for k, _, n in (name.partition("=") for name in lake.folders(spark, path)) if k in ("delta", "total")]
+    if total is None:
+        total = max((n for k, n in found if k == "total"), default=None)
+    base = total if ("total", total) in found else -1  # before the first merge there are batches only
+    use = [f"{path}/{k}={n}" for k, n in found if (k == "total" and n == base) or (k == "delta" and n > base and (last is None or n <= last))]
+    rows = spark.read.schema(REGISTRY).parquet(*use)
+    return rows.groupBy("ip").agg(F.sum("total_hits").alias("total_hits"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
 def live_counts(rows: DataFrame) -> DataFrame:
     """Rows by day, for an update or complete sink."""
     return rows.groupBy("day").agg(F.count(F.lit(1)).alias("log_count"))
@@ -175,6 +211,7 @@ def processed_files_to_drop(files: DataFrame, now: int, hours: int) -> DataFrame
     return files.where(F.col("processed_at").isNotNull() & (F.lit(now) - F.col("processed_at") > hours * 3600))
 
 
-def append_days(rows: DataFrame, path: str) -> None:
-    """A batch's rows as one more set of files in the days that they belong to."""
-    lake.write_archive(rows, path, mode="append")
+def compact(spark: SparkSession, path: str, days: list[str]) -> None:
+    """Rewrites days that many small batches have filled, each as few sorted files; see ``lake.write_archive``."""
+    rows = lake.written(lake.read_lake(spark, path).where(F.col("day").cast("string").isin(days)), "compacted")
+    lake.write_archive(rows, path, mode="overwrite")  # replaces these days only

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlake.functions import net
-from flowlake.operators import report, search
+from flowlake.operators import registry, report, search
 from flowlake.plans import fixtures as fx
 from flowlake.sources import lake, legacy, raw
 
@@ -109,8 +109,108 @@ def test_raw_files(spark, tmp_path):
 def test_layouts():
     assert legacy.layout({"logs", "ip_addresses", "interfaces"}) == "v2" and legacy.layout({"logs", "d_interfaces", "d_protocols"}) == "b"
     assert legacy.layout({"logs", "interfaces", "protocols", "conn_states", "db_meta"}) == "c" and legacy.layout({"logs"}) == "a"
-    with pytest.raises(ValueError):
-        legacy.layout({"x"})
+    assert legacy.layout({"logs", "d_protocols"}) == "b" and legacy.layout({"d_interfaces", "db_meta", "interfaces", "protocols", "conn_states"}) == "b"
+    assert legacy.layout({"logs", "db_meta"}) == legacy.layout({"interfaces", "protocols", "conn_states"}) == legacy.layout({"x"}) == "a"
+
+
+def test_legacy_import(spark, tmp_path):
+    names = "timestamp string, interface_in string, interface_out string, proto string, src_ip_priv string, src_port_priv int, dst_ip string, dst_port int, nat_ip_pub string, nat_port_pub int"
+    rows = lambda n, day: spark.createDataFrame([(f"{day} 01:02:03", "", "e1", "TCP", "100.64.1.2", k, "8.8.8.8", 443, "170.245.175.121", 1) for k in range(n)], names)
+    c = spark.createDataFrame([(1704070861, 1, 1, 6, 1, 0, 1681916162, 5, 134744072, 80, -1426739335, 7, 60, None, None)],
+                              "ts long, in_iface_id int, out_iface_id int, proto_id int, conn_state_id int, has_snat int, src_ip long, src_port int, dst_ip long, dst_port int, nat_ip long, nat_port int, pkt_len int, tcp_flags string, log_type string")
+    dim = lambda *n: spark.createDataFrame(list(n), "id int, name string")
+    c_tables = {"db_meta": dim((1, "x")), "logs": c, "interfaces": dim((1, "VLAN1")), "protocols": dim((6, "TCP")), "conn_states": dim((1, "new"))}
+    path = str(tmp_path / "lake")
+    sources = {"logs_2024-01-05.db": {"logs": rows(3, "2024-01-05")}, "logs_2024-01-01.db": c_tables, "undated.db": {"logs": rows(1, "2024-01-09")}, "2024-01-07.db": {"d_protocols": dim((1, "x")), "logs": rows(1, "2024-01-07")}}
+    got = {r["source"]: (r["layout"], str(r["day"]), r["rows"], r["state"]) for r in legacy.import_sources(spark, sources, path).collect()}
+    assert got == {
+        "logs_2024-01-05.db": ("a", "2024-01-05", 3, "imported"), "logs_2024-01-01.db": ("c", "2024-01-01", 1, "imported"),
+        "undated.db": ("a", "None", None, "failed"), "2024-01-07.db": ("b", "2024-01-07", None, "failed"),
+    }
+    lake_rows = lake.read_lake(spark, path)
+    assert lake_rows.count() == 4 and lake_rows.where("day = DATE'2024-01-01'").first()["nat_ip"] == 2868227961
+    more = {"logs_2024-01-05.db": {"logs": rows(9, "2024-01-05")}, "logs_2024-01-06.db": {"logs": rows(2, "2024-01-06")}}
+    assert {r["source"]: (r["rows"], r["state"]) for r in legacy.import_sources(spark, more, path).collect()} == {"logs_2024-01-05.db": (None, "skipped"), "logs_2024-01-06.db": (2, "imported")}
+    assert lake.read_lake(spark, path).count() == 6
+    legacy.import_sources(spark, more, path, overwrite=True)
+    assert lake.read_lake(spark, path).count() == 12
+    assert legacy.import_sources(spark, {}, path).isEmpty()
+
+
+def test_catalog_has_the_files_sizes(spark, logs, tmp_path):
+    path = tmp_path / "lake"
+    lake.write_archive(logs, str(path), files=3)
+    want = {}
+    for f in path.glob("day=*/*.parquet"):
+        n, size = want.get(f.parent.name[4:], (0, 0))
+        want[f.parent.name[4:]] = (n + 1, size + f.stat().st_size)
+    assert {str(r["day"]): (r["files"], r["size_bytes"]) for r in lake.catalog(spark, str(path), "cold").collect()} == want
+
+
+def test_days_that_are_not_there(spark, logs, tmp_path):
+    hot, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
+    lake.import_days(lake.scan_range(logs, "2024-01-01", "2024-01-03"), hot)
+    lake.archive_days(spark, hot, cold, days(spark, "2024-01-02", "2024-05-05"))
+    assert lake.days_in(spark, hot) == ["2024-01-01", "2024-01-03"] and lake.days_in(spark, cold) == ["2024-01-02"]
+    assert [p.name for p in tmp_path.iterdir() if "stage" in p.name] == []
+    cat = {str(r["day"]): r["files"] for r in lake.catalog(spark, hot, "hot").collect()}
+    assert set(cat) == {"2024-01-01", "2024-01-03"} and min(cat.values()) >= 1
+    for day in ("2024-01-02", "2024-01-03"):
+        assert search.search_lake(spark, hot, cold, search.Search(day)).count() == lake.scan_day(logs, day).count() > 0
+    assert search.search_lake(spark, hot, cold, search.Search("2024-01-03", nat_ip=1)).isEmpty()
+    with pytest.raises(search.UnknownDay):
+        search.search_lake(spark, hot, cold, search.Search("2024-01-04"))
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return {"spark.master": "spark://x:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lake.scratch(Session(), "x")
+
+
+def test_long_windows_and_bad_ones(spark, logs):
+    first = logs.agg(F.min("ts")).first()[0]
+    wanted = [(1, None, 0, 12 * 86400), (2, 5, 100, 100), (3, None, 0, 7 * 3600), (4, None, 10, 5), (5, None, 0, 20 * 366 * 86400), (6, None, None, 5)]
+    nat = logs.first()["nat_ip"]
+    r = spark.createDataFrame([(i, nat, p, None if a is None else first + a, first + b) for i, p, a, b in wanted], "request_id int, nat_ip long, nat_port int, t0 long, t1 long")
+    got = {x["request_id"]: x["n"] for x in search.search_batch(logs, r, 10**6).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for i, span in ((1, 12 * 86400), (3, 7 * 3600)):
+        assert got.get(i, 0) == logs.where((F.col("nat_ip") == nat) & F.col("ts").between(first, first + span)).count()
+    assert got[1] > 0 and set(got) <= {1, 2, 3}
+    assert {x["request_id"]: x["reason"] for x in search.bad_windows(r).collect()} == {4: "window ends before it begins", 5: "window longer than ten years", 6: "no window"}
+
+
+def test_ids_without_a_name(spark):
+    dims = spark.createDataFrame([("d", "interfaces", 1, "VLAN1"), ("d", "protocols", 1, "GRE")], "day string, kind string, id int, name string")
+    rows = spark.createDataFrame([("d", 1, 9, 1, None), ("d", None, 1, 2, 4), ("e", 1, 1, 1, 1)], "day string, in_iface_id int, out_iface_id int, proto_id int, conn_state_id int")
+    got = sorted(tuple(r) for r in registry.decode(rows, dims).select("day", "in_iface", "out_iface", "proto", "conn_state").fillna("-").collect())
+    assert got == [("d", "-", "VLAN1", "UDP", "id=4"), ("d", "VLAN1", "id=9", "GRE", "-"), ("e", "id=1", "id=1", "TCP", "id=1")]
+
+
+def test_many_addresses_first_seen_at_one_time(spark):
+    dim = spark.createDataFrame([(k, 1, 7 if k > 5 else k, 9) for k in range(500)], "ip long, total_hits long, first_seen long, last_seen long")
+    old = spark.createDataFrame([(3, 100)], "ip long, ip_id long")
+    ids = {r["ip"]: r["ip_id"] for r in registry.assign_ids(dim, old, 6).collect()}
+    assert ids == {3: 100} | {ip: 101 + k for k, ip in enumerate(x for x in range(500) if x != 3)}
+
+
+def test_shares_and_reasons(spark, logs):
+    from flowlake.operators import classify, profile
+
+    day = lake.scan_day(logs, "2024-01-10")
+    n = day.count()
+    r = report.classified(report.day_report(day, 2, 2, 2), classify.Scale(volume=1000, spread=20)).first()
+    assert all(x["pct"] == int(x["connections"] / n * 1000 + 0.5) / 10 for x in r["top_sources"])
+    assert all(x["pct"] == int(x["n"] / n * 10000 + 0.5) / 100 for x in [*r["top_ports"], *r["top_destinations"]])
+    assert r["reasons"] and r["causes"] and profile.globals_of(day).first()["total"] == n
+    text = report.narrative(spark.createDataFrame([r.asDict()], report.classified(report.day_report(day, 2, 2, 2)).schema)).first()["analysis"]
+    assert all(x in text for x in r["reasons"]) and r["category"] in text
 
 
 def test_report_of_one_day_equals_its_row_of_all_days(spark, logs):
