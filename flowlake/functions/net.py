@@ -15,13 +15,15 @@ TCP_ONLY_PORTS = (21, 22, 23, 25, 110, 143, 465, 587, 993, 995)
 MAIL_PORTS = (25, 465, 587, 993, 995)
 
 
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
 def ip_value(text: Column) -> Column:
     """IPv4 text to its unsigned value; null for anything that isn't four octets 0-255 without leading zeros."""
-    parts = F.split(text, r"\.")
-    ok = text.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(
-        parts, lambda p: (p.cast("int") <= 255) & ((F.length(p) == 1) | ~p.startswith("0"))
-    )
-    return F.when(ok, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p.cast("long")))
+    two, three = F.substring_index(text, ".", 2), F.substring_index(text, ".", 3)
+    octets = [F.substring_index(t, ".", n).cast("long") for t, n in ((text, 1), (two, -1), (three, -1), (text, -1))]
+    value = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+    return F.when(text.rlike(rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"), value)
 
 
 def ip_text(value: Column) -> Column:

@@ -76,10 +76,14 @@ def join_continuations(lines: DataFrame) -> DataFrame:
     return whole.select("file", F.col("parts")[0]["pos"].alias("pos"), F.concat(F.col("parts")[0]["value"], F.array_join(rest, "")).alias("line"))
 
 
-def _taken(text: Column, pattern: str, groups: int) -> Column:
-    """The groups of a pattern as an array, null without a match: one match per text, its groups cut at a character that no line has."""
-    found = F.regexp_replace(text, pattern, MARK + MARK.join(f"${k}" for k in range(1, groups + 1)))
-    return F.when(found.startswith(MARK) & ~text.startswith(MARK), F.split(F.substring(found, 2, 1 << 20), MARK))
+def _matched(text: Column, pattern: str, groups: int) -> Column:
+    """One match per text: the pattern's groups in one text, each behind a character that no line has; else the text itself."""
+    return F.regexp_replace(text, pattern, MARK + MARK.join(f"${k}" for k in range(1, groups + 1)))
+
+
+def _groups(matched: Column, text: Column) -> Column:
+    """The groups as an array; null without a match."""
+    return F.when(matched.startswith(MARK) & ~text.startswith(MARK), F.split(F.substring(matched, 2, 1 << 20), MARK))
 
 
 def split_time(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -95,12 +99,13 @@ def split_time(lines: DataFrame, line: str = "line") -> DataFrame:
         .when(F.substring(t, 5, 1) == "-", F.when(F.substring(t, 11, 1) == "T", "E").otherwise("A")).otherwise("B")
     )
     d = evaluated(d, {"_can": can})
-    found = F.lit(None).cast("array<string>")
+    found = F.lit("")
     for letter, pattern in FORMATS.items():
-        found = F.when(F.col("_can") == letter, _taken(t, pattern, 2)).otherwise(found)
-    d = evaluated(d, {"_g": found})
+        found = F.when(F.col("_can") == letter, _matched(t, pattern, 2)).otherwise(found)
+    d = evaluated(d, {"_m": found})
+    d = evaluated(d, {"_g": _groups(F.col("_m"), t)})
     g = F.col("_g")
-    return evaluated(d, {"format": F.when(g.isNotNull(), F.col("_can")), "ts_text": g[0], "body": F.trim(g[1])}).drop("_t", "_can", "_g")
+    return evaluated(d, {"format": F.when(g.isNotNull(), F.col("_can")), "ts_text": g[0], "body": F.trim(g[1])}).drop("_t", "_can", "_m", "_g")
 
 
 def parse_time(ts_text: Column, fmt: Column, now: Column) -> Column:
@@ -109,24 +114,25 @@ def parse_time(ts_text: Column, fmt: Column, now: Column) -> Column:
     E honours its offset; A is local; B and D take the year of ``now``, or the one before if that
     lies more than 25 hours ahead; C takes the day of ``now``. Local is the session's time zone.
     """
-    iso = F.regexp_replace(F.regexp_replace(ts_text, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(ts_text, 1, 3)))
-    day = F.regexp_extract(ts_text, r"^\w{3}\s+(\d{1,2})", 1)
-    clock = F.regexp_extract(ts_text, r"(\d{2}:\d{2}:\d{2})$", 1)
-    form = F.lit("yyyy-MM-dd HH:mm:ss")
-
-    def in_year(year: Column) -> Column:
-        text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "), clock)
-        return F.when(month > 0, F.unix_seconds(F.try_to_timestamp(text, form)))
-
-    this = in_year(F.year(F.timestamp_seconds(now)))
-    named = F.when(this - now > 25 * HOUR, in_year(F.year(F.timestamp_seconds(now)) - 1)).otherwise(this)
+    seconds = lambda text: F.unix_seconds(text.try_cast("timestamp"))
+    clock = F.substring(ts_text, -8, 8)
+    iso = F.regexp_replace(F.translate(ts_text, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    # three letters and a comma a month: its number from its place
+    place = F.instr(F.lit(",".join(MONTHS)), F.lower(F.substring(ts_text, 1, 3)))
+    month = F.when((place > 0) & (place % 4 == 1), F.lpad(((place + 3) / 4).cast("int").cast("string"), 2, "0"))
+    day = F.lpad(F.trim(F.translate(F.substring(ts_text, 4, 100), "\t\n\x0b\f\r", "     ")).substr(1, 2), 2, "0")
+    year = F.year(F.timestamp_seconds(now))
+
+    def in_year(y: Column) -> Column:
+        return seconds(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), month, F.lit("-"), F.trim(day), F.lit(" "), clock))
+
+    named = in_year(year)
     today = F.concat(F.date_format(F.timestamp_seconds(now), "yyyy-MM-dd"), F.lit(" "), ts_text)
     return (
-        F.when(fmt == "E", F.unix_seconds(F.try_to_timestamp(iso)))
-        .when(fmt == "A", F.unix_seconds(F.try_to_timestamp(F.regexp_replace(ts_text, r"\s+", " "), form)))
-        .when(fmt.isin("B", "D"), named)
-        .when(fmt == "C", F.unix_seconds(F.try_to_timestamp(today, form)))
+        F.when(fmt == "E", seconds(iso))
+        .when(fmt == "A", seconds(F.concat(F.substring(ts_text, 1, 10), F.lit(" "), clock)))
+        .when(fmt.isin("B", "D"), F.when(named - now > 25 * HOUR, in_year(year - 1)).otherwise(named))
+        .when(fmt == "C", seconds(today))
     )
 
 
@@ -147,12 +153,13 @@ def parse(lines: DataFrame, now: Column, line: str = "line") -> DataFrame:
     and ts_inferred (the time couldn't be read, so it is ``now``, in epoch seconds).
     """
     d = normalise(split_time(lines, line))
-    d = evaluated(d, {"g": _taken(F.col("nat_body"), "(?s)^.*?" + NAT.replace("(?i)", "(?i:", 1) + ").*$", 19)})
+    d = evaluated(d, {"_m": _matched(F.col("nat_body"), "(?s)^.*?" + NAT.replace("(?i)", "(?i:", 1) + ").*$", 19)})
+    d = evaluated(d, {"g": _groups(F.col("_m"), F.col("nat_body")), "_stamp": parse_time(F.col("ts_text"), F.col("format"), now)}).drop("_m")
     hit = F.col("g").isNotNull()
     g = lambda k: F.col("g")[k - 1]
     number = lambda k: F.expr(f"try_cast(g[{k - 1}] AS INT)")
     opt = lambda k: F.nullif(g(k), F.lit(""))
-    stamp = parse_time(F.col("ts_text"), F.col("format"), now)
+    stamp = F.col("_stamp")
     d = evaluated(
         d,
         {
@@ -176,7 +183,7 @@ def parse(lines: DataFrame, now: Column, line: str = "line") -> DataFrame:
         .when(bad_port, "bad port")
     )
     d = evaluated(d, {"reason": reason})
-    return d.withColumn("ok", F.col("reason").isNull()).withColumn("day", net.epoch_day(F.col("ts"))).drop("g")
+    return d.withColumn("ok", F.col("reason").isNull()).withColumn("day", net.epoch_day(F.col("ts"))).drop("g", "_stamp")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
