@@ -178,9 +178,22 @@ def alerts_unacked_count(spark: SparkSession, sf: str) -> DataFrame:
     return al.open_count(_alerts(spark, sf))
 
 
+@query(f"{_HEAD} SELECT * FROM a WHERE id = 3 UNION ALL SELECT * FROM a WHERE day = (SELECT min(day) FROM a)")
+def alerts_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """One alert by its id, one by its day."""
+    a = _alerts(spark, sf)
+    first = a.agg(F.min("day").cast("string")).first()[0]
+    return al.by_key(a, alert_id=3).unionByName(al.by_key(a, day=first))
+
+
 # audit
 
 
+@query(f"WITH {AUDIT_SQL} SELECT * FROM au WHERE action = 'login_failed' ORDER BY ts DESC, id DESC LIMIT 50")
+def audit_last_of(spark: SparkSession, sf: str) -> DataFrame:
+    return al.last_of(fx.audit_rows(spark, sf), "login_failed")
+
+
 @query(f"WITH {AUDIT_SQL} SELECT * FROM au ORDER BY ts DESC, id DESC LIMIT 200 OFFSET 200")
 def audit_page(spark: SparkSession, sf: str) -> DataFrame:
     return al.audit_page(fx.audit_rows(spark, sf), 2)
