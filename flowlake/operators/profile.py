@@ -68,13 +68,6 @@ def source_profiles(rows: DataFrame) -> DataFrame:
     return counts.select("day", "src_ip", "connections", "dst_ips", "dst_ports", share("wk").alias("well_known_pct"), share("eph").alias("ephemeral_pct"))
 
 
-def with_share(ranked: DataFrame, count: str, rows: DataFrame, digits: int, name: str = "pct") -> DataFrame:
-    """Adds the share of the day's connections that ``count`` is, in percent, rounded half up to ``digits``."""
-    totals = rows.groupBy("day").agg(F.sum(_weight(rows)).alias("_all"))
-    scaled = F.col(count) / F.col("_all") * 100 * 10**digits
-    return ranked.join(totals, "day").withColumn(name, F.floor(scaled + F.lit(0.5)) / F.lit(float(10**digits))).drop("_all")
-
-
 def top_sources(rows: DataFrame, k: int = 10) -> DataFrame:
     """The day's top sources. Only the winners are profiled: the ranking needs their counts alone."""
     counts = rows.where("src_ip is not null").groupBy("day", "src_ip").agg(F.sum(_weight(rows)).alias("c"))

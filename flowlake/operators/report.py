@@ -23,22 +23,21 @@ def by_day(parts: list[DataFrame]) -> DataFrame:
     return rows.groupBy("day").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c != "day"])
 
 
-def stored_flows(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The flow table of the logs and the profile of every source, both written: the logs are read once."""
-    fl = lake.written(profile.flows(logs), "flows")
-    return fl, lake.written(profile.source_profiles(fl), "sources")
+def stored_sources(logs: DataFrame) -> DataFrame:
+    """The profile of every source of every day, written: several parts read it."""
+    return lake.written(profile.source_profiles(logs), "sources")
 
 
-def _stat_parts(fl: DataFrame, sources: DataFrame, ntp_gate: int, dns_gate: int, suspect_ports: int) -> list[DataFrame]:
+def _stat_parts(logs: DataFrame, sources: DataFrame, ntp_gate: int, dns_gate: int, suspect_ports: int) -> list[DataFrame]:
     best = profile.top_k(sources, 1, [F.desc("connections"), "src_ip"])
     talker = profile.first_source(best).select(
         "day", F.col("src_ip").alias("tt_ip"), F.col("connections").alias("tt_connections"), F.col("dst_ports").alias("tt_ports"), F.col("dst_ips").alias("tt_ips"),
         rounded(F.col("well_known_pct"), 1).alias("tt_wk_pct"), rounded(F.col("ephemeral_pct"), 1).alias("tt_eph_pct"), F.col("profile").alias("tt_profile"),
     )
     pair = lambda port, name: [F.max(F.when(F.col("dst_port") == port, F.col(c))).alias(f"{name}_{c}") for c in ("clients", "servers")]
-    details = profile.port_details(fl, {123: ntp_gate, 53: dns_gate}).groupBy("day").agg(*pair(123, "ntp"), *pair(53, "dns"))
-    udp = profile.udp_on_tcp(fl).groupBy("day").agg(F.sum("n").alias("udp_on_tcp"))
-    return [profile.globals_of(fl), profile.spread_of(sources, suspect_ports), talker, details, udp, profile.max_flow(fl)]
+    details = profile.port_details(logs, {123: ntp_gate, 53: dns_gate}).groupBy("day").agg(*pair(123, "ntp"), *pair(53, "dns"))
+    udp = profile.udp_on_tcp(logs).groupBy("day").agg(F.sum("n").alias("udp_on_tcp"))
+    return [profile.globals_of(logs), profile.spread_of(sources, suspect_ports), talker, details, udp]
 
 
 def _shares(days: DataFrame) -> DataFrame:
@@ -59,7 +58,8 @@ def _shares(days: DataFrame) -> DataFrame:
 
 def day_stats(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50) -> DataFrame:
     """One flat row per day with the columns in ``classify.STATS``; shares are rounded as in the report."""
-    return _shares(by_day(_stat_parts(*stored_flows(logs), ntp_gate, dns_gate, suspect_ports)))
+    parts = _stat_parts(logs, stored_sources(logs), ntp_gate, dns_gate, suspect_ports)
+    return _shares(by_day([*parts, profile.max_flow(profile.flows(logs))]))
 
 
 def _listed(df: DataFrame, name: str, *fields: str) -> DataFrame:
@@ -71,26 +71,29 @@ def _listed(df: DataFrame, name: str, *fields: str) -> DataFrame:
 def day_report(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50, k: int = 10, days: DataFrame | None = None) -> DataFrame:
     """The whole report, one nested row per day: statistics and the top lists.
 
-    The logs are read once, to write the flow table; every part of the report reads that.
+    Every part reads the columns that it needs and aggregates them before it shuffles; the profiles of
+    all sources are written, as several parts read them.
     """
     if days is not None:
         logs = logs.join(days.select("day").distinct(), "day", "left_semi")
-    fl, profiles = stored_flows(logs)
-    stats = _stat_parts(fl, profiles, ntp_gate, dns_gate, suspect_ports)
+    sources = stored_sources(logs)
     text = lambda c: net.ip_text(F.col(c))
-    sources = profile.with_share(profile.top_k(profiles, k, [F.desc("connections"), "src_ip"]), "connections", fl, 1).withColumn("ip", text("src_ip"))
-    ports = profile.with_share(profile.top_ports(fl, k), "n", fl, 2)
-    targets = profile.with_share(profile.top_destinations(fl, k), "n", fl, 2).withColumn("ip", text("dst_ip"))
-    udp = profile.udp_on_tcp(fl).withColumn("service", net.service_name(F.col("dst_port")))
+    best = profile.top_k(sources, k, [F.desc("connections"), "src_ip"]).withColumn("ip", text("src_ip"))
+    udp = profile.udp_on_tcp(logs).withColumn("service", net.service_name(F.col("dst_port")))
     udp = profile.top_k(udp, len(net.TCP_ONLY_PORTS), [F.desc("n"), "dst_port"])
+    flows = profile.top_flows(profile.flows(logs), 5).withColumns({"src": text("src_ip"), "dst": text("dst_ip")})
     lists = [
-        _listed(sources, "top_sources", "ip", "connections", "dst_ips", "dst_ports", "pct", "well_known_pct", "ephemeral_pct"),
-        _listed(ports, "top_ports", "dst_port", "n", "pct", "category", "service"),
-        _listed(targets, "top_destinations", "ip", "n", "pct"),
-        _listed(profile.top_flows(fl, 5).withColumns({"src": text("src_ip"), "dst": text("dst_ip")}), "top_flows", "src", "dst", "dst_port", "proto", "n", "service"),
+        _listed(best, "top_sources", "ip", "connections", "dst_ips", "dst_ports", "well_known_pct", "ephemeral_pct"),
+        _listed(profile.top_ports(logs, k), "top_ports", "dst_port", "n", "category", "service"),
+        _listed(profile.top_destinations(logs, k).withColumn("ip", text("dst_ip")), "top_destinations", "ip", "n"),
+        _listed(flows, "top_flows", "src", "dst", "dst_port", "proto", "n", "service"),
         _listed(udp, "affected_ports", "dst_port", "n", "service"),
     ]
-    return _shares(by_day([*stats, *lists]))
+    days_ = by_day([*_stat_parts(logs, sources, ntp_gate, dns_gate, suspect_ports), *lists]).withColumn("max_flow", F.get("top_flows", F.lit(0))["n"])
+    share = lambda name, count, n: F.transform(name, lambda x: x.withField("pct", rounded(x[count] / F.col("total") * 100, n)))
+    return _shares(days_).withColumns(
+        {"top_sources": share("top_sources", "connections", 1), "top_ports": share("top_ports", "n", 2), "top_destinations": share("top_destinations", "n", 2)}
+    )
 
 
 def classified(report: DataFrame, scale: classify.Scale = classify.Scale()) -> DataFrame:
