@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +32,6 @@ BATCH_LIMITS = {
 }
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limits of Arrow batches where they stand at Spark's defaults.
-
-    A batch is held several times at once, in the executor and in its Python worker.
-    """
-    for key, (default, low) in BATCH_LIMITS.items():
-        if spark.conf.get(key) == default:
-            spark.conf.set(key, low)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/flowlake/{name}-{uuid.uuid4().hex}"
 
@@ -68,6 +58,26 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def lower_batches(spark: SparkSession) -> None:
+    """``small_batches`` from now on, for lazy results."""
+    for key, (default, low) in BATCH_LIMITS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, low)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Lowers the session's limits of Arrow batches while a block runs, where they stand at Spark's defaults.
+
+    A batch is held several times at once, in the executor and in its Python worker.
+    """
+    with ExitStack() as stack:
+        for key, (default, low) in BATCH_LIMITS.items():
+            if spark.conf.get(key) == default:
+                stack.enter_context(setting(spark, key, low))
+        yield
+
+
 #: Shuffle files of a query go when it has ended, not when the driver happens to collect its garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

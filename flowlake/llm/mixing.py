@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete_path, table
+from .common import delete_path, plain_names, table
 
 HASH_BITS = 60
 LEVEL_BITS = 12
@@ -31,6 +31,9 @@ def hash_of(doc_id: Column) -> Column:
 def targets(sizes: DataFrame, weights: list[float], budget: float, repeats: float) -> DataFrame:
     """``(source, source_size, target)`` from ``sizes(source, size)``: one row per source throughout.
 
+    The weights go by the order of all sources, so these rows (a name and a few numbers each, not the
+    documents) are ranked in one window: meant for up to some 10 million sources.
+
     Sources in code-point order, null last, take the weights in turn and share budget * all sizes;
     a target stops at ``repeats`` times its source's size and what it leaves is shared by weight
     again. That ends where every open source has the same target per weight, which running sums
@@ -119,12 +122,14 @@ def mixed_rows(docs: DataFrame, weights: list[float] = (5, 2, 1), budget: float
     texts are not shuffled: a row's count follows from its hash and its source's threshold.
     """
     sized, _ = table(docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")), "sizes")
-    bounds = thresholds(sized, targets(sized, list(weights), budget, repeats)).select(F.col("source").alias("_s"), "rounds", "edge", "room")
-    again = (F.col("_h") < F.col("edge")) | ((F.col("_h") == F.col("edge")) & (F.col("room") * 2 >= F.col("_size")) & (F.col("_size") > 0) & (F.col("room") > 0))
-    rows = docs.withColumn("_h", hash_of(F.col("doc_id"))).withColumn("_size", size_of(F.col("text")))
-    rows = rows.join(bounds, F.col("source").eqNullSafe(F.col("_s")))
+    bounds = thresholds(sized, targets(sized, list(weights), budget, repeats)).withColumnRenamed("source", "s")
+    d, name = plain_names(docs)
+    again = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & (F.col("room") * 2 >= F.col("size")) & (F.col("size") > 0) & (F.col("room") > 0))
+    rows = d.withColumn("h", hash_of(F.col(name["doc_id"]))).withColumn("size", size_of(F.col(name["text"])))
+    rows = rows.join(bounds, F.col(name["source"]).eqNullSafe(F.col("s")))
     times = F.col("rounds") + F.when(again, 1).otherwise(0)
-    return rows.where(times > 0).withColumn("_again", F.explode(F.expr("sequence(1L, rounds + 2)"))).where(F.col("_again") <= times).select(*docs.columns)
+    taken = rows.where(times > 0).withColumn("again", F.explode(F.expr("sequence(1L, rounds + 2)"))).where(F.col("again") <= times)
+    return taken.select(*d.columns).toDF(*docs.columns)
 
 
 ORACLE = """

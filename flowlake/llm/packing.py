@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete_path, table
+from .common import delete_path, small_batches, table
 from .tokens import encoder, ids_crc32, slabs, tokenizer_text
 
 WINDOW = 1024
@@ -152,6 +152,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW)
                     pa.array(kept, pa.binary()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth),
                 )
                 yield pa.record_batch([*columns], names=names)
+        pa.default_memory_pool().release_unused()
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return columns.mapInArrow(run, PIECES)
@@ -207,7 +208,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
     repeated row is packed again, an empty table gives no rows, other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces, path = table(cut(docs, tokenizer_path, end_id, window), "pieces")
+    with small_batches(spark):
+        pieces, path = table(cut(docs, tokenizer_path, end_id, window), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts, counts_path = table(
@@ -218,7 +220,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
         hist[length] = n
     width = encoder(tokenizer_text(tokenizer_path)).dtype.itemsize
     ranked = pieces.join(counts.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
-    packed = table(place(ranked, plan(hist, window), width, window), "packed")[0]
+    with small_batches(spark):
+        packed = table(place(ranked, plan(hist, window), width, window), "packed")[0]
     delete_path(spark, path)
     delete_path(spark, counts_path)
     return packed

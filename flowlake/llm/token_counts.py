@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .tokens import encoder, slabs, tokenizer_text
 
 #: Distinct lengths whose suffix sums one window group adds up.
@@ -26,6 +26,7 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str, text: str = "text") ->
         for b in batches:
             for part in slabs(b, 0):
                 yield pa.record_batch([pa.array(enc.encode_all(part.column(0))[1], pa.int64())], names=["n_tokens"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
 
@@ -80,7 +81,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Da
     tokens_cut (totals when every document is cut after L tokens). Nulls and empty texts count as
     length 0, repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
-    return suffix_sums(table(histogram(encoded_lengths(docs, tokenizer_path, text)), "lengths")[0])
+    with small_batches(docs.sparkSession):
+        lengths, _ = table(histogram(encoded_lengths(docs, tokenizer_path, text)), "lengths")
+    return suffix_sums(lengths)
 
 
 def answer(counts: DataFrame, limits: list[int]) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete_path, scratch_path, table
+from .common import delete_path, scratch_path, small_batches, table
 from .tokens import encoder, ids_crc32, slabs, tokenizer_text
 
 # Fixed values of the seekable zstandard layout: skippable frame magics, footer magic, checksum flag.
@@ -202,6 +202,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             end()
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        pa.default_memory_pool().release_unused()
 
     return d.mapInArrow(run, SHARD_SCHEMA)
 
@@ -238,7 +239,8 @@ def token_output(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "token-files")
-    shards, at = table(write_token_files(docs, folder, tokenizer_path, end_id), "token-shards")
+    with small_batches(spark):
+        shards, at = table(write_token_files(docs, folder, tokenizer_path, end_id), "token-shards")
     found = table(read_token_files(shards), "token-rows")[0]
     delete_path(spark, folder)
     delete_path(spark, at)

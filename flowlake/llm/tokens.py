@@ -22,10 +22,10 @@ BYTE_CHARS = {b: chr(b) for b in PLAIN_BYTES} | {
     b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*PLAIN_BYTES}))
 }
 
-#: Pattern pieces in each half of a worker's cache, and words whose ids a worker keeps; some 120 MB when full.
-CACHE, WORDS = 200_000, 1_000_000
-#: Bytes of text that are encoded at once.
-SLAB = 12 << 20
+#: Pattern pieces in each half of a worker's cache, and words whose ids a worker keeps; some 60 MB when full.
+CACHE, WORDS = 100_000, 300_000
+#: Bytes of text that are encoded at once: some 100 MB more.
+SLAB = 4 << 20
 #: Stands between words that are split into pieces together: white space, so it joins neither neighbour.
 MARK = "\u2028"
 # White space as any of the engines sees it; a space with white space before it, and behind it white space or the end, is no sure boundary.
@@ -208,12 +208,13 @@ class Encoder:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
 
-def slabs(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold at most SLAB bytes, or one text."""
+def slabs(batch: pa.RecordBatch, text: int | str = 1, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold at most ``most`` (SLAB) bytes, or one text."""
+    most = SLAB if most is None else most
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(size):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLAB, "right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, end - at)
         at = end
 
