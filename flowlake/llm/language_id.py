@@ -2,8 +2,10 @@
 
 A suffix automaton of each language's labelled text is walked along a document: every longest match
 is a phrase, and the walk begins anew after it. The language whose text needs the fewest
-normalised phrases wins. The automata are dense tables, so numpy walks thousands of
-blocks of documents in step.
+normalised phrases wins. The automata are dense tables, so numpy walks thousands of blocks of
+documents in step. Blocks of one document are walked from the start state at once and then again
+from the state in which the block before them ends, up to the place where both walks meet, so
+that phrases go on across blocks and their number is that of the whole text.
 """
 
 from __future__ import annotations
@@ -16,12 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
-#: The bounded training sample: labelled rows per language (expected), characters of each, symbols kept.
-SAMPLE_ROWS, PIECE_CHARS, TRAIN_SYMBOLS = 192, 512, 49_152
-#: Symbols of a block. Phrases don't span blocks, alike for every language.
-BLOCK, STEP_BLOCKS = 512, 8192
+from .common import lower_batches, plain_names
+from .tokens import slabs
+
+#: The bounded training sample: labelled rows per language (expected), and bytes and symbols of their whole texts that are learned.
+SAMPLE_ROWS, TRAIN_SYMBOLS = 128, 49_152
+#: Bytes of text that are read at once.
+SLAB = 2 << 20
+#: Languages that can be learned; a table of some 20 MB each in every worker.
+MAX_LANGUAGES = 500
+#: Symbols of a block, blocks that are walked in step, and symbols between the marks at which walks can meet.
+BLOCK, STEP_BLOCKS, MARK = 512, 4096, 32
 #: Bits per symbol above which no learned language explains a text. The first phrase, which every text needs, is free.
 MAX_BITS = 7.0
 
@@ -105,6 +112,43 @@ def walk_table(nxt: list[dict[int, int]], n_classes: int) -> np.ndarray:
     return table.ravel()
 
 
+class _Walk:
+    """Phrases of consecutive blocks in one language.
+
+    ``state`` and ``closed`` hold each block's state and closed phrases at its marks; the last mark is its end.
+    """
+
+    def __init__(self, table: np.ndarray, blocks: np.ndarray, entry: np.ndarray):
+        self.table, self.blocks = table, blocks
+        self.state = np.empty((len(blocks), BLOCK // MARK), np.int32)
+        self.closed = np.empty((len(blocks), BLOCK // MARK), np.int32)
+        columns = np.ascontiguousarray(blocks.T).astype(np.int32)
+        base, count = entry, np.zeros(len(blocks), np.int32)
+        for k in range(BLOCK // MARK):
+            base, count = self._steps(columns[k * MARK : (k + 1) * MARK], base, count)
+            self.state[:, k], self.closed[:, k] = base, count
+
+    def _steps(self, columns: np.ndarray, base: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for c in columns:
+            v = self.table.take(base + c)
+            count = count + (v & 3)
+            base = v >> 2
+        return base, count
+
+    def again(self, rows: np.ndarray, entry: np.ndarray) -> None:
+        """Walks these blocks from other states, each until it meets its last walk."""
+        base, count = entry, np.zeros(len(rows), np.int32)
+        for k in range(BLOCK // MARK):
+            columns = np.ascontiguousarray(self.blocks[rows, k * MARK : (k + 1) * MARK].T).astype(np.int32)
+            base, count = self._steps(columns, base, count)
+            met = base == self.state[rows, k]
+            self.closed[rows[met], k:] += (count[met] - self.closed[rows[met], k])[:, None]
+            rows, base, count = rows[~met], base[~met], count[~met]
+            if not len(rows):
+                break
+            self.state[rows, k], self.closed[rows, k] = base, count
+
+
 class Model:
     """The tables of all languages, built in each worker from the broadcast training texts."""
 
@@ -114,22 +158,32 @@ class Model:
         n = max(n, PAD + 1)
         self.tables, self.bits = [], []
         for lang in self.langs:
-            s = np.concatenate([np.append(symbols(t, classes), SPACE) for t in train[lang]])[:TRAIN_SYMBOLS]
+            s = np.concatenate([np.append(symbols(t, classes), SPACE) for t in train[lang]])
             self.tables.append(walk_table(suffix_automaton(s.tolist()), n))
             self.bits.append(np.log2(max(len(s), 2)))
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """Phrases of each block (rows) for each language (columns)."""
-        columns = np.ascontiguousarray(blocks.T).astype(np.int32)
-        out = np.empty((len(blocks), len(self.langs)), np.int64)
+    def phrases(self, blocks: np.ndarray, first: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that each block (rows) closes for each language (columns), and the state in which it ends.
+
+        ``first``: the block begins a text. A text's blocks stand in order; ``entry`` (by language) is
+        the state at the first block, which can go on a text.
+        """
+        closed = np.empty((len(blocks), len(self.langs)), np.int64)
+        state = np.empty((len(blocks), len(self.langs)), np.int32)
         for k, table in enumerate(self.tables):
-            base, count = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int32)
-            for c in columns:
-                v = table.take(base + c)
-                count += v & 3
-                base = v >> 2
-            out[:, k] = count + (base > 0)
-        return out
+            begin = np.zeros(len(blocks), np.int32)
+            if not first[0]:
+                begin[0] = entry[k]
+            walk = _Walk(table, blocks, begin)
+            while True:
+                want = np.concatenate((begin[:1], np.where(first[1:], 0, walk.state[:-1, -1])))
+                rows = np.flatnonzero(want != begin)
+                if not len(rows):
+                    break
+                begin = want
+                walk.again(rows, want[rows])
+            closed[:, k], state[:, k] = walk.closed[:, -1], walk.state[:, -1]
+        return closed, state
 
     def bits_per_symbol(self, texts: list[str | None]) -> np.ndarray:
         """Normalised phrases of each text for each language: phrases * log2(training symbols) / symbols."""
@@ -145,17 +199,22 @@ class Model:
         strange = np.zeros((len(texts), len(self.langs)), bool)
         blocks: list[np.ndarray] = []
         owner: list[np.ndarray] = []
-        held = 0
+        first: list[bool] = []
+        state = np.zeros(len(self.langs), np.int32)
 
         def flush() -> None:
-            nonlocal blocks, owner, held
-            if held:
-                counts = self.phrases(np.concatenate(blocks))
+            nonlocal state
+            if blocks:
                 who = np.concatenate(owner)
+                closed, ends = self.phrases(np.concatenate(blocks), np.array(first), state)
+                last = np.append(who[1:] != who[:-1], True)
                 for k in range(len(self.langs)):
-                    total[:, k] += np.bincount(who, weights=counts[:, k], minlength=len(texts))
-            blocks, owner, held = [], [], 0
+                    total[:, k] += np.bincount(who, weights=closed[:, k], minlength=len(texts))
+                opened[who[last]] = ends[last] > 0  # of a text that goes on, later blocks say it again
+                state = ends[-1]
+            blocks.clear(), owner.clear(), first.clear()
 
+        opened = np.zeros((len(texts), len(self.langs)), bool)
         for i, t in enumerate(texts):
             if not letters(t):
                 continue
@@ -171,10 +230,11 @@ class Model:
                 part = own[at : at + STEP_BLOCKS]
                 blocks.append(part)
                 owner.append(np.full(len(part), i))
-                held += len(part)
-                if held >= STEP_BLOCKS:
+                first += [at == 0] + [False] * (len(part) - 1)
+                if len(first) >= STEP_BLOCKS:
                     flush()
         flush()
+        total += opened
         a_phrase = np.array(self.bits) / np.maximum(size, 1)[:, None]
         return total * a_phrase, np.maximum(total - ~strange, 0) * a_phrase
 
@@ -185,30 +245,48 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_texts(docs: DataFrame) -> dict[str, list[str]]:
-    """Pieces of text per language from the rows that aren't held out.
+    """Whole texts per language from the rows that aren't held out.
 
     Rows are counted per language over the whole table; a hash threshold per language then picks
-    SAMPLE_ROWS expected rows, of each the first PIECE_CHARS characters. Only that bounded sample
-    reaches the driver.
+    SAMPLE_ROWS expected rows. In hash order, they are learned as long as they fit TRAIN_SYMBOLS bytes; a text that
+    doesn't fit is left out whole. A language none of whose picked texts fits learns from its
+    shortest text. Only that bounded sample reaches the driver.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
+    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: each needs a table of its own in every worker")
+    counts = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in rows], f"lang {dict(labelled.dtypes)['lang']}, n long")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     picked = (
         labelled.join(F.broadcast(counts), "lang")
-        .where(share < F.lit(float(SAMPLE_ROWS)) / F.col("n"))
-        .select("lang", "doc_id", F.substring("text", 1, PIECE_CHARS).alias("piece"))
+        .where((share < F.lit(float(SAMPLE_ROWS)) / F.col("n")) & (F.octet_length("text") <= TRAIN_SYMBOLS))
+        .select("lang", "doc_id", "text")
     )
-    out: dict[str, list[tuple]] = {}
-    for lang, doc_id, piece in picked.collect():
-        if letters(piece):
-            out.setdefault(lang, []).append((zlib.crc32(str(doc_id).encode()), str(doc_id), piece))
-    return {lang: [p for _, _, p in sorted(rows)[:SAMPLE_ROWS]] for lang, rows in out.items()}
-
-
-def predict(docs: DataFrame, train: dict[str, list[str]], *keep: str) -> DataFrame:
-    """Adds _lang, _score, _bits and _more (what _bits holds beyond one phrase, in the language with least) to the ``keep`` columns of every row of ``docs``; reads text alone."""
-    small_batches(docs.sparkSession)
+    found: dict[str, list[tuple]] = {}
+    for lang, doc_id, text in picked.collect():
+        if letters(text):
+            found.setdefault(lang, []).append((zlib.crc32(str(doc_id).encode()), str(doc_id), text))
+    out: dict[str, list[str]] = {}
+    for lang, own in found.items():
+        left = TRAIN_SYMBOLS
+        for _, _, text in sorted(own)[:SAMPLE_ROWS]:
+            if (size := len(text.encode("utf-8", "replace"))) <= left:
+                out.setdefault(lang, []).append(text)
+                left -= size
+    if missing := [r["lang"] for r in rows if r["lang"] not in out]:
+        short = labelled.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("x"))
+        out |= {r["lang"]: [r["x"]["text"]] for r in short.collect() if letters(r["x"]["text"])}
+    return out
+
+
+def predict(docs: DataFrame, train: dict[str, list[str]], text: str, *keep: str) -> DataFrame:
+    """Adds _lang, _score, _bits and _more to the ``keep`` columns of every row of ``docs``; reads the column ``text`` alone.
+
+    _more is what _bits holds beyond one phrase, in the language with least. No column may have one of these names.
+    """
+    lower_batches(docs.sparkSession)  # for good: the result is lazy
     classes = byte_classes([t for texts in train.values() for t in texts])
     sent = docs.sparkSession.sparkContext.broadcast((train, classes))
 
@@ -219,8 +297,8 @@ def predict(docs: DataFrame, train: dict[str, list[str]], *keep: str) -> DataFra
             _models.clear()
             _models[key] = Model(train, classes)
         model = _models[key]
-        for b in batches:
-            texts = b.column("text").to_pylist()
+        for b in (part for whole in batches for part in slabs(whole, text, SLAB)):
+            texts = b.column(text).to_pylist()
             lang, score, bits, more = [], [], [], []
             rates = model.rates(texts) if model.langs else (np.zeros((len(texts), 0)),) * 2
             for t, r, m in zip(texts, *rates):
@@ -240,7 +318,7 @@ def predict(docs: DataFrame, train: dict[str, list[str]], *keep: str) -> DataFra
             yield pa.record_batch([*(b.column(c) for c in keep), *found], names=[*keep, "_lang", "_score", "_bits", "_more"])
         pa.default_memory_pool().release_unused()
 
-    d = docs.select(*keep, *([F.col("text").cast("string").alias("text")] if "text" not in keep else []))
+    d = docs.select(*keep, *([F.col(text).cast("string").alias(text)] if text not in keep else []))
     schema = ", ".join(f"`{c}` {t}" for c, t in d.dtypes if c in keep)
     return d.mapInArrow(run, f"{schema}, _lang string, _score double, _bits double, _more double")
 
@@ -254,7 +332,7 @@ def identify(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    found = predict(rows, training_texts(docs), "doc_id", "held_out")
+    found = predict(rows, training_texts(docs), "text", "doc_id", "held_out")
     return found.drop("_more").withColumnsRenamed({"_lang": "lang_pred", "_score": "score", "_bits": "bits"})
 
 
@@ -264,6 +342,6 @@ def keep_known(docs: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
     Rows without a letter go, and those that need more than ``max_bits`` per symbol in every language
     for the phrases beyond the first: a text of a few symbols that one phrase explains stays.
     """
-    columns = docs.columns
-    found = predict(docs, training_texts(docs), *columns).where((F.col("_lang") != "und") & (F.col("_more") <= max_bits))
-    return found.withColumn("lang", F.coalesce("lang", "_lang")).select(*columns)
+    d, name = plain_names(docs)
+    found = predict(d, training_texts(docs), name["text"], *d.columns).where((F.col("_lang") != "und") & (F.col("_more") <= max_bits))
+    return found.withColumn(name["lang"], F.coalesce(name["lang"], "_lang")).select(*d.columns).toDF(*docs.columns)

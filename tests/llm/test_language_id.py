@@ -64,16 +64,13 @@ def test_phrases_against_plain_parsing():
 
     def plain(t, own):
         s, corpus = bytes(li.symbols(t, classes)), bytes(np.append(li.symbols(own, classes), np.uint8(li.SPACE)))
-        n = 0
-        for at in range(0, len(s), li.BLOCK):
-            block = s[at : at + li.BLOCK]
-            i = 0
-            while i < len(block):
-                k = 1
-                while i + k <= len(block) and block[i : i + k] in corpus:
-                    k += 1
-                i += max(1, k - 1)
-                n += 1
+        n = i = 0
+        while i < len(s):
+            k = 1
+            while i + k <= len(s) and s[i : i + k] in corpus:
+                k += 1
+            i += max(1, k - 1)
+            n += 1
         return n
 
     rates = model.bits_per_symbol([probe, None])
@@ -81,3 +78,45 @@ def test_phrases_against_plain_parsing():
     for k, own in enumerate(train):
         assert round(rates[0, k] * size / model.bits[k]) == plain(probe, own)
     assert (rates[1] == 0).all()
+
+
+def test_phrases_go_on_across_blocks_and_flushes(monkeypatch):
+    monkeypatch.setattr(li, "BLOCK", 8)
+    monkeypatch.setattr(li, "MARK", 4)
+    monkeypatch.setattr(li, "STEP_BLOCKS", 5)
+    rng = random.Random(5)
+    train = {"a": ["".join(rng.choice("abc") for _ in range(300))], "b": ["ab" * 100, "cab" * 50]}
+    classes = li.byte_classes([t for x in train.values() for t in x])
+    model = li.Model(train, classes)
+    probes = ["".join(rng.choice("abcab dß") for _ in range(rng.choice([0, 1, 7, 8, 9, 40, 41, 500]))) for _ in range(60)] + ["ab" * 300, "z" * 33]
+    rates = model.bits_per_symbol(probes)
+    for t, r in zip(probes, rates):
+        if not li.letters(t):
+            assert (r == 0).all()
+            continue
+        s = bytes(li.symbols(t, classes))
+        for k, lang in enumerate(model.langs):
+            corpus = b"".join(bytes(np.append(li.symbols(x, classes), np.uint8(li.SPACE))) for x in train[lang])
+            n = i = 0
+            while i < len(s):
+                j = i + 1
+                while j < len(s) and s[i : j + 1] in corpus:
+                    j += 1
+                i, n = j, n + 1
+            assert round(r[k] * len(s) / model.bits[k]) == n
+
+
+def test_texts_are_learned_whole(spark, monkeypatch):
+    monkeypatch.setattr(li, "TRAIN_SYMBOLS", 60)
+    rows = [(i, w * n, lang) for i, (w, n, lang) in enumerate([("ab ", 10, "x"), ("cd ", 10, "x"), ("ef ", 10, "x"), ("gh ", 100, "y"), ("ij ", 50, "y")] * 9)]
+    got = li.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"x", "y"} and got["y"] == ["ij " * 50] and 1 <= len(got["x"]) <= 2 and all(len(t) == 30 for t in got["x"])
+
+
+def test_clashing_columns(spark, rows):
+    names = ["doc_id", "text", "lang", "_lang", "_bits", "c0", "a.b", "_more"]
+    df = spark.createDataFrame([(*r[:3], "q", 1.0, "z", "dot", r[0]) for r in rows], "doc_id long, text string, lang string, _lang string, _bits double, c0 string, `a.b` string, _more long")
+    kept = li.keep_known(df)
+    assert kept.columns == names
+    got = kept.collect()
+    assert len(got) > 200 and {tuple(r)[3:7] for r in got} == {("q", 1.0, "z", "dot")} and all(r["_more"] == r["doc_id"] for r in got)
