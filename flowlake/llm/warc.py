@@ -1,8 +1,9 @@
 """WARC archives and the chunked record table.
 
 Archives hold one gzip member per record. The reader streams them: a payload of any size becomes
-rows of record identifier and chunk number, each with the length and the digest up to that chunk,
-so no task holds a whole payload.
+rows of record identifier and chunk number, each with the length and the digest up to that chunk.
+The writer passes a payload on in slices of that size too: beyond the row that Spark hands to the
+task, neither side holds a whole payload.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ CHUNKS = (
 )
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, payload_sha1: str, url: str | None) -> str:
+    """Names a record by all of its page's columns: only rows that are equal in all of them share a name."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{payload_sha1}:{zlib.crc32((url or '').encode('utf-8', 'replace')):08x}>"
 
 
 def page_of(rid: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", rid or "")
+    found = re.match(r"<urn:page:(-?\d+):", rid or "")
     return int(found[1]) if found else None
 
 
@@ -44,31 +46,46 @@ def b32_sha1(raw: bytes | None = None, digest: bytes | None = None) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest() if digest is None else digest).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, response_id: int | None, date: str) -> bytes:
-    """One WARC record as a gzip member; ``response_id`` names the response that a revisit refers to."""
+def payload_slices(payload, size: int = CHUNK):
+    """Views of a payload's bytes, slice by slice; the payload isn't copied."""
+    view = memoryview(payload)
+    return (view[at : at + size] for at in range(0, len(view), size))
+
+
+def write_record(out, page_id: int | None, url: str | None, payload, payload_sha1: str, response: tuple | None, date: str) -> None:
+    """Writes one WARC record to ``out`` as a gzip member, slice by slice.
+
+    ``payload_sha1`` in hexadecimal; ``response`` (page_id, url) names the response that a revisit refers to.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if response_id is not None else http + payload
-    head = [VERSION, f"WARC-Type: {'response' if response_id is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    kind, length = ("response", len(http) + len(payload)) if response is None else ("revisit", len(http))
+    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, payload_sha1, url)}", f"WARC-Date: {date}"]
     if url:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    head.append(f"WARC-Payload-Digest: sha1:{b32_sha1(payload)}")
-    if response_id is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(response_id)}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    head.append(f"WARC-Payload-Digest: sha1:{b32_sha1(digest=bytes.fromhex(payload_sha1))}")
+    if response is not None:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(response[0], payload_sha1, response[1])}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}", "", ""]
     zipper = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return b"".join((zipper.compress("\r\n".join(head).encode()), zipper.compress(block), zipper.compress(b"\r\n\r\n"), zipper.flush()))
+    out.write(zipper.compress("\r\n".join(head).encode("utf-8", "replace") + http))
+    if response is None:
+        for part in payload_slices(payload):
+            out.write(zipper.compress(part))
+    out.write(zipper.compress(b"\r\n\r\n") + zipper.flush())
 
 
 def duplicates(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``(page_id, digest, response_id)`` of the pages that revisit another one with an equal payload.
+    """``(page_id, digest, response)`` of the pages that revisit another one with an equal payload; response: (page_id, url).
 
-    Narrow rows only; the largest page_id of each digest is a partially aggregated maximum. Rows
-    without a page_id come last in rank; a digest with no page_id at all has no revisits.
+    Narrow rows only; the largest page_id of each digest (and of its rows the largest url) is a
+    partially aggregated maximum. Rows without a page_id come last in rank; a digest with no page_id
+    at all has no revisits. The join with a very common digest is Spark's to split (skew join): its
+    rows are a page_id and a digest.
     """
-    narrow = pages.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
-    first = narrow.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1 and response_id is not null").drop("n")
-    return narrow.join(first, "digest").where("not (page_id <=> response_id)").select("page_id", "digest", "response_id").distinct()
+    narrow = pages.where(F.octet_length("html") >= min_bytes).select("page_id", "digest", "url")
+    first = narrow.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("response"), F.count(F.lit(1)).alias("n"))
+    first = first.where("n > 1 and response.page_id is not null").drop("n")
+    return narrow.drop("url").join(first, "digest").where("not (page_id <=> response.page_id)").select("page_id", "digest", "response").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -89,18 +106,20 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "197
         task, out, n = TaskContext.get(), None, 0
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         for b in batches:
-            for page_id, url, html, response_id in zip(*(b.column(k) for k in range(4))):
+            for page_id, url, html, digest, response_id, response_url in zip(*(b.column(k) for k in range(6))):
                 if out is None:
                     fs, local = pafs.FileSystem.from_uri(path)
                     fs.create_dir(local, recursive=True)
-                    out = fs.open_output_stream(f"{local}/{name}")
-                out.write(record(page_id.as_py(), url.as_py(), html.as_py().encode(), response_id.as_py(), date))
+                    out = fs.open_output_stream(f"{local}/{name}", compression=None)  # else the name would have it compressed again
+                response = None if response_id.as_py() is None else (response_id.as_py(), response_url.as_py())
+                write_record(out, page_id.as_py(), url.as_py(), html.as_buffer(), digest.as_py(), response, date)
                 n += 1
         if out is not None:
             out.close()
             yield pa.record_batch([pa.array([f"{path}/{name}"]), pa.array([n], pa.int64())], names=["path", "n_records"])
 
-    return rows.select("page_id", "url", "html", "response_id").mapInArrow(run, "path string, n_records long")
+    columns = ("page_id", "url", "html", "digest", F.col("response.page_id").alias("response_id"), F.col("response.url").alias("response_url"))
+    return rows.select(*columns).mapInArrow(run, "path string, n_records long")
 
 
 class _Members:
@@ -209,7 +228,7 @@ def record_chunks(archives: DataFrame) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, local = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(local) as f:
+                with fs.open_input_stream(local, compression=None) as f:
                     rows = []
                     for row in chunks(f):
                         rows.append(row)
@@ -226,8 +245,10 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and returns one row per record, read back.
 
     page_id, payload_bytes, payload_digest (base32 SHA-1 of the full payload), record_type,
-    refers_to, n_chunks. Repeated rows are records each; rows with equal page_id and payload, if it
-    is the largest, are all responses; a null page_id stays null; an empty table gives no rows.
+    refers_to, n_chunks. A revisit's length and digest are those of the response that it refers to, as
+    read back; it fails if there is none with its digest. Repeated rows are records each; rows with
+    equal page_id and payload, if it is the largest, are all responses; a null page_id stays null;
+    an empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
@@ -239,4 +260,9 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     found = table(ends, "records")[0]
     delete_path(spark, folder)
     delete_path(spark, at)
-    return found
+    own = found.where("record_type = 'response' and page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("own_bytes"))
+    own = own.withColumnsRenamed({"page_id": "own_id", "payload_digest": "own_digest"})
+    revisits = found.where("record_type = 'revisit'").join(own, (F.col("refers_to") == F.col("own_id")) & (F.col("payload_digest") == F.col("own_digest")), "left")
+    lost = F.raise_error(F.concat(F.lit("a revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(" refers to no response with its payload")))
+    checked = revisits.withColumn("payload_bytes", F.coalesce("own_bytes", lost.cast("long"))).select(*found.columns)
+    return found.where("record_type <> 'revisit'").unionByName(checked)

@@ -1,6 +1,8 @@
 import base64
+import gzip
 import hashlib
 import io
+import re
 
 import pytest
 
@@ -34,9 +36,15 @@ def test_empty(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def one(page_id, url, payload, response, date):
+    out = io.BytesIO()
+    warc.write_record(out, page_id, url, payload, hashlib.sha1(payload).hexdigest(), response, date)
+    return out.getvalue()
+
+
 def test_chunks_carry_running_digests():
     payload = bytes(range(256)) * 1000
-    data = warc.record(1, "u", payload, None, "d") + warc.record(2, "u", b"", None, "d") + warc.record(3, "u", payload, 1, "d")
+    data = one(1, "u", payload, None, "d") + one(2, "u", b"", None, "d") + one(3, "u", payload, (1, "u"), "d")
     rows = list(warc.chunks(io.BytesIO(data), 1000))
     own = [r for r in rows if r[1] == 1]
     assert b"".join(r[6] for r in own) == payload and [r[5] for r in own] == list(range(256))
@@ -45,3 +53,44 @@ def test_chunks_carry_running_digests():
     assert [r[1] for r in rows if r[9]] == [1, 2, 3] and rows[-1][2:4] == ("revisit", 1) and rows[-1][7] == len(payload)
     with pytest.raises(Exception):
         list(warc.chunks(io.BytesIO(data[:-30])))
+
+
+def test_writer_never_joins_a_payload(monkeypatch):
+    sizes, compressobj = [], warc.zlib.compressobj
+
+    class Seen:
+        def __init__(self, *args):
+            self.zip = compressobj(*args)
+
+        def compress(self, x):
+            sizes.append(len(x))
+            return self.zip.compress(x)
+
+        def flush(self):
+            return self.zip.flush()
+
+    monkeypatch.setattr(warc.zlib, "compressobj", Seen)
+    payload = b"x" * 1_000_000
+    rows = list(warc.chunks(io.BytesIO(one(1, None, payload, None, "d"))))
+    assert max(sizes) <= warc.CHUNK and rows[-1][7] == len(payload)
+
+
+def test_record_names_and_references(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    archives = warc.write_warc(df, f"file://{tmp_path}/w")
+    rows = warc.record_chunks(archives).where("is_last").collect()
+    names = [r["record_id"] for r in rows]
+    assert len(names) == len(ROWS) and len(set(names)) == len(set(ROWS))  # only the row that is there twice shares a name
+    heads = {}
+    for p in tmp_path.glob("w/*.gz"):
+        raw = gzip.decompress(p.read_bytes())
+        for m in re.finditer(rb"WARC-Record-ID: (\S+)(?:\r\n(?!\r\n)[^\r]*)*?\r\nWARC-Refers-To: (\S+)", raw):
+            heads[m[1].decode()] = m[2].decode()
+    assert heads and set(heads.values()) <= {r["record_id"] for r in rows if r["record_type"] == "response"}
+
+
+def test_a_revisit_without_its_response_fails(spark, monkeypatch):
+    keep = warc.record_chunks
+    monkeypatch.setattr(warc, "record_chunks", lambda a: keep(a).where("not (record_type = 'response' and page_id = 9)"))
+    with pytest.raises(Exception, match="refers to no response"):
+        warc.warc_round_trip(spark.createDataFrame(ROWS, "page_id long, url string, html string")).collect()
