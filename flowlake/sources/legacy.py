@@ -17,7 +17,7 @@ from ..schemas import LOG_COLUMNS
 from . import lake
 
 
-# The tables that tell the layouts apart.
+# The tables that tell the layouts apart. The table and column names below are those of the layouts too.
 V2_TABLE, B_TABLES, C_TABLES = "ip_addresses", {"d_interfaces", "d_protocols"}, {"db_meta", "interfaces", "protocols", "conn_states"}
 
 
