@@ -42,7 +42,7 @@ BUCKETS, CHUNKS = 1 << 24, 256
 #: Min-hash bands that find pivots, and rows of each.
 BANDS, BAND_ROWS = 6, 3
 #: Shingles of a block of a neighbourhood, what a small set counts as at least, and columns of an incidence matrix.
-BLOCK_ITEMS, LEAST_ITEMS, WIDTH = 400_000, 256, 2048
+BLOCK_ITEMS, LEAST_ITEMS, WIDTH = 200_000, 256, 2048
 #: Pairs that meet one copy of a set.
 MEET = 256
 #: Fingerprints that different sets may share.
@@ -304,6 +304,7 @@ def describe(docs: DataFrame) -> DataFrame:
             parts = [zlib.compress(c.tobytes(), 1) for c in seen.count.reshape(CHUNKS, -1)]
             none = [None] * CHUNKS
             yield pa.record_batch([pa.array(c, t) for c, t in zip((*[none] * 6, range(CHUNKS), parts), types)], names=names)
+        pa.default_memory_pool().release_unused()
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, SETS)
@@ -478,6 +479,7 @@ def postings(docs: Texts, common: np.ndarray, parts: int) -> DataFrame:
                     items, owner, place, fps, sizes, held = [], [], [], [], [], 0
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.text.mapInArrow(run, POSTINGS)
 
@@ -813,7 +815,8 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     rows, named, members, texts = _joined(docs)
     if members is None:
         return _per_row(rows, named.select("fp", "component_id")).withColumn("n_links", F.lit(0).cast("long"))
-    links = link_counts(named.select("fp", "n", "copies", "whole"), members, texts)
+    with small_batches(docs.sparkSession):
+        links = link_counts(named.select("fp", "n", "copies", "whole"), members, texts)
     found = named.select("fp", "component_id", "copies").join(links, "fp", "left")
     own = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     return _per_row(rows, found.select("fp", "component_id", own.alias("n_links"))).fillna(0, ["n_links"])
@@ -866,8 +869,12 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, Te
 
     whole names a set's component. Without any words, there are no sets and no members.
     """
+    with small_batches(docs.sparkSession):
+        return _joined_in_small_batches(docs)
+
+
+def _joined_in_small_batches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, Texts]:
     spark = docs.sparkSession
-    small_batches(spark)
     described, _ = table(describe(docs), "described")
     described, shared = _names(described)
     texts = Texts(docs, shared)
