@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, licenses, media, mixing, ngram_join, packing, periodic_runs, token_counts, token_files, warc
+from . import embedding_dedup, language_id, licenses, media, mixing, ngram_join, packing, periodic_runs, quality, ranked_search, token_counts, token_files, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -61,6 +61,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs(_read(spark, sf_dir, "documents"), plant=True)
 
@@ -70,8 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id, op2_ngram_join, op3_packing, op4_embedding_dedup, op5_mixing,
         op6_licenses, op7_warc, op8_token_files, op9_media, op10_token_counts,
-        op13_periodic_runs,
+        op11_quality, op12_ranked_search, op13_periodic_runs,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
