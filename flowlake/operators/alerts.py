@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources import versions
 
 
 def upsert_by_day(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -29,6 +32,16 @@ def acknowledge(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     ).drop("a")
 
 
+def store_upsert(path: str, new: DataFrame, schema: StructType) -> versions.Snapshot:
+    """``upsert_by_day`` on a stored table: a new version, and nothing that another writer stores meanwhile is lost."""
+    return versions.update(new.sparkSession, path, schema, lambda old: upsert_by_day(old, new))
+
+
+def store_acknowledge(path: str, acks: DataFrame, schema: StructType) -> versions.Snapshot:
+    """``acknowledge`` on a stored table."""
+    return versions.update(acks.sparkSession, path, schema, lambda old: acknowledge(old, acks))
+
+
 def listed(alerts: DataFrame, only_open: bool = False, limit: int = 200) -> DataFrame:
     """Alerts, newest day first."""
     return (alerts.where("not acknowledged") if only_open else alerts).orderBy(F.desc("day"), F.desc("id")).limit(limit)

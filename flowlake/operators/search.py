@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..schemas import LOG_COLUMNS
-from ..sources import lake
+from ..sources import lake, versions
 
 #: A total order of log rows: the first key is the time, the rest break ties.
 ORDER = ["ts", "src_ip", "src_port", "dst_ip", "dst_port", "nat_ip", "nat_port", "proto", "pkt_len"]
@@ -58,10 +59,15 @@ class UnknownDay(LookupError):
 
 
 def search_lake(spark: SparkSession, hot: str, cold: str, q: Search) -> DataFrame:
-    """``search`` in the tier that holds the day; an unknown day is an error, not an empty result."""
+    """``search`` in the tier that holds the day; an unknown day is an error, not an empty result.
+
+    Tiers with versions are read together: late rows of a cold day may still be hot.
+    """
     path = lake.find_day(spark, hot, cold, q.day)
     if path is None:
         raise UnknownDay(f"no partition for {q.day}")
+    if versions.versioned(spark, hot) and versions.versioned(spark, cold):
+        return search(lake.read_tiers(spark, hot, cold), q)
     return search(lake.read_lake(spark, path), q)
 
 
@@ -109,37 +115,66 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     return r.withColumn("reason", reason)
 
 
-#: Seconds of a bin, the longest window that is looked up by bins, and the longest of all (ten years).
-BIN, SHORT, LONGEST = 300, 6 * 3600, 3660 * 86_400
+#: Days (1970 to 2199) that prune partitions by name; days outside are read whenever a window reaches beyond either end.
+FIRST_DAY, LAST_DAY = 0, 84_005
 
 
 def bad_windows(requests: DataFrame) -> DataFrame:
     """``(request_id, reason)`` of the requests that ``search_batch`` doesn't answer."""
     span = F.col("t1") - F.col("t0")
-    reason = F.when(span.isNull(), "no window").when(span < 0, "window ends before it begins").when(span > LONGEST, "window longer than ten years")
+    reason = F.when(span.isNull(), "no window").when(span < 0, "window ends before it begins")
     return requests.select("request_id", reason.alias("reason")).where("reason is not null")
 
 
+def window_level(t0: Column, t1: Column) -> Column:
+    """The smallest even number of bits whose aligned intervals of 2^bits seconds are as long as a window, 6 at least: two of them cover it."""
+    bits = F.length(F.regexp_replace(F.bin(t1 - t0), "^0$", ""))  # of the longest distance in the window
+    return F.greatest(F.lit(6), F.least(F.lit(62), bits + bits % 2))
+
+
+def _reach(windows: DataFrame) -> tuple[list[int], Column]:
+    """The levels in use (29 at most), and a condition on ``day`` that every row of any window meets."""
+    day = lambda t: F.greatest(F.lit(FIRST_DAY), F.least(F.lit(LAST_DAY), F.floor(F.col(t) / 86_400)))
+    seen = windows.groupBy("level", day("t0").alias("d0"), day("t1").alias("d1")).agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
+    seen = seen.select("level", "lo", "hi", F.explode(F.sequence("d0", "d1")).alias("d"))
+    one = seen.agg(F.collect_set("level"), F.collect_set("d"), F.min("lo"), F.max("hi")).first()  # numbers of days and levels
+    levels, numbers, lo, hi = one
+    if not levels:
+        return [], F.lit(False)
+    begin = date(1970, 1, 1)
+    names = [begin + timedelta(n) for n in numbers]
+    found = F.col("day").isin(names)
+    if lo < 0:
+        found = found | (F.col("day") < F.lit(begin))
+    if hi >= (LAST_DAY + 1) * 86_400:
+        found = found | (F.col("day") > F.lit(begin + timedelta(LAST_DAY)))
+    return sorted(levels), found
+
+
 def search_batch(logs: DataFrame, requests: DataFrame, limit: int = 100) -> DataFrame:
     """Many lookups ``requests(request_id, nat_ip, nat_port, t0, t1)`` at once, the first ``limit`` rows of each.
 
-    A short window is expanded to the 300-second bins that it touches, a long one to its days, so the
-    joins are equalities on (day, bin, nat_ip) or (day, nat_ip) that shuffle or broadcast as sizes
-    demand; day pruning reaches the scan. Windows that make no sense are in ``bad_windows``. A null
-    port matches every port. A group of the ranking holds one request's matches.
+    A window is covered by two aligned intervals of its own dyadic level, whatever its length, and a row has
+    one key for each level that some window uses. So there is one scan, pruned to the windows' days, and one
+    equality join on (address, level, interval), whose large partitions (a busy address, a long window) Spark
+    splits. Windows that make no sense are in ``bad_windows``. A null port matches every port. A row's day must
+    be that of its time. A group of the ranking holds one request's matches.
     """
-    r = requests.where((F.col("t1") - F.col("t0")).between(0, LONGEST)).withColumnsRenamed({"nat_ip": "want_ip", "nat_port": "want_port"})
-    short = F.col("t1") - F.col("t0") <= SHORT
-    steps = lambda size: F.explode(F.sequence(F.floor(F.col("t0") / size), F.floor(F.col("t1") / size)))
-    by_bin = r.where(short).withColumn("want_bin", steps(BIN)).withColumn("want_day", net.epoch_day(F.col("want_bin") * BIN))
-    by_day = r.where(~short).withColumn("want_bin", steps(86_400)).withColumn("want_day", net.epoch_day(F.col("want_bin") * 86_400))
-    l = logs.withColumn("bin", F.floor(F.col("ts") / BIN))
-    same = (l["day"] == F.col("want_day")) & (l["nat_ip"] == F.col("want_ip"))
-    keep = ["request_id", "want_port", "t0", "t1", *LOG_COLUMNS]
-    hit = l.join(by_bin, same & (l["bin"] == F.col("want_bin"))).select(*keep).unionByName(l.join(by_day, same).select(*keep))
+    r = requests.where("t1 >= t0").select("request_id", F.col("nat_ip").alias("want_ip"), F.col("nat_port").alias("want_port"), "t0", "t1")
+    r = r.withColumn("level", window_level(F.col("t0"), F.col("t1")))
+    levels, days = _reach(r)
+    slot = lambda t, level: F.expr(f"shiftright({t}, {level})")
+    r = r.withColumn("slot", F.explode(F.array_distinct(F.array(slot("t0", "level"), slot("t1", "level")))))
+    keys = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), slot("ts", v).alias("slot")) for v in levels])) if len(levels) > 1 else None
+    l = logs.where(days & F.col("nat_ip").isNotNull())
+    if keys is None:
+        l = l.withColumns({"level": F.lit(levels[0] if levels else 0), "slot": slot("ts", levels[0] if levels else 0)})
+    else:
+        l = l.select(*LOG_COLUMNS, keys.alias("key")).select(*LOG_COLUMNS, "key.level", "key.slot")
+    hit = l.join(r, (l["nat_ip"] == r["want_ip"]) & (l["level"] == r["level"]) & (l["slot"] == r["slot"]))
     hit = hit.where(F.col("ts").between(F.col("t0"), F.col("t1")) & (F.col("want_port").isNull() | (F.col("want_port") == F.col("nat_port"))))
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy(*ORDER))
-    return hit.withColumn("nth", nth).where(F.col("nth") <= limit).select("request_id", "nth", *LOG_COLUMNS)
+    return hit.select("request_id", *LOG_COLUMNS).withColumn("nth", nth).where(F.col("nth") <= limit).select("request_id", "nth", *LOG_COLUMNS)
 
 
 def probe_sample(logs: DataFrame, n: int, seed: int = 42, spread: int = 150) -> DataFrame:

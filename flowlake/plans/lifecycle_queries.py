@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as al
 from ..operators import anomaly
-from ..sources import lake
+from ..schemas import CONN_LOGS
+from ..sources import lake, versions
 from ..streaming import jobs
 from . import fixtures as fx
 from .fixtures import AUDIT_SQL, EVENT_SQL, LOGS
@@ -186,6 +187,42 @@ def alerts_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return al.by_key(a, alert_id=3).unionByName(al.by_key(a, day=first))
 
 
+@query(
+    f"""{_HEAD}, n AS (SELECT id + 100 AS id, day, log_count, ratio * 2 AS ratio, false AS acknowledged, CAST(NULL AS VARCHAR) AS acknowledged_by, CAST(NULL AS BIGINT) AS acknowledged_at FROM a WHERE id % 2 = 0),
+    v1 AS (SELECT * FROM a), v2 AS (SELECT * FROM a WHERE day NOT IN (SELECT day FROM n) UNION ALL SELECT * FROM n),
+    v3 AS (SELECT * REPLACE (true AS acknowledged, CASE WHEN acknowledged THEN acknowledged_by ELSE 'operator' END AS acknowledged_by, CASE WHEN acknowledged THEN acknowledged_at ELSE {NOW} END AS acknowledged_at) FROM v2)
+    SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3"""
+)
+def alerts_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored alert table: written, upserted by day and acknowledged as three versions, each read back."""
+    path, first = lake.scratch(spark, "alerts"), _alerts(spark, sf)
+    new = first.where("id % 2 = 0").withColumns(
+        {"id": F.col("id") + 100, "ratio": F.col("ratio") * 2, "acknowledged": F.lit(False), "acknowledged_by": F.lit(None).cast("string"), "acknowledged_at": F.lit(None).cast("long")}
+    )
+    schema = first.schema
+    versions.append(first, path)
+    al.store_upsert(path, new, schema)
+    ids = versions.read(spark, path, schema).select(F.col("id").alias("alert_id"), F.lit("operator").alias("username"), F.lit(NOW).cast("long").alias("ts"))
+    al.store_acknowledge(path, ids, schema)
+    every = [versions.read(spark, path, schema, n).withColumn("version", F.lit(n)) for n in (1, 2, 3)]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query(f"WITH {EVENT_SQL} SELECT 'newest' AS version, {LOGS} FROM ev UNION ALL SELECT 'third', {LOGS} FROM ev WHERE event_id % 3 <> 2 UNION ALL SELECT 'cold', {LOGS} FROM ev WHERE day <= DATE '2024-01-05'")
+def lake_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A lake that three batches fill, one of them after days were compacted; its first five days are then archived."""
+    hot, cold, logs = lake.scratch(spark, "hot"), lake.scratch(spark, "cold"), fx.event_logs(spark, sf)
+    for k in (0, 1):
+        versions.append(logs.where(F.col("event_id") % 3 == k).drop("event_id"), hot, ("day",), stream="events", batch=k)
+    lake.compact(spark, hot, [f"2024-01-{d:02d}" for d in range(1, 16)])
+    for _ in range(2):  # a batch that comes again
+        versions.append(logs.where("event_id % 3 = 2").drop("event_id"), hot, ("day",), stream="events", batch=2)
+    lake.archive_days(spark, hot, cold, logs.where("day <= DATE'2024-01-05'").select("day"))
+    named = {"newest": lake.read_tiers(spark, hot, cold), "third": versions.read(spark, hot, CONN_LOGS, 3), "cold": lake.read_lake(spark, cold)}
+    out = [rows.withColumn("version", F.lit(name)) for name, rows in named.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # audit
 
 

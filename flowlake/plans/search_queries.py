@@ -136,6 +136,26 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     return s.search_batch(logs.drop("event_id"), requests, 100)
 
 
+_SPANS = (9, 21_600, 1_800_000)  # seconds, hours, weeks
+
+
+@query(
+    f"WITH {EVENT_SQL}, rq AS (SELECT event_id AS request_id, nat_ip AS want_ip, CASE WHEN event_id % 3 = 0 THEN nat_port END AS want_port, ts - {_SPANS[0]} AS t0, "
+    f"ts + CASE event_id % 3 WHEN 0 THEN {_SPANS[0]} WHEN 1 THEN {_SPANS[1]} ELSE {_SPANS[2]} END AS t1 FROM ev WHERE event_id % 20 = 0), "
+    f"hit AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY {ORDER}) AS nth, {LOGS} "
+    "FROM ev JOIN rq ON nat_ip = want_ip AND ts BETWEEN t0 AND t1 AND (want_port IS NULL OR want_port = nat_port)) "
+    f"SELECT request_id, CAST(nth AS INTEGER) AS nth, {LOGS} FROM hit WHERE nth <= 20"
+)
+def search_batch_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of seconds, hours and weeks in one batch, the first 20 rows of each (the report's own limit)."""
+    logs = fx.event_logs(spark, sf)
+    span = F.element_at(F.array(*[F.lit(x) for x in _SPANS]), (F.col("event_id") % 3 + 1).cast("int"))
+    requests = logs.where("event_id % 20 = 0").select(
+        F.col("event_id").alias("request_id"), "nat_ip", F.when(F.col("event_id") % 3 == 0, F.col("nat_port")).alias("nat_port"), (F.col("ts") - _SPANS[0]).alias("t0"), (F.col("ts") + span).alias("t1"),
+    )
+    return s.search_batch(logs.drop("event_id"), requests, 20)
+
+
 _REQUEST_IP = "CASE event_id % 6 WHEN 0 THEN '300.1.1.1' WHEN 1 THEN '' WHEN 2 THEN '01.2.3.4' ELSE concat(' ', {ip}, ' ') END"
 
 

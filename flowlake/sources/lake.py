@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CONN_LOGS, LOG_COLUMNS, SIDECAR
+from . import versions
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -27,31 +28,62 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, safe against lost executors."""
+    return table(df, name)[0]
+
+
+def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, and the table's path, for ``drop``."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def write_archive(logs: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> None:
-    """Day partitions sorted by (ts, src_ip), zstd level 6, with a bloom filter on nat_ip.
+#: How days are written for good.
+ARCHIVE = {
+    "compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.block.size": str(32 << 20), "parquet.bloom.filter.enabled#nat_ip": "true",
+}
+SORT = ("ts", "src_ip")
 
-    Rows are ranged by (day, ts), so a large day has several files and each file's minima and
-    maxima are narrow; days are never one task.
-    """
+
+def ranged(logs: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows ranged by (day, ts), so a large day has several files with narrow minima and maxima; days are never one task."""
     n = files or int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
-        logs.select(*LOG_COLUMNS).repartitionByRange(n, "day", "ts").sortWithinPartitions("day", "ts", "src_ip")
-        .write.mode(mode).partitionBy("day")
-        .option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").option("parquet.block.size", str(32 << 20))
-        .option("parquet.bloom.filter.enabled#nat_ip", "true").option("partitionOverwriteMode", "dynamic")  # overwriting replaces whole days, no others
-        .parquet(path)
-    )
+    return logs.select(*LOG_COLUMNS).repartitionByRange(n, "day", "ts")
+
+
+def write_archive(logs: DataFrame, path: str, files: int | None = None, mode: str = "errorifexists") -> None:
+    """Day partitions sorted by (ts, src_ip), zstd level 6, with a bloom filter on nat_ip."""
+    rows = ranged(logs, files).sortWithinPartitions("day", *SORT).write.mode(mode).partitionBy("day")
+    rows.options(**ARCHIVE).option("partitionOverwriteMode", "dynamic").parquet(path)  # overwriting replaces whole days, no others
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a lake, of its newest version if it has versions."""
+    if versions.versioned(spark, path):
+        return versions.read(spark, path, CONN_LOGS)
     return spark.read.schema(CONN_LOGS).parquet(path).select(*LOG_COLUMNS)
 
 
+def day_of(part: str) -> str:
+    return part.split("/", 1)[0].removeprefix("day=")
+
+
+#: A cold tier's version names the hot tier's parts that it has taken over, so they count once whenever a move breaks off.
+TAKEN = "from "
+
+
+def taken(cold: versions.Snapshot) -> set[str]:
+    return {k.removeprefix(TAKEN) for k in cold.batches if k.startswith(TAKEN)}
+
+
+def read_tiers(spark: SparkSession, hot: str, cold: str) -> DataFrame:
+    """The rows of both tiers of a lake with versions, each once, while days are moved and late rows come in."""
+    h = versions.snapshot(spark, hot)  # before the cold one: what leaves hot is in cold already
+    c = versions.snapshot(spark, cold)
+    gone = taken(c)
+    return versions.read(spark, hot, CONN_LOGS, h, lambda p: p not in gone).unionByName(versions.read(spark, cold, CONN_LOGS, c))
+
+
 def scan_day(logs: DataFrame, day: str) -> DataFrame:
     return logs.where(F.col("day") == F.to_date(F.lit(day)))
 
@@ -66,8 +98,17 @@ def new_days(incoming: DataFrame, existing: DataFrame, overwrite: bool = False)
 
 
 def import_days(incoming: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Idempotent import: known days are skipped, or replaced as whole partitions."""
+    """Idempotent import: known days are skipped, or replaced as whole partitions.
+
+    A lake with versions gets one new version.
+    """
     spark = incoming.sparkSession
+    if versions.versioned(spark, path):
+        base = versions.snapshot(spark, path)
+        rows = new_days(incoming, versions.read(spark, path, CONN_LOGS, base), overwrite)
+        days = {r["d"] for r in rows.select(F.col("day").cast("string").alias("d")).distinct().collect()} if overwrite else set()  # one entry a day
+        versions.replace(ranged(rows), path, tuple(p for p in base.parts if day_of(p) in days), ("day",), SORT, **ARCHIVE)
+        return
     rows = incoming
     if _exists(spark, path):
         rows = new_days(incoming, read_lake(spark, path), overwrite)
@@ -98,29 +139,38 @@ def drop(spark: SparkSession, path: str) -> bool:
 
 
 def drop_days(spark: SparkSession, path: str, days: DataFrame) -> int:
-    """Deletes the partitions of ``days(day)``; one entry a day reaches the driver."""
+    """Deletes the partitions of ``days(day)``, or publishes a version without them; one entry a day reaches the driver."""
     n = 0
+    if versions.versioned(spark, path):
+        gone = {r["d"] for r in days.select(F.col("day").cast("string").alias("d")).distinct().collect()} & set(days_in(spark, path))
+        versions.commit(spark, path, lambda s: versions.Snapshot(0, tuple(p for p in s.parts if day_of(p) not in gone), s.batches))
+        return len(gone)
     for r in days.select(F.col("day").cast("string").alias("d")).distinct().collect():
         n += drop(spark, f"{path}/day={r['d']}")
     return n
 
 
 def days_in(spark: SparkSession, path: str) -> list[str]:
-    """The day partitions of a tier, from its folder; a tier that doesn't exist has none."""
+    """The day partitions of a tier, from its newest version or its folder; a tier that doesn't exist has none."""
+    if versions.versioned(spark, path):
+        return sorted({day_of(p) for p in versions.snapshot(spark, path).parts})
     return [name[4:] for name in folders(spark, path) if name.startswith("day=")]
 
 
 def find_day(spark: SparkSession, hot: str, cold: str, day: str) -> str | None:
     """The tier's path that holds a day, the hot one first; None for a day that neither has."""
-    return next((p for p in (hot, cold) if _exists(spark, f"{p}/day={day}")), None)
+    return next((p for p in (hot, cold) if day in days_in(spark, p)), None)
 
 
 def archive_days(spark: SparkSession, hot: str, cold: str, days: DataFrame) -> None:
     """Moves hot days to the cold tier in one job: rewritten beside it, then renamed; cold days that exist are kept.
 
     Days that hot doesn't have are passed over. A run that was broken off is repeated as it is: what is
-    cold already is only dropped from hot.
+    cold already is only dropped from hot. Where hot has versions, cold gets them too, and a cold day takes late rows.
     """
+    if versions.versioned(spark, hot):
+        _archive_parts(spark, hot, cold, days)
+        return
     have, done = set(days_in(spark, hot)), set(days_in(spark, cold))
     every = [r["d"] for r in days.select(F.col("day").cast("string").alias("d")).distinct().collect() if r["d"] in have]  # one entry a day
     if todo := [d for d in every if d not in done]:
@@ -136,9 +186,46 @@ def archive_days(spark: SparkSession, hot: str, cold: str, days: DataFrame) -> N
         drop(spark, f"{hot}/day={day}")
 
 
+def _archive_parts(spark: SparkSession, hot: str, cold: str, days: DataFrame) -> None:
+    """Parts of hot days become one part of the cold tier; two versions, of which readers see the first or both."""
+    versions.adopt(spark, cold)
+    wanted = {r["d"] for r in days.select(F.col("day").cast("string").alias("d")).distinct().collect()}  # one entry a day
+    base = versions.snapshot(spark, hot)
+    parts = {p for p in base.parts if day_of(p) in wanted}
+    if todo := parts - taken(versions.snapshot(spark, cold)):
+        new = versions.write_part(ranged(versions.read(spark, hot, CONN_LOGS, base, todo.__contains__)), cold, ("day",), SORT, **ARCHIVE)
+
+        def take(s: versions.Snapshot) -> versions.Snapshot:
+            if taken(s) & todo:
+                raise versions.Conflict(f"{cold}: another run moves the same days")
+            keep = {k: v for k, v in s.batches.items() if not k.startswith(TAKEN) or k.removeprefix(TAKEN) in base.parts}
+            return versions.Snapshot(0, s.parts + new, keep | {TAKEN + p: 1 for p in todo})
+
+        versions.commit(spark, cold, take)
+    if parts:
+        versions.commit(spark, hot, lambda s: versions.Snapshot(0, tuple(p for p in s.parts if p not in parts), s.batches))
+
+
+def compact(spark: SparkSession, path: str, days: list[str]) -> None:
+    """Days that many small batches have filled, each as few sorted files: a new version, beside which readers and streams go on.
+
+    Rows that are added meanwhile stay as they are. A lake without versions gets them. Old files stay until ``versions.expire``.
+    """
+    base, wanted = versions.adopt(spark, path), set(days)
+    old = tuple(p for p in base.parts if day_of(p) in wanted)
+    if old:
+        versions.replace(ranged(versions.read(spark, path, CONN_LOGS, base, set(old).__contains__)), path, old, ("day",), SORT, **ARCHIVE)
+
+
+CATALOG = "day date, kind string, size_bytes long, files long"
+
+
 def catalog(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``(day, kind, size_bytes, files)`` of a tier, from its file listing; no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    """``(day, kind, size_bytes, files)`` of a tier, from its file listing; no file is opened. A tier that doesn't exist has no rows."""
+    paths = [f"{path}/{p}" for p in versions.snapshot(spark, path).parts] if versions.versioned(spark, path) else [path] * _exists(spark, path)
+    if not paths:
+        return spark.createDataFrame([], CATALOG)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(paths).select("path", "length")
     day = F.to_date(F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1))
     return files.groupBy(day.alias("day")).agg(F.lit(kind).alias("kind"), F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("files"))
 

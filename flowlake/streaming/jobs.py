@@ -12,7 +12,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..operators import parse, registry
 from ..schemas import AUDIT, LOG_COLUMNS, REGISTRY
-from ..sources import lake
+from ..sources import lake, versions
 
 TRIGGER, FILES_PER_BATCH = "2 seconds", 64
 
@@ -120,27 +120,32 @@ def parsed_rows(lines: DataFrame, now: Column) -> DataFrame:
 
 
 def ingest(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Appends log rows to the day of their own time, however late; no watermark drops any."""
-    return (
-        rows.select(*LOG_COLUMNS).writeStream.format("parquet").partitionBy("day").trigger(processingTime=TRIGGER)
-        .option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    )
+    """Appends log rows to the day of their own time, however late; no watermark drops any.
+
+    Each batch is a version of the lake, so days can be compacted and archived beside the stream. A batch that
+    is run again after a failure adds nothing: the version remembers the stream's last batch.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        versions.append(batch.select(*LOG_COLUMNS), path, ("day",), stream=checkpoint, batch=number)
+
+    return rows.writeStream.foreachBatch(run).trigger(processingTime=TRIGGER).option("checkpointLocation", checkpoint)
 
 
 def ingest_batches(lines: DataFrame, path: str, quarantine: str, checkpoint: str, now: Column) -> DataStreamWriter:
-    """Files of whole lines to rows and rejects, one parse a batch.
+    """Files of lines to rows and rejects, one parse a batch. Rows go to the lake as in ``ingest``.
 
-    A batch writes under its own number and overwrites only that, so a batch that is run again after a
-    failure leaves nothing twice.
+    A batch's rejects are written under its number and overwrite only that, so a batch that is run again
+    leaves nothing twice. Lines come as ``(file, block, value)``, with their place in the block as ``line`` if known.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        place = F.struct("block", F.monotonically_increasing_id().alias("line"))
-        joined = parse.join_continuations(batch.select("file", place.alias("pos"), "value"))
-        parsed = parse.parse(joined, now).persist()
-        parse.accepted(parsed).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+        line = F.col("line") if "line" in batch.columns else F.monotonically_increasing_id()
+        joined = parse.join_continuations(batch.select("file", F.struct("block", line.alias("line")).alias("pos"), "value"))
+        parsed, scratch = lake.table(parse.parse(joined, now), "parsed")
+        versions.append(parse.accepted(parsed), path, ("day",), stream=checkpoint, batch=number)
         parse.rejected(parsed, "file", "line").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-        parsed.unpersist()
+        lake.drop(batch.sparkSession, scratch)
 
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
@@ -179,6 +184,15 @@ def read_registry(spark: SparkSession, path: str, total: int | None = None, last
     return rows.groupBy("ip").agg(F.sum("total_hits").alias("total_hits"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+def running_dicts(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A stored dictionary that takes up each batch's new names. Ids never change, however late rows come, so a batch can be run again."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        registry.store_dicts(batch.sparkSession, path, batch)
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
 def live_counts(rows: DataFrame) -> DataFrame:
     """Rows by day, for an update or complete sink."""
     return rows.groupBy("day").agg(F.count(F.lit(1)).alias("log_count"))
@@ -211,7 +225,5 @@ def processed_files_to_drop(files: DataFrame, now: int, hours: int) -> DataFrame
     return files.where(F.col("processed_at").isNotNull() & (F.lit(now) - F.col("processed_at") > hours * 3600))
 
 
-def compact(spark: SparkSession, path: str, days: list[str]) -> None:
-    """Rewrites days that many small batches have filled, each as few sorted files; see ``lake.write_archive``."""
-    rows = lake.written(lake.read_lake(spark, path).where(F.col("day").cast("string").isin(days)), "compacted")
-    lake.write_archive(rows, path, mode="overwrite")  # replaces these days only
+#: Compaction beside running streams.
+compact = lake.compact

@@ -180,10 +180,34 @@ def test_long_windows_and_bad_ones(spark, logs):
     nat = logs.first()["nat_ip"]
     r = spark.createDataFrame([(i, nat, p, None if a is None else first + a, first + b) for i, p, a, b in wanted], "request_id int, nat_ip long, nat_port int, t0 long, t1 long")
     got = {x["request_id"]: x["n"] for x in search.search_batch(logs, r, 10**6).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for i, span in ((1, 12 * 86400), (3, 7 * 3600)):
+    for i, span in ((1, 12 * 86400), (3, 7 * 3600), (5, 20 * 366 * 86400)):
         assert got.get(i, 0) == logs.where((F.col("nat_ip") == nat) & F.col("ts").between(first, first + span)).count()
-    assert got[1] > 0 and set(got) <= {1, 2, 3}
-    assert {x["request_id"]: x["reason"] for x in search.bad_windows(r).collect()} == {4: "window ends before it begins", 5: "window longer than ten years", 6: "no window"}
+    assert got[1] > 0 and set(got) <= {1, 2, 3, 5}
+    assert {x["request_id"]: x["reason"] for x in search.bad_windows(r).collect()} == {4: "window ends before it begins", 6: "no window"}
+
+
+def test_windows_of_every_length(spark, logs):
+    import random
+
+    rng = random.Random(6)
+    first, nats = logs.agg(F.min("ts")).first()[0], [r["nat_ip"] for r in logs.select("nat_ip").distinct().collect()]
+    wanted = [(i, rng.choice([*nats, 1]), rng.choice([None, None, 1500]), a := first + rng.randint(-(10**7), 10**7), a + rng.choice([0, 1, 63, 64, 5000, 10**5, 10**7, 10**10])) for i in range(60)]
+    wanted += [(100, nats[0], None, -(1 << 40), 1 << 40), (101, nats[1], None, first, first), (102, None, None, 0, 1 << 60)]
+    r = spark.createDataFrame(wanted, "request_id int, nat_ip long, nat_port int, t0 long, t1 long")
+    got = {x["request_id"]: x["n"] for x in search.search_batch(logs, r, 10**6).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = logs.select("nat_ip", "nat_port", "ts").collect()
+    for i, ip, port, a, b in wanted:
+        assert got.get(i, 0) == sum(x["nat_ip"] == ip and a <= x["ts"] <= b and port in (None, x["nat_port"]) for x in rows), (i, a, b)
+    assert got[100] > 0 and len(got) > 20
+    assert search.search_batch(logs, r.limit(0)).isEmpty()
+
+
+def test_windows_prune_days_and_scan_once(spark, logs, tmp_path):
+    lake.write_archive(logs, str(tmp_path / "lake"))
+    first = logs.agg(F.min("ts")).first()[0]
+    r = spark.createDataFrame([(1, 5, None, first, first + 100), (2, 5, None, first, first + 90_000)], "request_id int, nat_ip long, nat_port int, t0 long, t1 long")
+    plan = search.search_batch(lake.read_lake(spark, str(tmp_path / "lake")), r)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "PartitionFilters: [day" in plan
 
 
 def test_ids_without_a_name(spark):
@@ -217,3 +241,28 @@ def test_report_of_one_day_equals_its_row_of_all_days(spark, logs):
     one = report.day_stats(lake.scan_day(logs, "2024-01-10"), 2, 2, 2).collect()
     every = report.day_stats(logs, 2, 2, 2).where("day = DATE'2024-01-10'").collect()
     assert one == every and len(one) == 1
+
+
+def test_batches_in_reversed_order_of_time_decode(spark, logs, tmp_path):
+    import threading
+
+    path, columns = str(tmp_path / "dicts"), logs.columns
+    half = logs.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    newer, older = logs.where(F.col("ts") >= half), logs.where(F.col("ts") < half)
+    same_day = logs.where("day = DATE'2024-01-10'")
+    late, early = same_day.where("proto = 'UDP' and ts % 2 = 0").withColumn("in_iface", F.lit("late")), same_day.withColumn("ts", F.col("ts") - 86_400)
+    coded = []
+    for batch in (newer, late, older, early):
+        registry.store_dicts(spark, path, batch)
+        coded.append(lake.written(registry.encode(batch, registry.read_dicts(spark, path)), "coded"))
+    dims = registry.read_dicts(spark, path)
+    for batch, rows in zip((newer, late, older, early), coded):
+        back = registry.decode(rows, dims).select(*columns)
+        assert back.exceptAll(batch).isEmpty() and back.count() == batch.count()
+    threads = [threading.Thread(target=registry.store_dicts, args=(spark, path, logs.withColumn("in_iface", F.concat("in_iface", F.lit(x))))) for x in "pqr"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    ids = registry.read_dicts(spark, path).groupBy("day", "kind", "id").count()
+    assert ids.where("count > 1").isEmpty() and registry.read_dicts(spark, path).groupBy("day", "kind", "name").count().where("count > 1").isEmpty()
+    assert registry.read_dicts(spark, path).where("name like '%q'").count() > 0
+    assert registry.decode(coded[1], registry.read_dicts(spark, path)).select(*columns).exceptAll(late).isEmpty()
