@@ -10,30 +10,30 @@ that phrases go on across blocks and their number is that of the whole text.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_batches, plain_names
 from .tokens import slabs
 
-#: The bounded training sample: labelled rows per language (expected), and bytes and symbols of their whole texts that are learned.
+#: The bounded training sample: labelled rows per language (at most), and bytes and symbols of their whole texts that are learned.
 SAMPLE_ROWS, TRAIN_SYMBOLS = 128, 49_152
 #: Bytes of text that are read at once.
 SLAB = 2 << 20
-#: Languages that can be learned; a table of some 20 MB each in every worker.
-MAX_LANGUAGES = 500
+#: Languages that can be learned; a table of some 20 MB each in every worker, so 1.3 GB at most.
+MAX_LANGUAGES = 64
 #: Symbols of a block, blocks that are walked in step, and symbols between the marks at which walks can meet.
 BLOCK, STEP_BLOCKS, MARK = 512, 4096, 32
 #: Bits per symbol above which no learned language explains a text. The first phrase, which every text needs, is free.
 MAX_BITS = 7.0
 
 SPACE, UNKNOWN, PAD = 0, 1, 2
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 _models: dict[int, "Model"] = {}
 
 
@@ -247,31 +247,30 @@ def held_out(doc_id) -> F.Column:
 def training_texts(docs: DataFrame) -> dict[str, list[str]]:
     """Whole texts per language from the rows that aren't held out.
 
-    Rows are counted per language over the whole table; a hash threshold per language then picks
-    SAMPLE_ROWS expected rows. In hash order, they are learned as long as they fit TRAIN_SYMBOLS bytes; a text that
-    doesn't fit is left out whole. A language none of whose picked texts fits learns from its
-    shortest text. Only that bounded sample reaches the driver.
+    Different rows (by id and text) that fit TRAIN_SYMBOLS bytes are counted per language over the whole table; a
+    threshold on a hash of id and text then picks SAMPLE_ROWS of them, as expected and at most, so neither a
+    repeated id nor a repeated row can fill the sample. In hash order, they are learned as long as they fit
+    TRAIN_SYMBOLS bytes together; a text that doesn't fit is left out whole. A language none of whose picked texts
+    fits learns from its shortest text. No more than MAX_LANGUAGES * SAMPLE_ROWS such rows reach the driver.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
-    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
+    fits = F.octet_length("text") <= TRAIN_SYMBOLS
+    rows = labelled.groupBy("lang").agg(F.approx_count_distinct(F.when(fits, F.col("h"))).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: each needs a table of its own in every worker")
-    counts = docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in rows], f"lang {dict(labelled.dtypes)['lang']}, n long")
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = (
-        labelled.join(F.broadcast(counts), "lang")
-        .where((share < F.lit(float(SAMPLE_ROWS)) / F.col("n")) & (F.octet_length("text") <= TRAIN_SYMBOLS))
-        .select("lang", "doc_id", "text")
-    )
+    counts = docs.sparkSession.createDataFrame([(r["lang"], max(r["n"], 1)) for r in rows], f"lang {dict(labelled.dtypes)['lang']}, n long")
+    share = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = labelled.join(F.broadcast(counts), "lang").where(fits & (share < F.lit(float(SAMPLE_ROWS)) / F.col("n"))).dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # of some SAMPLE_ROWS rows
     found: dict[str, list[tuple]] = {}
-    for lang, doc_id, text in picked.collect():
+    for lang, h, text in picked.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS).select("lang", "h", "text").collect():
         if letters(text):
-            found.setdefault(lang, []).append((zlib.crc32(str(doc_id).encode()), str(doc_id), text))
+            found.setdefault(lang, []).append((h, text))
     out: dict[str, list[str]] = {}
     for lang, own in found.items():
         left = TRAIN_SYMBOLS
-        for _, _, text in sorted(own)[:SAMPLE_ROWS]:
+        for _, text in sorted(own):
             if (size := len(text.encode("utf-8", "replace"))) <= left:
                 out.setdefault(lang, []).append(text)
                 left -= size

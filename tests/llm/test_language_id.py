@@ -120,3 +120,23 @@ def test_clashing_columns(spark, rows):
     assert kept.columns == names
     got = kept.collect()
     assert len(got) > 200 and {tuple(r)[3:7] for r in got} == {("q", 1.0, "z", "dot")} and all(r["_more"] == r["doc_id"] for r in got)
+
+
+def test_only_letters_are_letters(spark):
+    texts = ["² ½ ①", "Ⅷ", "٣", "_", "ª", "漢", "ǅ", "12 é", "\u0301"]
+    rows = [(i, "the cat and the dog", "en") for i in range(20)] + [(100 + i, t, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["lang_pred"] for r in li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[100 + i] for i in range(len(texts))] == ["und"] * 4 + ["en"] * 4 + ["und"]
+    assert [li.letters(t) for t in texts] == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_one_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_ROWS", 20)
+    doc = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5)
+    many = spark.range(20_000).selectExpr(f"CAST({doc} AS BIGINT) AS doc_id", "concat('text number ', id) AS text", "IF(id % 2 = 0, 'en', 'de') AS lang")
+    same = spark.range(20_000).selectExpr(f"CAST({doc} AS BIGINT) AS doc_id", "'encore' AS text", "'fr' AS lang")
+    seen = []
+    monkeypatch.setattr(li, "letters", lambda t: seen.append(t) or bool(t))
+    got = li.training_texts(many.union(same))
+    assert got["fr"] == ["encore"] and set(got) == {"en", "de", "fr"} and len(got["en"]) > 5
+    assert len(seen) <= 3 * 20
