@@ -115,8 +115,10 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     return r.withColumn("reason", reason)
 
 
-#: Days (1970 to 2199) that prune partitions by name; days outside are read whenever a window reaches beyond either end.
+#: Days (1970 to 2199) by which partitions are pruned; days outside are read whenever a window reaches beyond either end.
 FIRST_DAY, LAST_DAY = 0, 84_005
+#: Ranges of days that a scan is pruned to. If there are more, those with the least between them become one: more is read, nothing is lost.
+RANGES = 64
 
 
 def bad_windows(requests: DataFrame) -> DataFrame:
@@ -141,13 +143,17 @@ def _reach(windows: DataFrame) -> tuple[list[int], Column]:
     levels, numbers, lo, hi = one
     if not levels:
         return [], F.lit(False)
-    begin = date(1970, 1, 1)
-    names = [begin + timedelta(n) for n in numbers]
-    found = F.col("day").isin(names)
+    numbers.sort()
+    gaps = sorted(((b - a, i) for i, (a, b) in enumerate(zip(numbers, numbers[1:])) if b - a > 1), reverse=True)[: RANGES - 1]
+    ends = [-1, *sorted(i for _, i in gaps), len(numbers) - 1]
+    day_at = lambda n: F.lit(date(1970, 1, 1) + timedelta(n))
+    found = F.lit(False)
+    for i, j in zip(ends, ends[1:]):
+        found = found | F.col("day").between(day_at(numbers[i + 1]), day_at(numbers[j]))
     if lo < 0:
-        found = found | (F.col("day") < F.lit(begin))
+        found = found | (F.col("day") < day_at(FIRST_DAY))
     if hi >= (LAST_DAY + 1) * 86_400:
-        found = found | (F.col("day") > F.lit(begin + timedelta(LAST_DAY)))
+        found = found | (F.col("day") > day_at(LAST_DAY))
     return sorted(levels), found
 
 

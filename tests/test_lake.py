@@ -191,14 +191,14 @@ def test_windows_of_every_length(spark, logs):
 
     rng = random.Random(6)
     first, nats = logs.agg(F.min("ts")).first()[0], [r["nat_ip"] for r in logs.select("nat_ip").distinct().collect()]
-    wanted = [(i, rng.choice([*nats, 1]), rng.choice([None, None, 1500]), a := first + rng.randint(-(10**7), 10**7), a + rng.choice([0, 1, 63, 64, 5000, 10**5, 10**7, 10**10])) for i in range(60)]
+    wanted = [(i, rng.choice([*nats, 1]), rng.choice([None, None, 1500]), a := first + rng.randint(-(10**5), 2_400_000), a + rng.choice([0, 1, 63, 64, 5000, 10**5, 10**6, 10**7, 10**10])) for i in range(90)]
     wanted += [(100, nats[0], None, -(1 << 40), 1 << 40), (101, nats[1], None, first, first), (102, None, None, 0, 1 << 60)]
     r = spark.createDataFrame(wanted, "request_id int, nat_ip long, nat_port int, t0 long, t1 long")
     got = {x["request_id"]: x["n"] for x in search.search_batch(logs, r, 10**6).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = logs.select("nat_ip", "nat_port", "ts").collect()
     for i, ip, port, a, b in wanted:
         assert got.get(i, 0) == sum(x["nat_ip"] == ip and a <= x["ts"] <= b and port in (None, x["nat_port"]) for x in rows), (i, a, b)
-    assert got[100] > 0 and len(got) > 20
+    assert got[100] > 0 and len(got) > 10
     assert search.search_batch(logs, r.limit(0)).isEmpty()
 
 
@@ -207,7 +207,7 @@ def test_windows_prune_days_and_scan_once(spark, logs, tmp_path):
     first = logs.agg(F.min("ts")).first()[0]
     r = spark.createDataFrame([(1, 5, None, first, first + 100), (2, 5, None, first, first + 90_000)], "request_id int, nat_ip long, nat_port int, t0 long, t1 long")
     plan = search.search_batch(lake.read_lake(spark, str(tmp_path / "lake")), r)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") == 1 and "PartitionFilters: [day" in plan
+    assert plan.count("FileScan parquet") == 1 and "PartitionFilters: [isnotnull(day" in plan
 
 
 def test_ids_without_a_name(spark):
