@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,15 @@ def epoch_hour(ts: Column) -> Column:
     return (ts - F.pmod(ts, F.lit(3600))).cast("long")
 
 
+def finalised(hour: str, now: float) -> bool:
+    """Whether an hour ``YYYY-MM-DD-HH`` (UTC) has passed; False for a text that isn't one."""
+    try:
+        begin = datetime.strptime(hour, "%Y-%m-%d-%H").replace(tzinfo=timezone.utc)
+    except ValueError:
+        return False
+    return now >= begin.timestamp() + 3600
+
+
 def window_epoch(day: Column, clock: Column) -> Column:
     """A day and a clock time HH:MM[:SS] to epoch seconds, in the session's time zone; null if either is malformed."""
     full = F.when(clock.rlike(r"^\d{2}:\d{2}$"), F.concat(clock, F.lit(":00"))).otherwise(clock)

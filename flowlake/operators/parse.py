@@ -83,7 +83,7 @@ def _matched(text: Column, pattern: str, groups: int) -> Column:
 
 def _groups(matched: Column, text: Column) -> Column:
     """The groups as an array; null without a match."""
-    return F.when(matched.startswith(MARK) & ~text.startswith(MARK), F.split(F.substring(matched, 2, 1 << 20), MARK))
+    return F.when(matched.startswith(MARK) & ~text.startswith(MARK), F.split(F.substr(matched, F.lit(2)), MARK))
 
 
 def split_time(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as al
 from ..operators import anomaly
-from ..schemas import CONN_LOGS
+from ..schemas import CONN_LOGS, STATS
 from ..sources import lake, versions
 from ..streaming import jobs
 from . import fixtures as fx
@@ -223,6 +223,22 @@ def lake_versions(spark: SparkSession, sf: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query(
+    f"""WITH {EVENT_SQL}, d AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE event_id % 10 = 0) AS late FROM ev GROUP BY day)
+    SELECT day, n AS log_count, CAST(CASE WHEN day > DATE '2024-01-20' AND late > 0 THEN 2 WHEN day <= DATE '2024-01-10' THEN 2 ELSE 1 END AS BIGINT) AS updated_at FROM d"""
+)
+def stats_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored statistics after a first ingest, and after late rows of some days and the archiving of others: only those are counted anew."""
+    hot, cold, stats, logs = lake.scratch(spark, "hot"), lake.scratch(spark, "cold"), lake.scratch(spark, "stats"), fx.event_logs(spark, sf)
+    late = F.expr("day > DATE'2024-01-20' AND event_id % 10 = 0")
+    versions.append(logs.where(~late).drop("event_id"), hot, ("day",))
+    lake.refresh_stats(spark, hot, cold, stats, 1)
+    versions.append(logs.where(late).drop("event_id"), hot, ("day",))
+    lake.archive_days(spark, hot, cold, logs.where("day <= DATE'2024-01-10'").select("day"))
+    lake.refresh_stats(spark, hot, cold, stats, 2)
+    return versions.read(spark, stats, STATS).select("day", "log_count", "updated_at")
+
+
 # audit
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..operators import anomaly, classify, profile, report
+from ..sources import lake, versions
 from . import fixtures as fx
 from .fixtures import EVENT_SQL, MONTH_SQL
 from .registered import query
@@ -114,6 +115,29 @@ def top_flows(spark: SparkSession, sf: str) -> DataFrame:
     return profile.top_flows(_flows(spark, sf))
 
 
+@query(f"WITH {MONTH_SQL} SELECT day, rank, src_ip, dst_ip, dst_port, proto, n, {SERVICE_SQL} AS service FROM {_ranked(_FLOWS, 'n DESC, src_ip, dst_ip, dst_port, proto', 5)}")
+def top_flows_heavy(spark: SparkSession, sf: str) -> DataFrame:
+    """The same flows, counted one by one only where a bucket of them can hold one of the first."""
+    return profile.top_flows_of(_logs(spark, sf))
+
+
+@query(
+    f"WITH {EVENT_SQL}, x AS (SELECT count(DISTINCT src_ip) AS unique_src, count(DISTINCT dst_ip) AS unique_dst, count(DISTINCT dst_port) AS unique_dst_ports, count(DISTINCT nat_ip) AS unique_nat "
+    "FROM ev WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20') "
+    "SELECT kind, exact, true AS within_5_pct FROM x UNPIVOT (exact FOR kind IN (unique_src, unique_dst, unique_dst_ports, unique_nat))"
+)
+def distinct_of_period(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct counts of a period from its days' stored sketches, checked against the exact ones."""
+    path, logs = lake.scratch(spark, "sketches"), fx.event_logs(spark, sf)
+    profile.store_sketches(path, logs)
+    days = F.col("day").between(F.to_date(F.lit("2024-01-05")), F.to_date(F.lit("2024-01-20")))
+    found = profile.distinct_of_period(versions.read(spark, path, profile.SKETCHES).where(days))
+    exact = logs.where(days).agg(*[F.count_distinct(c).alias(name) for name, c in profile.SKETCHED.items()])
+    rows = lambda df, v: df.unpivot([], list(profile.SKETCHED), "kind", v)
+    both = rows(exact, "exact").join(rows(found, "estimate"), "kind")
+    return both.select("kind", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_5_pct"))
+
+
 @query(f"WITH {MONTH_SQL} SELECT day, max(n) AS max_flow FROM ({_FLOWS}) GROUP BY day")
 def max_flow(spark: SparkSession, sf: str) -> DataFrame:
     return profile.max_flow(_flows(spark, sf))

@@ -41,5 +41,22 @@ AUDIT = T.StructType(
     ]
 )
 
+#: Daily statistics; ``listing`` tells whether a day's files are still those that were counted.
+STATS = T.StructType([T.StructField("day", T.DateType()), *[T.StructField(c, T.LongType()) for c in ("log_count", "size_bytes", "listing", "updated_at")]])
+
+#: A stored alert.
+ALERTS = T.StructType(
+    [
+        T.StructField("id", T.LongType()), T.StructField("day", T.DateType()), T.StructField("log_count", T.LongType()), T.StructField("size_bytes", T.LongType()),
+        T.StructField("ratio", T.DoubleType()), T.StructField("category", T.StringType()), T.StructField("analysis", T.StringType()), T.StructField("details", T.StringType()),
+        T.StructField("acknowledged", T.BooleanType()), T.StructField("acknowledged_by", T.StringType()), T.StructField("acknowledged_at", T.LongType()),
+    ]
+)
+
+#: A batch of a stream.
+PROGRESS = T.StructType(
+    [T.StructField("source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("batch", "ts", "rows")], T.StructField("metrics", T.StringType())]
+)
+
 #: Dictionary sidecar of a cold day: {table: {id: name}}.
 SIDECAR = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import CONN_LOGS, LOG_COLUMNS, SIDECAR
+from ..schemas import CONN_LOGS, LOG_COLUMNS, SIDECAR, STATS
 from . import versions
 
 
@@ -133,6 +133,28 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if there is no such folder."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or folder, with the folders above its new name; a name that is taken is an error."""
+    (fs, a), (_, b) = _fs(spark, old), _fs(spark, new)
+    fs.mkdirs(b.getParent())
+    if fs.exists(b) or not fs.rename(a, b):
+        raise OSError(f"{old} could not be moved to {new}")
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in place of one that has its name."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def drop(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.delete(p, True))
@@ -257,6 +279,71 @@ def upsert_stats(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("day").agg(F.max("updated_at").alias("updated_at"), F.max_by(F.struct(*rest), "updated_at").alias("x")).select("day", "x.*", "updated_at")
 
 
+def _listing(spark: SparkSession, path: str) -> DataFrame:
+    """``(day, part, size_bytes, listing)`` of a tier's part folders, from their files' names and sizes; plain day folders have a null part."""
+    if versions.versioned(spark, path):
+        paths = [f"{path}/{p}" for p in versions.snapshot(spark, path).parts]
+    else:
+        paths = [path] * _exists(spark, path)
+    if not paths:
+        return spark.createDataFrame([], "day date, part string, size_bytes long, listing long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(paths).select("path", "length")
+    day = F.to_date(F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1))
+    part = F.nullif(F.regexp_extract("path", r"/(day=[^/]+/part=[^/]+)/", 1), F.lit(""))
+    name = F.xxhash64(F.regexp_extract("path", r"[^/]+$", 0), "length")
+    return files.groupBy(day.alias("day"), part.alias("part")).agg(F.sum("length").alias("size_bytes"), F.bit_xor(name).alias("listing"))
+
+
+def footer_counts(spark: SparkSession, path: str, days: list[str]) -> DataFrame:
+    """``(day, part, log_count)`` of some days of a tier, written: the numbers come from the Parquet footers, no row is read."""
+    if versions.versioned(spark, path):
+        keys, paths = ["day", "part"], [f"{path}/{p}" for p in versions.snapshot(spark, path).parts if day_of(p) in days]
+    else:
+        keys, paths = ["day"], [f"{path}/day={d}" for d in days_in(spark, path) if d in days]
+    if not paths:
+        return spark.createDataFrame([], "day date, part string, log_count long")
+    part = F.concat(F.lit("day="), F.col("day").cast("string"), F.lit("/part="), F.col("part")) if "part" in keys else F.lit(None).cast("string")
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        [spark.conf.set(k, v) for k, v in settings.items()]
+        schema = "ts long, day date, part string" if "part" in keys else "ts long, day date"
+        counts = spark.read.schema(schema).option("basePath", path).parquet(*paths).groupBy(*keys).agg(F.count(F.lit(1)).alias("log_count"))
+        return written(counts.select("day", part.alias("part"), "log_count"), "footer-counts")
+    finally:
+        [spark.conf.unset(k) if v is None else spark.conf.set(k, v) for k, v in before.items()]
+
+
+def refresh_stats(spark: SparkSession, hot: str, cold: str, stats: str, now: int) -> versions.Snapshot:
+    """Brings the stored daily statistics up to date with both tiers; only days whose files have changed are touched.
+
+    Files are listed, footers of changed days are read, and rows are never. Where plain tiers both have a day, the hot one
+    counts; parts that a cold tier with versions has taken over count there. Statistics of days that are gone stay.
+    """
+    gone = sorted(taken(versions.snapshot(spark, cold))) if versions.versioned(spark, cold) else []
+    tiers = []
+    for path in (hot, cold):
+        files = _listing(spark, path)
+        tiers.append(files.where(F.col("part").isNull() | ~F.col("part").isin(gone)) if path == hot and gone else files)
+    plain = not versions.versioned(spark, hot)
+    cold_files = tiers[1].join(tiers[0].select("day").distinct(), "day", "left_anti") if plain else tiers[1]
+    both = tiers[0].withColumn("tier", F.lit("hot")).unionByName(cold_files.withColumn("tier", F.lit("cold")))
+    days = both.groupBy("day").agg(F.sum("size_bytes").alias("size_bytes"), F.bit_xor("listing").alias("listing"), F.collect_set("tier").alias("tiers"))
+    known = versions.read(spark, stats, STATS).select("day", F.col("listing").alias("old"))
+    changed = days.join(known, "day", "left").where(F.col("old").isNull() | (F.col("old") != F.col("listing")))
+    rows = changed.select(F.col("day").cast("string").alias("d"), "size_bytes", "listing", "tiers").collect()  # one entry a day
+    if not rows:
+        return versions.snapshot(spark, stats)
+    wanted = {tier: [r["d"] for r in rows if tier in r["tiers"]] for tier in ("hot", "cold")}
+    hot_counts = footer_counts(spark, hot, wanted["hot"])
+    counts = (hot_counts.where(F.col("part").isNull() | ~F.col("part").isin(gone)) if gone else hot_counts).unionByName(footer_counts(spark, cold, wanted["cold"]))
+    sizes = spark.createDataFrame([(r["d"], r["size_bytes"], r["listing"]) for r in rows], "d string, size_bytes long, listing long")
+    new = sizes.join(counts.groupBy(F.col("day").cast("string").alias("d")).agg(F.sum("log_count").alias("log_count")), "d", "left").select(
+        F.to_date("d").alias("day"), F.coalesce("log_count", F.lit(0).cast("long")).alias("log_count"), "size_bytes", "listing", F.lit(now).cast("long").alias("updated_at")
+    )
+    return versions.update(spark, stats, STATS, lambda old: upsert_stats(old, new))
+
+
 def daily_overview(stats: DataFrame, cat: DataFrame, alerts: DataFrame) -> DataFrame:
     """Statistics with tier (``absent`` without a partition) and alert flag."""
     flag = alerts.select("day").distinct().withColumn("has_alert", F.lit(True))

@@ -2,28 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+import time
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from ..functions import net
 from ..operators import parse, registry
-from ..schemas import AUDIT, LOG_COLUMNS, REGISTRY
+from ..schemas import ALERTS, AUDIT, LOG_COLUMNS, PROGRESS, REGISTRY
 from ..sources import lake, versions
 
 TRIGGER, FILES_PER_BATCH = "2 seconds", 64
 
 
-def land(lines: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A stream of ``(value, arrived)`` lands as text files by arrival hour."""
-    hour = F.date_format("arrived", "yyyy-MM-dd-HH")
-    return (
-        lines.select("value", hour.alias("hour")).writeStream.format("text").partitionBy("hour")
-        .option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    )
+def land(lines: DataFrame, path: str, checkpoint: str, clock: Callable[[], float] = time.time) -> DataStreamWriter:
+    """A stream of ``(value, arrived)`` lands as text files by arrival hour; hours that have passed are closed as ``*.raw``.
+
+    Open files lie in ``_open``, which readers pass over. A batch that is run again after a failure writes its open
+    hours anew and leaves those that it has closed before.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        closed = {hour for hour, n in _closed(spark, path) if n == number}
+        rows = batch.select("value", F.date_format("arrived", "yyyy-MM-dd-HH").alias("hour")).where(~F.col("hour").isin(*closed) if closed else F.lit(True))
+        rows.write.mode("overwrite").partitionBy("hour").text(f"{path}/_open/batch={number}")
+        close_hours(spark, path, clock())
+
+    return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def _closed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(hour, batch) of what is closed, or is being closed."""
+    names = lake.names(spark, path) + lake.names(spark, f"{path}/_closing")
+    return [(m[1], int(m[2])) for n in names if (m := re.match(r"(\d{4}-\d{2}-\d{2}-\d{2})\.b(\d+)(?:-\d+\.raw)?$", n))]
+
+
+def close_hours(spark: SparkSession, path: str, now: float) -> int:
+    """Gives the files of all hours that ended before ``now`` (epoch seconds, UTC hours) their names ``HOUR.bBATCH-PART.raw``.
+
+    An hour's folder of a batch is moved away in one step, then its files one by one; a run that breaks off
+    is taken up by the next one. Returns the number of files closed.
+    """
+    n = 0
+    for batch in lake.folders(spark, f"{path}/_open"):
+        for hour in lake.folders(spark, f"{path}/_open/{batch}"):
+            name = hour.removeprefix("hour=")
+            if net.finalised(name, now):
+                lake.move(spark, f"{path}/_open/{batch}/{hour}", f"{path}/_closing/{name}.b{int(batch.removeprefix('batch=')):08d}")
+    for folder in lake.folders(spark, f"{path}/_closing"):
+        for file in lake.names(spark, f"{path}/_closing/{folder}"):
+            if m := re.match(r"part-(\d+)", file):
+                lake.move(spark, f"{path}/_closing/{folder}/{file}", f"{path}/{folder}-{m[1]}.raw")
+                n += 1
+        lake.drop(spark, f"{path}/_closing/{folder}")
+    return n
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.raw", archive: str | None = None) -> DataFrame:
@@ -142,14 +182,62 @@ def ingest_batches(lines: DataFrame, path: str, quarantine: str, checkpoint: str
     def run(batch: DataFrame, number: int) -> None:
         line = F.col("line") if "line" in batch.columns else F.monotonically_increasing_id()
         joined = parse.join_continuations(batch.select("file", F.struct("block", line.alias("line")).alias("pos"), "value"))
-        parsed, scratch = lake.table(parse.parse(joined, now), "parsed")
-        versions.append(parse.accepted(parsed), path, ("day",), stream=checkpoint, batch=number)
-        parse.rejected(parsed, "file", "line").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-        lake.drop(batch.sparkSession, scratch)
+        _take(joined, path, quarantine, checkpoint, number, now)
 
     return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+PENDING = "file string, block long, line long, value string"
+
+
+def ingest_growing(lines: DataFrame, path: str, quarantine: str, pending: str, checkpoint: str, now: Column) -> DataStreamWriter:
+    """Like ``ingest_batches`` for a stream of ``growing.read_growing``; a line is put together however many batches it spans.
+
+    Each file's last line waits in ``pending`` (its raw lines, by batch) until another line follows it: only these are
+    handed from batch to batch, so however large a source is, a batch's ranges of it are tasks of their own. A batch
+    that is run again takes up the same pending lines. ``flush_pending`` adds those that nothing follows.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in _batches(spark, pending) if n < number]
+        rows = batch.select("file", "block", "line", "value")
+        if before:
+            rows = rows.unionByName(spark.read.schema(PENDING).parquet(f"{pending}/batch={max(before)}"))
+        rows, raw = lake.table(rows, "lines")
+        joined, whole = lake.table(parse.join_continuations(rows.select("file", F.struct("block", "line").alias("pos"), "value")), "joined")
+        last = joined.groupBy("file").agg(F.max("pos").alias("last"))  # one row a file
+        waiting = rows.join(last, "file").where(F.struct("block", "line") >= F.col("last")).select("file", "block", "line", "value")
+        waiting.write.mode("overwrite").parquet(f"{pending}/batch={number}")
+        _take(joined.join(last, "file").where(F.col("pos") < F.col("last")).drop("last"), path, quarantine, checkpoint, number, now)
+        lake.drop(spark, raw), lake.drop(spark, whole)
+        for n in before[:-1]:
+            lake.drop(spark, f"{pending}/batch={n}")
+
+    return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix("batch=")) for n in lake.folders(spark, path) if n.startswith("batch="))
+
+
+def _take(joined: DataFrame, path: str, quarantine: str, stream: str, number: int, now: Column) -> None:
+    """Parses whole lines once; rows become a version of the lake, rejects a folder of the batch."""
+    parsed, scratch = lake.table(parse.parse(joined, now), "parsed")
+    versions.append(parse.accepted(parsed), path, ("day",), stream=stream, batch=number)
+    parse.rejected(parsed, "file", "line").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+    lake.drop(joined.sparkSession, scratch)
+
+
+def flush_pending(spark: SparkSession, path: str, quarantine: str, pending: str, checkpoint: str, now: Column) -> None:
+    """Takes in the lines that wait, when a stream has stopped for good: nothing will continue them."""
+    if found := _batches(spark, pending):
+        rows = spark.read.schema(PENDING).parquet(f"{pending}/batch={found[-1]}")
+        _take(parse.join_continuations(rows.select("file", F.struct("block", "line").alias("pos"), "value")), path, quarantine, checkpoint, found[-1] + 1, now)
+        for n in found:
+            lake.drop(spark, f"{pending}/batch={n}")
+
+
 def running_registry(rows: DataFrame, path: str, checkpoint: str, every: int = 64) -> DataStreamWriter:
     """Registry counters kept up to date: each batch writes what it adds, and every ``every`` batches all is merged.
 
@@ -225,5 +313,88 @@ def processed_files_to_drop(files: DataFrame, now: int, hours: int) -> DataFrame
     return files.where(F.col("processed_at").isNotNull() & (F.lit(now) - F.col("processed_at") > hours * 3600))
 
 
+def processed_files(spark: SparkSession, archive: str) -> DataFrame:
+    """``(path, processed_at)`` of the files that ``read_lines`` has moved to its archive; none is opened."""
+    if not lake.names(spark, archive):
+        return spark.createDataFrame([], "path string, processed_at long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(archive)
+    return files.select("path", F.unix_seconds("modificationTime").alias("processed_at"))
+
+
+def drop_processed(files: DataFrame, now: int, hours: int) -> None:
+    """Deletes processed raw files that are past their time, in tasks. Files that are gone already don't matter."""
+
+    def delete(rows) -> None:
+        from pyarrow import fs
+
+        for r in rows:
+            system, path = fs.FileSystem.from_uri(r["path"])
+            try:
+                system.delete_file(path)
+            except FileNotFoundError:
+                pass
+
+    processed_files_to_drop(files, now, hours).foreachPartition(delete)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes a row for each batch of each named query below ``path``: a small file named by query and batch."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seconds = int(datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp())
+        metrics = {k: {c: v for c, v in r.asDict().items()} for k, r in (p.observedMetrics or {}).items()}
+        row = {"source": p.name or str(p.id), "batch": p.batchId, "ts": seconds, "rows": p.numInputRows, "metrics": json.dumps(metrics, default=str)}
+        lake.put_text(self.spark, f"{self.path}/{row['source']}-{p.batchId:012d}.json", json.dumps(row))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def observed(parsed: DataFrame, name: str = "lines") -> DataFrame:
+    """Counts the lines of a stream, those rejected, and the newest time, as metrics of its progress."""
+    return parsed.observe(name, F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("ok")).alias("rejected"), F.max("ts").alias("newest"))
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """``(source, batch, ts, rows, metrics)`` of a ``ProgressLog``; metrics is JSON."""
+    return spark.read.schema(PROGRESS).json(path) if lake.names(spark, path) else spark.createDataFrame([], PROGRESS)
+
+
+def watchdog(spark: SparkSession, progress: DataFrame, files: DataFrame, alerts: str, now: int, max_age: int = 3600, max_backlog: int = 2 << 30) -> int:
+    """Stores at most one alert a day of ``freshness`` in the table ``alerts``; returns the number of sources with one now.
+
+    A batch that read no rows is no progress. All sources' findings of the run make one alert, with the backlog's bytes.
+    A day that has an alert, of this or another kind, gets no more.
+    """
+    found = freshness(progress.where("rows > 0").select("source", "ts"), files, now, max_age, max_backlog).orderBy("source", "kind").collect()  # a few rows a source
+    if not found:
+        return 0
+    day = datetime.fromtimestamp(now, timezone.utc).date()
+    said = [f"{r['source']}: no progress for {r['value']} s" if r["kind"] == "stalled" else f"{r['source']}: {r['value'] / 2**30:.2f} GB waiting" for r in found]
+    backlog = sum(r["value"] for r in found if r["kind"] == "backlog")
+    details = json.dumps({"issues": said, "checked_at": now})
+
+    def add(s: versions.Snapshot) -> versions.Snapshot | None:
+        have = versions.read(spark, alerts, ALERTS, s)
+        if not have.where(F.col("day") == F.lit(day)).isEmpty():
+            return None
+        last = have.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+        row = (last + 1, day, 0, backlog, 0.0, "watchdog_stream", "; ".join(said), details, False, None, None)
+        return versions.Snapshot(0, s.parts + versions.write_part(spark.createDataFrame([row], ALERTS), alerts), s.batches)
+
+    versions.commit(spark, alerts, add)
+    return len({r["source"] for r in found})
+
+
 #: Compaction beside running streams.
 compact = lake.compact

@@ -137,6 +137,21 @@ def test_legacy_import(spark, tmp_path):
     assert legacy.import_sources(spark, {}, path).isEmpty()
 
 
+def test_many_legacy_sources_are_joined_once(spark, tmp_path, monkeypatch):
+    dim = lambda *n: spark.createDataFrame(list(n), "id int, name string")
+    sources = {}
+    for k in range(6):  # each source has dictionaries of its own
+        c = spark.createDataFrame([(1704070861 + k, 1, 2, 6, 1, 0, k, 5, k, 80, k, 7, 60, None, None)],
+                                  "ts long, in_iface_id int, out_iface_id int, proto_id int, conn_state_id int, has_snat int, src_ip long, src_port int, dst_ip long, dst_port int, nat_ip long, nat_port int, pkt_len int, tcp_flags string, log_type string")
+        sources[f"logs_2024-02-0{k + 1}.db"] = {"db_meta": dim((1, "x")), "logs": c, "interfaces": dim((1, f"VLAN{k}"), (2, f"e{k}")), "protocols": dim((6, "TCP")), "conn_states": dim((1, f"s{k}"))}
+    plans, real = [], lake.written
+    monkeypatch.setattr(lake, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    got = legacy.import_sources(spark, sources, str(tmp_path / "lake"))
+    assert {r["state"] for r in got.collect()} == {"imported"} and plans[0].count("Join ") <= 5
+    rows = {str(r["day"]): r for r in lake.read_lake(spark, str(tmp_path / "lake")).collect()}
+    assert all(rows[f"2024-02-0{k + 1}"][c] == f"{n}{k}" for k in range(6) for c, n in (("in_iface", "VLAN"), ("out_iface", "e"), ("conn_state", "s")))
+
+
 def test_catalog_has_the_files_sizes(spark, logs, tmp_path):
     path = tmp_path / "lake"
     lake.write_archive(logs, str(path), files=3)

@@ -102,3 +102,9 @@ def test_prefixes(spark):
     got = {r["k"]: (r["log_type"], r["nat_body"]) for r in parse.normalise(df).collect()}
     assert [got[k][0] for k in range(6)] == ["nat"] * 4 + ["system", "other"]
     assert got[0][1] == got[1][1] == got[2][1] == "forward: in:x" and got[3][1] == "Forward: in:x"
+
+
+def test_very_long_lines_stay_whole(spark):
+    name = "V" * 1_500_000
+    r = parsed(spark, ["2026-03-17 16:44:49 firewall,info " + body(i=name), "2026-03-17 16:44:49 " + "x" * 1_500_000])
+    assert r[0]["ok"] and r[0]["in_iface"] == name and len(r[1]["body"]) == 1_500_000
