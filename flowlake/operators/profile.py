@@ -42,9 +42,31 @@ def _sum_if(condition: Column, name: str) -> Column:
 
 def globals_of(rows: DataFrame) -> DataFrame:
     """Totals, distinct counts, port ranges and protocol counts of each day."""
+    return globals_from(_values(rows, ["day"], "src_ip", "dst_ip", "dst_port"))
+
+
+#: Ports whose clients and servers are counted apart, and the kinds of those in ``day_values``; 0 to 2 are source, destination and port.
+DETAILED = {123: (3, 4), 53: (5, 6)}
+
+
+def day_values(rows: DataFrame) -> DataFrame:
+    """``(day, kind, value, n, udp)``: connections, and those over UDP, by each source, destination and port, and by the clients and servers of some ports.
+
+    One read of the rows, from which ``globals_from``, ``ports_from``, ``destinations_from``, ``details_from`` and ``udp_from`` all follow.
+    """
+    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("value"))
+    every, more = F.array(one(0, "src_ip"), one(1, "dst_ip"), one(2, "dst_port")), F.array().cast("array<struct<kind:int,value:bigint>>")
+    for port, (clients, servers) in DETAILED.items():
+        more = F.when(F.col("dst_port") == port, F.array(one(clients, "src_ip"), one(servers, "dst_ip"))).otherwise(more)
+    n = _weight(rows)
+    long_ = rows.select("day", n.alias("n"), F.when(F.col("proto") == "UDP", n).otherwise(F.lit(0)).alias("udp"), F.inline(F.concat(every, more)))
+    return long_.groupBy("day", "kind", "value").agg(F.sum("n").alias("n"), F.sum("udp").alias("udp"))
+
+
+def globals_from(values: DataFrame) -> DataFrame:
     port = F.col("kind") == 2
     p = F.when(port, F.col("value"))
-    return _values(rows, ["day"], "src_ip", "dst_ip", "dst_port").groupBy("day").agg(
+    return values.groupBy("day").agg(
         _sum_if(port, "total"),
         _sum_if(p.between(0, 1023), "well_known"), _sum_if(p.between(1024, 49151), "registered"), _sum_if(p >= 49152, "ephemeral"),
         _sum_if(p == 53, "dns"), _sum_if(p.isin(80, 443), "http"), _sum_if(p == 123, "ntp"), _sum_if(p == 22, "ssh"), _sum_if(p == 3389, "rdp"),
@@ -104,6 +126,35 @@ def top_destinations(rows: DataFrame, k: int = 10) -> DataFrame:
     return top_k(counts, k, [F.desc("n"), "dst_ip"]).select("day", "rank", "dst_ip", "n")
 
 
+def ports_from(values: DataFrame, k: int = 10) -> DataFrame:
+    """``top_ports`` from ``day_values``."""
+    counts = values.where("kind = 2 and value is not null").select("day", F.col("value").cast("int").alias("dst_port"), "n")
+    return top_k(counts, k, [F.desc("n"), "dst_port"]).select(
+        "day", "rank", "dst_port", "n", net.port_category(F.col("dst_port")).alias("category"), net.service_name(F.col("dst_port")).alias("service")
+    )
+
+
+def destinations_from(values: DataFrame, k: int = 10) -> DataFrame:
+    """``top_destinations`` from ``day_values``."""
+    counts = values.where("kind = 1 and value is not null").select("day", F.col("value").alias("dst_ip"), "n")
+    return top_k(counts, k, [F.desc("n"), "dst_ip"]).select("day", "rank", "dst_ip", "n")
+
+
+def details_from(values: DataFrame, gates: dict[int, tuple[str, int]]) -> DataFrame:
+    """``(day, NAME_clients, NAME_servers, ...)`` of DETAILED ports, null on days under the port's gate; ``gates``: port -> (name, gate)."""
+    out = []
+    for port, (name, gate) in gates.items():
+        clients, servers = DETAILED[port]
+        enough = F.sum(F.when(F.col("kind") == clients, F.col("n"))) >= gate
+        out += [F.when(enough, F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())).alias(f"{name}_{what}") for kind, what in ((clients, "clients"), (servers, "servers"))]
+    return values.groupBy("day").agg(*out)
+
+
+def udp_from(values: DataFrame) -> DataFrame:
+    """``udp_on_tcp`` from ``day_values``."""
+    return values.where((F.col("kind") == 2) & F.col("value").isin(*net.TCP_ONLY_PORTS) & (F.col("udp") > 0)).select("day", F.col("value").cast("int").alias("dst_port"), F.col("udp").alias("n"))
+
+
 def ports_per_source(rows: DataFrame) -> DataFrame:
     """``(day, src_ip, dst_ports)``: distinct destination ports of every source."""
     f = rows.where("src_ip is not null")

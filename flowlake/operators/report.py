@@ -28,16 +28,20 @@ def stored_sources(logs: DataFrame) -> DataFrame:
     return lake.written(profile.source_profiles(logs), "sources")
 
 
-def _stat_parts(logs: DataFrame, sources: DataFrame, ntp_gate: int, dns_gate: int, suspect_ports: int) -> list[DataFrame]:
+def stored_values(logs: DataFrame) -> DataFrame:
+    """Each day's counts by value, written: the totals, ranks and details of the report follow from this one read of the logs."""
+    return lake.written(profile.day_values(logs), "values")
+
+
+def _stat_parts(values: DataFrame, sources: DataFrame, ntp_gate: int, dns_gate: int, suspect_ports: int) -> list[DataFrame]:
     best = profile.top_k(sources, 1, [F.desc("connections"), "src_ip"])
     talker = profile.first_source(best).select(
         "day", F.col("src_ip").alias("tt_ip"), F.col("connections").alias("tt_connections"), F.col("dst_ports").alias("tt_ports"), F.col("dst_ips").alias("tt_ips"),
         rounded(F.col("well_known_pct"), 1).alias("tt_wk_pct"), rounded(F.col("ephemeral_pct"), 1).alias("tt_eph_pct"), F.col("profile").alias("tt_profile"),
     )
-    pair = lambda port, name: [F.max(F.when(F.col("dst_port") == port, F.col(c))).alias(f"{name}_{c}") for c in ("clients", "servers")]
-    details = profile.port_details(logs, {123: ntp_gate, 53: dns_gate}).groupBy("day").agg(*pair(123, "ntp"), *pair(53, "dns"))
-    udp = profile.udp_on_tcp(logs).groupBy("day").agg(F.sum("n").alias("udp_on_tcp"))
-    return [profile.globals_of(logs), profile.spread_of(sources, suspect_ports), talker, details, udp]
+    details = profile.details_from(values, {123: ("ntp", ntp_gate), 53: ("dns", dns_gate)})
+    udp = profile.udp_from(values).groupBy("day").agg(F.sum("n").alias("udp_on_tcp"))
+    return [profile.globals_from(values), profile.spread_of(sources, suspect_ports), talker, details, udp]
 
 
 def _shares(days: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def _shares(days: DataFrame) -> DataFrame:
 
 def day_stats(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50) -> DataFrame:
     """One flat row per day with the columns in ``classify.STATS``; shares are rounded as in the report."""
-    parts = _stat_parts(logs, stored_sources(logs), ntp_gate, dns_gate, suspect_ports)
+    parts = _stat_parts(stored_values(logs), stored_sources(logs), ntp_gate, dns_gate, suspect_ports)
     return _shares(by_day([*parts, profile.max_flow(profile.flows(logs))]))
 
 
@@ -71,25 +75,25 @@ def _listed(df: DataFrame, name: str, *fields: str) -> DataFrame:
 def day_report(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50, k: int = 10, days: DataFrame | None = None) -> DataFrame:
     """The whole report, one nested row per day: statistics and the top lists.
 
-    Every part reads the columns that it needs and aggregates them before it shuffles; the profiles of
-    all sources are written, as several parts read them.
+    The logs are read three times, each time aggregated before they are shuffled: by value, by source (both written, as
+    several parts read them) and by flow.
     """
     if days is not None:
         logs = logs.join(days.select("day").distinct(), "day", "left_semi")
-    sources = stored_sources(logs)
+    values, sources = stored_values(logs), stored_sources(logs)
     text = lambda c: net.ip_text(F.col(c))
     best = profile.top_k(sources, k, [F.desc("connections"), "src_ip"]).withColumn("ip", text("src_ip"))
-    udp = profile.udp_on_tcp(logs).withColumn("service", net.service_name(F.col("dst_port")))
+    udp = profile.udp_from(values).withColumn("service", net.service_name(F.col("dst_port")))
     udp = profile.top_k(udp, len(net.TCP_ONLY_PORTS), [F.desc("n"), "dst_port"])
     flows = profile.top_flows(profile.flows(logs), 5).withColumns({"src": text("src_ip"), "dst": text("dst_ip")})
     lists = [
         _listed(best, "top_sources", "ip", "connections", "dst_ips", "dst_ports", "well_known_pct", "ephemeral_pct"),
-        _listed(profile.top_ports(logs, k), "top_ports", "dst_port", "n", "category", "service"),
-        _listed(profile.top_destinations(logs, k).withColumn("ip", text("dst_ip")), "top_destinations", "ip", "n"),
+        _listed(profile.ports_from(values, k), "top_ports", "dst_port", "n", "category", "service"),
+        _listed(profile.destinations_from(values, k).withColumn("ip", text("dst_ip")), "top_destinations", "ip", "n"),
         _listed(flows, "top_flows", "src", "dst", "dst_port", "proto", "n", "service"),
         _listed(udp, "affected_ports", "dst_port", "n", "service"),
     ]
-    days_ = by_day([*_stat_parts(logs, sources, ntp_gate, dns_gate, suspect_ports), *lists]).withColumn("max_flow", F.get("top_flows", F.lit(0))["n"])
+    days_ = by_day([*_stat_parts(values, sources, ntp_gate, dns_gate, suspect_ports), *lists]).withColumn("max_flow", F.get("top_flows", F.lit(0))["n"])
     share = lambda name, count, n: F.transform(name, lambda x: x.withField("pct", rounded(x[count] / F.col("total") * 100, n)))
     return _shares(days_).withColumns(
         {"top_sources": share("top_sources", "connections", 1), "top_ports": share("top_ports", "n", 2), "top_destinations": share("top_destinations", "n", 2)}
