@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..schemas import LOG_COLUMNS
-from ..sources import lake, versions
+from ..sources import clustered, lake, versions
 
 #: A total order of log rows: the first key is the time, the rest break ties.
 ORDER = ["ts", "src_ip", "src_port", "dst_ip", "dst_port", "nat_ip", "nat_port", "proto", "pkt_len"]
@@ -61,11 +61,16 @@ class UnknownDay(LookupError):
 def search_lake(spark: SparkSession, hot: str, cold: str, q: Search) -> DataFrame:
     """``search`` in the tier that holds the day; an unknown day is an error, not an empty result.
 
-    Tiers with versions are read together: late rows of a cold day may still be hot.
+    Tiers with versions are read together: late rows of a cold day may still be hot. A day that one clustered tier
+    has is read through its file index.
     """
-    path = lake.find_day(spark, hot, cold, q.day)
-    if path is None:
+    having = [p for p in (hot, cold) if q.day in lake.days_in(spark, p)]
+    if not having:
         raise UnknownDay(f"no partition for {q.day}")
+    path = having[0]
+    if len(having) == 1 and clustered.indexed(spark, path):
+        equal = {c: v for c in clustered.BOUNDED if c != "ts" and (v := getattr(q, c)) is not None}
+        return search(clustered.search(spark, path, equal, q.ts_from, q.ts_to, [q.day]), q)
     if versions.versioned(spark, hot) and versions.versioned(spark, cold):
         return search(lake.read_tiers(spark, hot, cold), q)
     return search(lake.read_lake(spark, path), q)

@@ -368,6 +368,19 @@ def alert_narrative(spark: SparkSession, sf: str) -> DataFrame:
     return report.narrative(_report(spark, sf), flow_least=2, udp_least=5)
 
 
+@query(
+    f"""WITH {EVENT_SQL}, {stats_sql('ev')}, {SCORES_SQL}, {BEST_SQL}
+    SELECT day, concat(format('{{:,}}', total), ' connections were logged.') AS line FROM st
+    UNION ALL SELECT st.day, concat('The busiest source, ', {fx.ip_sql('src_ip')}, ', made ', format('{{:,}}', connections), ' connections, ', printf('%.1f%%', tt_pct), ' of all, to ', format('{{:,}}', dst_ips), ' addresses and ', format('{{:,}}', dst_ports), ' ports (',
+      CASE WHEN dst_ports >= 500 AND dst_ips >= 500 THEN 'distributed' WHEN dst_ports <= 20 AND dst_ips <= 20 THEN 'concentrated' ELSE 'mixed' END, ').') FROM st JOIN tt ON st.day = tt.day
+    UNION ALL SELECT day, concat('Judged as ', category, ', certainty ', printf('%.0f%%', score * 100), '.') FROM be"""
+)
+def alert_narrative_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts' lines on the volume, the busiest source and the class."""
+    lines = report.narrative(_report(spark, sf), flow_least=2, udp_least=5).select("day", F.explode(F.split("analysis", "\n")).alias("line"))
+    return lines.where(F.col("line").startswith("The busiest source") | F.col("line").startswith("Judged as") | F.col("line").endswith("connections were logged."))
+
+
 @query()
 def alerts_generate(spark: SparkSession, sf: str) -> DataFrame:
     logs, daily = fx.event_logs(spark, sf), event_daily(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..operators import search as s
-from ..sources import lake
+from ..sources import clustered, lake, versions
 from . import fixtures as fx
 from .fixtures import EVENT_SQL, ITEM_SQL, LOGS, NAT_BASE, SRC_BASE, ip_sql
 from .registered import query
@@ -136,6 +136,26 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     return s.search_batch(logs.drop("event_id"), requests, 100)
 
 
+@query(f"WITH {EVENT_SQL} SELECT {LOGS} FROM ev WHERE src_ip = {SRC_BASE + 7} AND ts BETWEEN {DAY_START - 500000} AND {DAY_START + 500000}")
+def search_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """A source's rows of some days from the files of a clustered lake that its index doesn't rule out."""
+    path, logs = lake.scratch(spark, "clustered"), fx.event_logs(spark, sf)
+    versions.append(logs.drop("event_id"), path, ("day",))
+    clustered.cluster(spark, path, lake.days_in(spark, path), files=64)
+    return clustered.search(spark, path, {"src_ip": SRC_BASE + 7}, DAY_START - 500000, DAY_START + 500000)
+
+
+@query(f"WITH {EVENT_SQL} SELECT count(*) AS n, true AS under_a_tenth FROM ev WHERE day = DATE '{DAY}' AND nat_ip = {NAT_BASE + 1} AND ts BETWEEN {DAY_START + 30000} AND {DAY_START + 33000}")
+def search_files_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a point search in a clustered lake, and whether it opened under a tenth of the files."""
+    path, logs = lake.scratch(spark, "clustered"), fx.event_logs(spark, sf)
+    versions.append(logs.drop("event_id"), path, ("day",))
+    clustered.cluster(spark, path, lake.days_in(spark, path), files=64)
+    wanted = {"nat_ip": NAT_BASE + 1}, DAY_START + 30000, DAY_START + 33000
+    files, total = clustered.files_for(spark, path, *wanted)
+    return clustered.search(spark, path, *wanted).agg(F.count(F.lit(1)).alias("n")).withColumn("under_a_tenth", F.lit(len(files) * 10 < total))
+
+
 _SPANS = (9, 21_600, 1_800_000)  # seconds, hours, weeks
 
 

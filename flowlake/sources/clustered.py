@@ -56,6 +56,10 @@ def index_path(path: str) -> str:
     return f"{path}/_index"
 
 
+def indexed(spark: SparkSession, path: str) -> bool:
+    return versions.versioned(spark, index_path(path))
+
+
 def _bit(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BITMAP))
 

@@ -44,6 +44,18 @@ def test_searches_read_few_files_and_lose_nothing(spark, stored, equal, a, b, sh
     assert total >= 100 and len(files) <= share * total, (len(files), total)
 
 
+def test_a_lake_is_searched_through_its_index(spark, stored):
+    from flowlake.operators import search as s
+
+    path, rows = stored
+    q = s.Search("2024-01-11", src_ip=1681915904 + 77, ts_from=START, proto="TCP")
+    got = s.search_lake(spark, path, path + ".none", q)
+    want = s.search(rows, q)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
+    with pytest.raises(s.UnknownDay):
+        s.search_lake(spark, path, path + ".none", s.Search("2024-01-12"))
+
+
 def test_rows_that_are_not_indexed_are_found(spark, stored, tmp_path):
     path, rows = str(tmp_path / "lake"), stored[1].where("src_ip < 1681916000")
     half = lambda k: rows.where(F.col("src_port") % 2 == k)
