@@ -80,7 +80,8 @@ def gram_hits(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
     template's columns and the place ``at``. Texts aren't carried along, only places and hashes.
     """
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w"))
-    head = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("g")))
+    # a text's own row has a key of its own, so such rows don't meet in one task, and no second hash, so it matches nothing
+    head = F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64("row").alias("h"), F.lit(None).cast("int").alias("g")))
     every = F.concat(head, *(grams_of("w", k) for k in sizes))
     rolled = d.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode(every).alias("x")).select("row", "doc_id", "n_words", "x.*")
     same = (F.col("h") == F.col("th")) & (F.col("g") - F.col("tg") == 0)  # the first is the join's key, a single long
