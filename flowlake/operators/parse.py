@@ -59,21 +59,25 @@ def join_continuations(lines: DataFrame) -> DataFrame:
     it began is put together over one row per range, so a large file is many tasks.
     """
     value = F.regexp_replace("value", r"[\r\n]+$", "")
-    l = lines.select("file", range_of(lines).alias("range"), "pos", value.alias("value")).withColumn("head", ~F.col("value").rlike(CONTINUATION))
+    l = lines.select("file", range_of(lines).alias("range"), "pos", value.alias("value")).withColumn("head", ~F.coalesce(F.col("value").rlike(CONTINUATION), F.lit(True)))
     heads = l.groupBy("file", "range").agg(F.count_if("head").alias("heads"))
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     last = F.last(F.when(F.col("heads") > 0, F.struct("range", F.col("heads").alias("nth"))), ignorenulls=True).over(before)
     held = heads.select("file", "range", last.alias("held"))
     # a line belongs to the last line before it that continues none; those that begin a file, to each other
-    nth = F.count_if("head").over(Window.partitionBy("file", "range").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy("file", "range").orderBy("pos")
+    nth = F.count_if("head").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    l = l.withColumns({"nth": nth, "alone": F.col("head") & F.coalesce(F.lead("head").over(inside), F.lit(False))})
     none = F.struct(F.lit(-1).cast("long").alias("range"), F.lit(0).cast("long").alias("nth"))
     group = F.when(F.col("nth") > 0, F.struct("range", "nth")).otherwise(F.coalesce("held", none))
-    l = l.withColumn("nth", nth).join(held, ["file", "range"]).select("file", group.alias("group"), "pos", "value")
+    # most lines are followed by one that continues nothing: only the others, and a range's last, are put together
+    some = l.where("not alone").join(held, ["file", "range"]).select("file", group.alias("group"), "pos", "value")
     # a blank line holds nothing: what follows it begins anew, with its leading blanks
     parts = F.filter(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"] != "")
-    whole = l.groupBy("file", "group").agg(parts.alias("parts")).where(F.size("parts") > 0)
+    whole = some.groupBy("file", "group").agg(parts.alias("parts")).where(F.size("parts") > 0)
     rest = F.transform(F.slice("parts", 2, F.size("parts")), lambda p: F.regexp_replace(p["value"], r"^\s+", ""))
-    return whole.select("file", F.col("parts")[0]["pos"].alias("pos"), F.concat(F.col("parts")[0]["value"], F.array_join(rest, "")).alias("line"))
+    joined = whole.select("file", F.col("parts")[0]["pos"].alias("pos"), F.concat(F.col("parts")[0]["value"], F.array_join(rest, "")).alias("line"))
+    return joined.unionByName(l.where("alone and value <> ''").select("file", "pos", F.col("value").alias("line")))
 
 
 def _matched(text: Column, pattern: str, groups: int) -> Column:
@@ -160,16 +164,21 @@ def parse(lines: DataFrame, now: Column, line: str = "line") -> DataFrame:
     number = lambda k: F.expr(f"try_cast(g[{k - 1}] AS INT)")
     opt = lambda k: F.nullif(g(k), F.lit(""))
     stamp = F.col("_stamp")
+    # what decides whether a line is accepted is worked out once; the other fields, only if they are asked for
     d = evaluated(
         d,
+        {
+            "src_ip": net.ip_value(g(9)), "src_port": number(10), "dst_ip": net.ip_value(g(11)), "dst_port": number(12),
+            "nat_ip": net.ip_value(g(15)), "nat_port": number(16), "pkt_len": number(19),
+        },
+    )
+    d = d.withColumns(
         {
             "ts": F.when(hit, F.coalesce(stamp, now)).cast("long"), "ts_inferred": F.when(hit, stamp.isNull()),
             "in_iface": F.trim(g(1)), "out_iface": F.trim(g(2)), "conn_mark": opt(3), "conn_state": F.lower(g(4)), "has_snat": g(5) != "",
             "src_mac": opt(6), "proto": F.upper(g(7)), "tcp_flags": opt(8),
-            "src_ip": net.ip_value(g(9)), "src_port": number(10), "dst_ip": net.ip_value(g(11)), "dst_port": number(12),
-            "orig_ip": net.ip_value(g(13)), "orig_port": number(14), "nat_ip": net.ip_value(g(15)), "nat_port": number(16),
-            "final_ip": net.ip_value(g(17)), "final_port": number(18), "pkt_len": number(19),
-        },
+            "orig_ip": net.ip_value(g(13)), "orig_port": number(14), "final_ip": net.ip_value(g(17)), "final_port": number(18),
+        }
     )
     ports = [F.col(c) for c in ("src_port", "dst_port", "nat_port", "pkt_len")]
     bad_port = F.lit(False)

@@ -7,6 +7,8 @@ day nor a source is ever one group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +27,17 @@ def _weight(rows: DataFrame) -> Column:
     return F.col("n") if "n" in rows.columns else F.lit(1).cast("long")
 
 
-def _values(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """``(keys..., kind, value, n)``: connections by each value of the columns; kind is the column's place."""
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("long").alias("value")) for k, c in enumerate(columns)])
-    long_ = rows.select(*keys, _weight(rows).alias("n"), F.inline(each))
-    return long_.groupBy(*keys, "kind", "value").agg(F.sum("n").alias("n"))
+def _values(rows: DataFrame, keys: list[str], columns: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
+    """``(keys..., kind, value, n, sums...)``: connections, and sums of other numbers, by each value of the columns; kind is the column's place.
+
+    Grouping sets: rows are multiplied inside the generated code, without an array for each.
+    """
+    more = {"n": _weight(rows), **(sums or {})}
+    slim = rows.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).cast("long").alias(f"v{i}") for i, c in enumerate(columns)], *[v.alias(c) for c, v in more.items()])
+    keys_, values = [f"_{k}" for k in keys], [f"v{i}" for i in range(len(columns))]
+    found = slim.groupingSets([[*keys_, v] for v in values], *keys_, *values).agg(*[F.sum(c).alias(c) for c in more], *[F.grouping(v).alias(f"no_{v}") for v in values])
+    kind = reduce(lambda out, i: F.when(F.col(f"no_v{i}") == 0, i).otherwise(out), range(len(columns) - 1), F.lit(len(columns) - 1))
+    return found.select(*[F.col(f"_{k}").alias(k) for k in keys], kind.alias("kind"), F.coalesce(*values).alias("value"), *more)
 
 
 def _different(kind: int, name: str) -> Column:
@@ -42,25 +50,21 @@ def _sum_if(condition: Column, name: str) -> Column:
 
 def globals_of(rows: DataFrame) -> DataFrame:
     """Totals, distinct counts, port ranges and protocol counts of each day."""
-    return globals_from(_values(rows, ["day"], "src_ip", "dst_ip", "dst_port"))
+    return globals_from(_values(rows, ["day"], ["src_ip", "dst_ip", "dst_port"]))
 
 
-#: Ports whose clients and servers are counted apart, and the kinds of those in ``day_values``; 0 to 2 are source, destination and port.
-DETAILED = {123: (3, 4), 53: (5, 6)}
+#: Ports whose clients and servers are counted apart, and the columns of ``day_values`` with the connections to each.
+DETAILED = {123: "to_123", 53: "to_53"}
 
 
 def day_values(rows: DataFrame) -> DataFrame:
-    """``(day, kind, value, n, udp)``: connections, and those over UDP, by each source, destination and port, and by the clients and servers of some ports.
+    """``(day, kind, value, n, udp, to_123, to_53)``: connections, those over UDP and those to some ports, by each source (kind 0), destination (1) and port (2).
 
     One read of the rows, from which ``globals_from``, ``ports_from``, ``destinations_from``, ``details_from`` and ``udp_from`` all follow.
     """
-    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("value"))
-    every, more = F.array(one(0, "src_ip"), one(1, "dst_ip"), one(2, "dst_port")), F.array().cast("array<struct<kind:int,value:bigint>>")
-    for port, (clients, servers) in DETAILED.items():
-        more = F.when(F.col("dst_port") == port, F.array(one(clients, "src_ip"), one(servers, "dst_ip"))).otherwise(more)
     n = _weight(rows)
-    long_ = rows.select("day", n.alias("n"), F.when(F.col("proto") == "UDP", n).otherwise(F.lit(0)).alias("udp"), F.inline(F.concat(every, more)))
-    return long_.groupBy("day", "kind", "value").agg(F.sum("n").alias("n"), F.sum("udp").alias("udp"))
+    some = lambda condition: F.when(condition, n).otherwise(F.lit(0))
+    return _values(rows, ["day"], ["src_ip", "dst_ip", "dst_port"], {"udp": some(F.col("proto") == "UDP"), **{c: some(F.col("dst_port") == p) for p, c in DETAILED.items()}})
 
 
 def globals_from(values: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def source_profiles(rows: DataFrame) -> DataFrame:
     """Per day and source: connections, distinct destinations and ports, shares of low and high ports."""
     port = F.col("kind") == 1
     p = F.when(port, F.col("value"))
-    counts = _values(rows.where("src_ip is not null"), ["day", "src_ip"], "dst_ip", "dst_port").groupBy("day", "src_ip").agg(
+    counts = _values(rows.where("src_ip is not null"), ["day", "src_ip"], ["dst_ip", "dst_port"]).groupBy("day", "src_ip").agg(
         _sum_if(port, "connections"), _different(0, "dst_ips"), _different(1, "dst_ports"), _sum_if(p.between(0, 1023), "wk"), _sum_if(p >= 49152, "eph"),
     )
     share = lambda c: F.col(c) * 100.0 / F.col("connections")
@@ -144,9 +148,10 @@ def details_from(values: DataFrame, gates: dict[int, tuple[str, int]]) -> DataFr
     """``(day, NAME_clients, NAME_servers, ...)`` of DETAILED ports, null on days under the port's gate; ``gates``: port -> (name, gate)."""
     out = []
     for port, (name, gate) in gates.items():
-        clients, servers = DETAILED[port]
-        enough = F.sum(F.when(F.col("kind") == clients, F.col("n"))) >= gate
-        out += [F.when(enough, F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())).alias(f"{name}_{what}") for kind, what in ((clients, "clients"), (servers, "servers"))]
+        to = F.col(DETAILED[port])
+        enough = F.sum(F.when(F.col("kind") == 0, to)) >= gate
+        different = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull() & (to > 0))  # noqa: B023, E731
+        out += [F.when(enough, different(kind)).alias(f"{name}_{what}") for kind, what in ((0, "clients"), (1, "servers"))]
     return values.groupBy("day").agg(*out)
 
 
@@ -179,7 +184,7 @@ def port_details(rows: DataFrame, gates: dict[int, int]) -> DataFrame:
     """``(day, dst_port, clients, servers)`` of several ports, on days with at least the port's gate of connections to it."""
     f = rows.where(F.col("dst_port").isin(*gates))
     gate = F.element_at(F.create_map(*[F.lit(x) for kv in gates.items() for x in kv]), F.col("dst_port"))
-    found = _values(f, ["day", "dst_port"], "src_ip", "dst_ip").groupBy("day", "dst_port").agg(
+    found = _values(f, ["day", "dst_port"], ["src_ip", "dst_ip"]).groupBy("day", "dst_port").agg(
         _sum_if(F.col("kind") == 0, "c"), _different(0, "clients"), _different(1, "servers")
     )
     return found.where(F.col("c") >= gate).drop("c")

@@ -23,14 +23,9 @@ def by_day(parts: list[DataFrame]) -> DataFrame:
     return rows.groupBy("day").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c != "day"])
 
 
-def stored_sources(logs: DataFrame) -> DataFrame:
-    """The profile of every source of every day, written: several parts read it."""
-    return lake.written(profile.source_profiles(logs), "sources")
-
-
-def stored_values(logs: DataFrame) -> DataFrame:
-    """Each day's counts by value, written: the totals, ranks and details of the report follow from this one read of the logs."""
-    return lake.written(profile.day_values(logs), "values")
+def stored_parts(logs: DataFrame, flows: DataFrame) -> list[DataFrame]:
+    """What a report's parts follow from, written: each day's counts by value, the profile of every source, and what is wanted of the flows."""
+    return lake.written_together({"values": profile.day_values(logs), "sources": profile.source_profiles(logs), "flows": flows})
 
 
 def _stat_parts(values: DataFrame, sources: DataFrame, ntp_gate: int, dns_gate: int, suspect_ports: int) -> list[DataFrame]:
@@ -62,8 +57,8 @@ def _shares(days: DataFrame) -> DataFrame:
 
 def day_stats(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50) -> DataFrame:
     """One flat row per day with the columns in ``classify.STATS``; shares are rounded as in the report."""
-    parts = _stat_parts(stored_values(logs), stored_sources(logs), ntp_gate, dns_gate, suspect_ports)
-    return _shares(by_day([*parts, profile.max_flow(profile.flows(logs))]))
+    values, sources, flow = stored_parts(logs, profile.max_flow(profile.flows(logs)))
+    return _shares(by_day([*_stat_parts(values, sources, ntp_gate, dns_gate, suspect_ports), flow]))
 
 
 def _listed(df: DataFrame, name: str, *fields: str) -> DataFrame:
@@ -75,17 +70,17 @@ def _listed(df: DataFrame, name: str, *fields: str) -> DataFrame:
 def day_report(logs: DataFrame, ntp_gate: int = 50_000, dns_gate: int = 200_000, suspect_ports: int = 50, k: int = 10, days: DataFrame | None = None) -> DataFrame:
     """The whole report, one nested row per day: statistics and the top lists.
 
-    The logs are read three times, each time aggregated before they are shuffled: by value, by source (both written, as
-    several parts read them) and by flow.
+    The logs are read three times, each time aggregated before they are shuffled: by value, by source and by flow.
+    The three are written by jobs at the same time.
     """
     if days is not None:
         logs = logs.join(days.select("day").distinct(), "day", "left_semi")
-    values, sources = stored_values(logs), stored_sources(logs)
+    values, sources, flows = stored_parts(logs, profile.top_flows(profile.flows(logs), 5))
     text = lambda c: net.ip_text(F.col(c))
     best = profile.top_k(sources, k, [F.desc("connections"), "src_ip"]).withColumn("ip", text("src_ip"))
     udp = profile.udp_from(values).withColumn("service", net.service_name(F.col("dst_port")))
     udp = profile.top_k(udp, len(net.TCP_ONLY_PORTS), [F.desc("n"), "dst_port"])
-    flows = profile.top_flows(profile.flows(logs), 5).withColumns({"src": text("src_ip"), "dst": text("dst_ip")})
+    flows = flows.withColumns({"src": text("src_ip"), "dst": text("dst_ip")})
     lists = [
         _listed(best, "top_sources", "ip", "connections", "dst_ips", "dst_ports", "well_known_pct", "ephemeral_pct"),
         _listed(profile.ports_from(values, k), "top_ports", "dst_port", "n", "category", "service"),
