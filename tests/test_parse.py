@@ -91,6 +91,12 @@ def test_continuations_across_ranges_of_a_file(spark, monkeypatch):
         assert sorted(map(tuple, parse.join_continuations(df).collect())) == whole
 
 
+def test_null_lines_between_others(spark):
+    lines = [None, "a", None, ":1, of a", "b", None, "", None, "c"]
+    df = spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)] + [("g", 0, None)], "file string, pos int, value string")
+    assert sorted(map(tuple, parse.join_continuations(df).collect())) == [("f", 1, "a:1, of a"), ("f", 4, "b"), ("f", 8, "c")]
+
+
 def test_a_line_that_holds_the_mark(spark):
     got = parsed(spark, ["\x01 x", LINES["A"][0] + "\x01", "\x012026-03-17 16:44:49 " + body()])
     assert [got[k]["reason"] for k in range(3)] == ["no time", None, "no time"]

@@ -56,3 +56,21 @@ def test_sketches_of_days_are_merged(spark, tmp_path):
         for c in profile.SKETCHED:
             assert abs(got[c] - want[c]) <= 0.05 * want[c], (some, c, got[c], want[c])
     assert tuple(profile.distinct_of_period(stored.where("day > DATE'2025-01-01'")).first()) == (0, 0, 0, 0)
+
+
+def test_values_with_nulls_follow_the_rows(spark):
+    """Totals, distinct counts and details of a day whose rows lack addresses or ports, against plain Python."""
+    rows = [(1, 2, 53, "UDP"), (1, None, 53, "TCP"), (None, 2, 53, "UDP"), (None, None, None, None), (3, 4, 123, "UDP"), (3, 5, 123, None), (1, 2, 25, "UDP"), (1, 2, 25, "UDP"), (9, None, 60000, "TCP")]
+    logs = spark.createDataFrame(rows, "src_ip long, dst_ip long, dst_port int, proto string").withColumn("day", F.lit("2024-01-01").cast("date"))
+    logs = logs.withColumn("kind", F.lit("a column of the logs' own"))
+    values = profile.day_values(logs)
+    got = profile.globals_from(values).first()
+    different = lambda k, some=rows: len({r[k] for r in some} - {None})
+    assert (got.total, got.unique_src, got.unique_dst, got.unique_dst_ports) == (len(rows), different(0), different(1), different(2))
+    assert (got.well_known, got.registered, got.ephemeral, got.dns, got.ntp, got.email) == (7, 0, 1, 3, 2, 2)
+    assert got.asDict() == profile.globals_of(logs).first().asDict()
+    details = profile.details_from(values, {53: ("dns", 3), 123: ("ntp", 3)}).first()
+    to = lambda port: [r for r in rows if r[2] == port]
+    assert (details.dns_clients, details.dns_servers, details.ntp_clients, details.ntp_servers) == (different(0, to(53)), different(1, to(53)), None, None)
+    assert [(r.dst_port, r.n) for r in profile.udp_from(values).collect()] == [(25, 2)]
+    assert profile.globals_of(logs.limit(0)).count() == 0 and profile.source_profiles(logs).where("src_ip = 1").first().dst_ips == 1
