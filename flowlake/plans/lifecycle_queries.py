@@ -200,11 +200,10 @@ def alerts_versions(spark: SparkSession, sf: str) -> DataFrame:
         {"id": F.col("id") + 100, "ratio": F.col("ratio") * 2, "acknowledged": F.lit(False), "acknowledged_by": F.lit(None).cast("string"), "acknowledged_at": F.lit(None).cast("long")}
     )
     schema = first.schema
-    versions.append(first, path)
-    al.store_upsert(path, new, schema)
+    steps = [versions.append(first, path), al.store_upsert(path, new, schema)]  # without alerts, the first one publishes nothing
     ids = versions.read(spark, path, schema).select(F.col("id").alias("alert_id"), F.lit("operator").alias("username"), F.lit(NOW).cast("long").alias("ts"))
-    al.store_acknowledge(path, ids, schema)
-    every = [versions.read(spark, path, schema, n).withColumn("version", F.lit(n)) for n in (1, 2, 3)]
+    steps.append(al.store_acknowledge(path, ids, schema))
+    every = [versions.read(spark, path, schema, s).withColumn("version", F.lit(n)) for n, s in enumerate(steps, 1)]
     return every[0].unionByName(every[1]).unionByName(every[2])
 
 
