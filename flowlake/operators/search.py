@@ -133,21 +133,21 @@ def bad_windows(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", reason.alias("reason")).where("reason is not null")
 
 
-def window_level(t0: Column, t1: Column) -> Column:
-    """The smallest even number of bits whose aligned intervals of 2^bits seconds are as long as a window, 6 at least: two of them cover it."""
-    bits = F.length(F.regexp_replace(F.bin(t1 - t0), "^0$", ""))  # of the longest distance in the window
-    return F.greatest(F.lit(6), F.least(F.lit(62), bits + bits % 2))
+#: Bits from one level of aligned intervals to the next, and the most intervals of requests that are sent to the tasks that read the logs.
+STEP, SENT = 3, 100_000
 
 
-def _reach(windows: DataFrame) -> tuple[list[int], Column]:
-    """The levels in use (29 at most), and a condition on ``day`` that every row of any window meets."""
+def _reach(requests: DataFrame) -> tuple[int | None, int | None, bool, Column]:
+    """The highest levels of windows without and with a port, whether few intervals are asked for, and a condition on ``day`` that every row of any window meets."""
     day = lambda t: F.greatest(F.lit(FIRST_DAY), F.least(F.lit(LAST_DAY), F.floor(F.col(t) / 86_400)))
-    seen = windows.groupBy("level", day("t0").alias("d0"), day("t1").alias("d1")).agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
-    seen = seen.select("level", "lo", "hi", F.explode(F.sequence("d0", "d1")).alias("d"))
-    one = seen.agg(F.collect_set("level"), F.collect_set("d"), F.min("lo"), F.max("hi")).first()  # numbers of days and levels
-    levels, numbers, lo, hi = one
-    if not levels:
-        return [], F.lit(False)
+    seen = requests.groupBy("top", "any_port", day("t0").alias("d0"), day("t1").alias("d1")).agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"), F.count(F.lit(1)).alias("n"))
+    seen = seen.select("*", F.explode(F.sequence("d0", "d1")).alias("d"))
+    most = lambda which: F.max(F.when(which, F.col("top")))
+    intervals = F.sum(F.when(F.col("d") == F.col("d0"), F.col("n") * (F.col("top") + 1) * (1 << STEP)))
+    one = seen.agg(most(F.col("any_port")), most(~F.col("any_port")), intervals, F.collect_set("d"), F.min("lo"), F.max("hi")).first()  # numbers of days
+    bare, port, count, numbers, lo, hi = one
+    if not numbers:
+        return None, None, True, F.lit(False)
     numbers.sort()
     gaps = sorted(((b - a, i) for i, (a, b) in enumerate(zip(numbers, numbers[1:])) if b - a > 1), reverse=True)[: RANGES - 1]
     ends = [-1, *sorted(i for _, i in gaps), len(numbers) - 1]
@@ -159,31 +159,56 @@ def _reach(windows: DataFrame) -> tuple[list[int], Column]:
         found = found | (F.col("day") < day_at(FIRST_DAY))
     if hi >= (LAST_DAY + 1) * 86_400:
         found = found | (F.col("day") > day_at(LAST_DAY))
-    return sorted(levels), found
+    return bare, port, count <= SENT, found
+
+
+def _intervals(requests: DataFrame) -> DataFrame:
+    """``requests`` with a row for each aligned interval (level, slot) of a window's cover; every one begins inside the window.
+
+    From the window's first second, intervals of a level follow each other up to where one of the next level
+    begins; at the level ``top``, they go on until the window's end. The last one may reach beyond it.
+    """
+    e = F.expr
+    r = requests.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    r = r.withColumn("bits", F.col("level") * STEP)
+    r = r.withColumn("a", e("-shiftright(-t0, bits)")).withColumn("z", e("shiftright(t1, bits)"))
+    r = r.withColumn("z", F.when(F.col("level") == F.col("top"), F.col("z")).otherwise(F.least("z", e(f"shiftleft(-shiftright(-t0, bits + {STEP}), {STEP}) - 1"))))
+    return r.where("a <= z").withColumn("slot", F.explode(F.sequence("a", "z"))).drop("a", "z", "bits", "top")
 
 
 def search_batch(logs: DataFrame, requests: DataFrame, limit: int = 100) -> DataFrame:
     """Many lookups ``requests(request_id, nat_ip, nat_port, t0, t1)`` at once, the first ``limit`` rows of each.
 
-    A window is covered by two aligned intervals of its own dyadic level, whatever its length, and a row has
-    one key for each level that some window uses. So there is one scan, pruned to the windows' days, and one
-    equality join on (address, level, interval), whose large partitions (a busy address, a long window) Spark
-    splits. Windows that make no sense are in ``bad_windows``. A null port matches every port. A row's day must
-    be that of its time. A group of the ranking holds one request's matches.
+    A window is covered by aligned intervals that begin inside it (see ``_intervals``), some 7 of each level
+    of three bits, whatever its length. Of an interval's rows in time order, a window has the first ones, all of them or
+    up to its end; so ``limit`` rows of each interval and address (and port, where requests name one) are enough,
+    and a request meets so many rows of each of its intervals, however many its window holds. There is one scan, pruned to
+    the windows' days; a row has a key for each level that some window uses; the first rows are ranked in the tasks before
+    they are shuffled, and one equality join on (address, port, level, interval) follows. Windows that make no sense are in
+    ``bad_windows``. A null port matches every port. A row's day must be that of its time. A group of the last ranking
+    holds the intervals' first rows of one request.
     """
-    r = requests.where("t1 >= t0").select("request_id", F.col("nat_ip").alias("want_ip"), F.col("nat_port").alias("want_port"), "t0", "t1")
-    r = r.withColumn("level", window_level(F.col("t0"), F.col("t1")))
-    levels, days = _reach(r)
-    slot = lambda t, level: F.expr(f"shiftright({t}, {level})")
-    r = r.withColumn("slot", F.explode(F.array_distinct(F.array(slot("t0", "level"), slot("t1", "level")))))
-    keys = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), slot("ts", v).alias("slot")) for v in levels])) if len(levels) > 1 else None
-    l = logs.where(days & F.col("nat_ip").isNotNull())
-    if keys is None:
-        l = l.withColumns({"level": F.lit(levels[0] if levels else 0), "slot": slot("ts", levels[0] if levels else 0)})
-    else:
-        l = l.select(*LOG_COLUMNS, keys.alias("key")).select(*LOG_COLUMNS, "key.level", "key.slot")
-    hit = l.join(r, (l["nat_ip"] == r["want_ip"]) & (l["level"] == r["level"]) & (l["slot"] == r["slot"]))
-    hit = hit.where(F.col("ts").between(F.col("t0"), F.col("t1")) & (F.col("want_port").isNull() | (F.col("want_port") == F.col("nat_port"))))
+    keys = ["nat_ip", "any_port", "port", "level", "slot"]
+    r = requests.where("t1 >= t0 and nat_ip is not null").select(
+        "request_id", F.col("nat_ip").cast("long").alias("nat_ip"), F.col("nat_port").isNull().alias("any_port"), F.coalesce(F.col("nat_port").cast("long"), F.lit(0)).alias("port"),
+        F.col("t0").cast("long").alias("t0"), F.col("t1").cast("long").alias("t1"),
+    )
+    r = r.withColumn("top", F.ceil(F.greatest(F.length(F.bin(F.col("t1") - F.col("t0"))) - STEP, F.lit(0)) / STEP).cast("int"))  # at most 9 intervals of that level
+    bare, port, few, days = _reach(r)
+    r = _intervals(r)
+
+    def key(any_port: bool, level: int) -> Column:
+        number = F.lit(0).cast("long") if any_port else F.col("nat_port").cast("long")
+        return F.struct(F.lit(any_port).alias("any_port"), number.alias("port"), F.lit(level).alias("level"), F.expr(f"shiftright(ts, {STEP * level})").alias("slot"))
+
+    levels = [(any_port, k) for any_port, top in ((True, bare), (False, port)) if top is not None for k in range(top + 1)]
+    l = logs.where(days & F.col("nat_ip").isNotNull()).select(*LOG_COLUMNS)
+    l = l.withColumn("key", F.explode(F.array(*[key(*x) for x in levels or [(True, 0)]]))).select(*LOG_COLUMNS, "key.*").where("port is not null")
+    if few:  # checked: rows of intervals that nobody asks for aren't ranked
+        l = l.join(F.broadcast(r.select(*keys).distinct()), keys, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER))
+    l = l.withColumn("first", first).where(F.col("first") <= limit).drop("first")
+    hit = l.join(r, keys).where("ts <= t1")
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy(*ORDER))
     return hit.select("request_id", *LOG_COLUMNS).withColumn("nth", nth).where(F.col("nth") <= limit).select("request_id", "nth", *LOG_COLUMNS)
 

@@ -281,3 +281,42 @@ def test_batches_in_reversed_order_of_time_decode(spark, logs, tmp_path):
     assert ids.where("count > 1").isEmpty() and registry.read_dicts(spark, path).groupBy("day", "kind", "name").count().where("count > 1").isEmpty()
     assert registry.read_dicts(spark, path).where("name like '%q'").count() > 0
     assert registry.decode(coded[1], registry.read_dicts(spark, path)).select(*columns).exceptAll(late).isEmpty()
+
+
+def joined_rows(df):
+    """Rows that the joins of a query give, after it has run."""
+    df.collect()
+    nodes, found = [df._jdf.queryExecution().executedPlan().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        if "Join" in node.nodeName():
+            found.append(node.metrics().get("numOutputRows").get().value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(found)
+
+
+def test_long_windows_meet_a_few_rows_of_many(spark):
+    """500 windows of weeks over 20,000 rows of one address: 10 million pairs, of which 5 rows a window are asked for."""
+    from datetime import timedelta
+
+    from flowlake.schemas import CONN_LOGS
+
+    n, start = 20_000, 1704067200
+    at = lambda k: start + k * 97 % 1_700_000
+    rows = [(at(k), date(1970, 1, 1) + timedelta(at(k) // 86_400), "a", "b", "TCP" if k % 3 else None, "new", True, k, 5, 9, 53, 77, k % 4 or None, 40, None, "nat") for k in range(n)]
+    logs = spark.createDataFrame(rows, CONN_LOGS)
+    wanted = [(k, 77, 2 if k % 5 == 0 else None, start + k * 31, start + k * 31 + (1_600_000 if k % 2 else 3)) for k in range(500)]
+    wanted.append((7, 77, None, start + 50, start + 60))  # a second window of one request
+    r = spark.createDataFrame(wanted, "request_id int, nat_ip long, nat_port int, t0 long, t1 long")
+    df = search.search_batch(logs, r, 5)
+    assert joined_rows(df) < 200 * len(wanted)
+    got = {}
+    for x in df.collect():
+        got.setdefault(x["request_id"], []).append((x["nth"], x["ts"], x["src_ip"]))
+    by_time = sorted((x[0], x[7], x[12]) for x in rows)
+    for i, _, port, a, b in wanted[:500]:
+        own = [(a, b)] + ([wanted[-1][3:]] if i == 7 else [])
+        want = sorted((t, s) for lo, hi in own for t, s, p in by_time if lo <= t <= hi and port in (None, p))[:5]
+        assert sorted(got.get(i, [])) == [(k + 1, *x) for k, x in enumerate(want)], i
